@@ -1,14 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents are dealt into blocks. The distinct words of every block are gathered by word, each distinct word is encoded
-once, and its ids return to the blocks that hold it; every block then joins ids back by position and decodes through
-the id-to-piece table of the vocabulary. What moves is the distinct words of each block and the block's texts,
-compressed; no row per word occurrence is ever made, and a frequent word is one row per block, read as a stream.
+Documents are dealt into blocks of bounded size. The distinct words of every block are dealt by a hash of the word, so
+each distinct word of the corpus meets all blocks that hold it in one task and is encoded there once; its ids return
+to those blocks, where they are joined back by position and decoded through the id-to-piece table of the vocabulary.
+Words and ids travel packed, one row per block and word bucket; no row per word occurrence is ever made. A frequent
+word is one entry per block, read as a stream, so no word is hot.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,26 +20,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoline.llm import tokens
-from isoline.llm.words import by_bytes, spread, texts_of
+from isoline.llm.words import WordIds, by_bytes, spread, texts_of
 from isoline.session import prepare
 
 BLOCK_BYTES = 24 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL = "doc_id long, ids array<int>, decoded string"
+_CODE = ("utf-8", "surrogatepass")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
-    """Runs of rows of about `most` bytes of text, each with a name made from its rows."""
-    held, size, name = [], 0, hashlib.blake2b(digest_size=12)
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Runs of rows of about `most` bytes of text, each with a number made from its rows."""
+    held, size, name = [], 0, hashlib.blake2b(digest_size=8)
     for b in by_bytes(batches):
         held.append(b)
         size += b.nbytes
-        name.update(repr((b.num_rows, b.column("doc_id")[0].as_py(), b.column("doc_id")[b.num_rows - 1].as_py(), b.column("seq")[0].as_py(), b.nbytes)).encode())
+        ends = [b.column(c)[k].as_py() for c in ("doc_id", "part") for k in (0, b.num_rows - 1)]
+        name.update(repr((b.num_rows, b.nbytes, ends)).encode())
         if size >= most:
-            yield name.hexdigest(), held
-            held, size, name = [], 0, hashlib.blake2b(digest_size=12)
+            yield int.from_bytes(name.digest(), "little", signed=True), held
+            held, size, name = [], 0, hashlib.blake2b(digest_size=8)
     if held:
-        yield name.hexdigest(), held
+        yield int.from_bytes(name.digest(), "little", signed=True), held
+
+
+def _pack(words: list[str]) -> bytes:
+    return zstandard.compress("\0\0".join(words).encode(*_CODE), 3)
+
+
+def _unpack(data: bytes) -> list[str]:
+    return zstandard.decompress(data).decode(*_CODE).split("\0\0")
+
+
+class _Known:
+    """Ids of a block's words as they came back; a word without ids is encoded on the spot."""
+
+    def __init__(self, tokenizer: str, table: pa.Table) -> None:
+        self.tokenizer = tokenizer
+        self.at: dict[str, int] = {}
+        for data in table.column("words").to_pylist():
+            for w in _unpack(data):
+                self.at[w] = len(self.at)
+        self.lens = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(zstandard.decompress(x), "<u4") for x in table.column("lens").to_pylist())]).astype(np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(zstandard.decompress(x), "<u4") for x in table.column("ids").to_pylist())])
+        self.start = np.cumsum(self.lens) - self.lens
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            return tokens.encode_flat(self.tokenizer, words)
+        return self.ids[spread(self.start[k], self.lens[k])], self.lens[k]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", full: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -45,11 +78,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
 
     Null text counts as empty: no ids, empty decoded text. Rows that share an id each get a row. Words are cut where
     the tokenizer itself always cuts; special strings inside texts become their special id, as the library does by
-    default. A block that finds a word without ids (its rows were dealt anew after a lost executor) encodes it itself.
-    Other columns are ignored.
+    default. A block whose rows were dealt anew after a lost executor encodes the words it misses itself. Other
+    columns are ignored.
     """
-    prepare(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("seq"))
+    spark = prepare(docs.sparkSession)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _blocks(batches, block_bytes):
@@ -57,60 +91,62 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
             for b in held:
                 for t in texts_of(b):
                     words.update(tokens.split_keeping_space(t))
-            words = list(words)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part)), "word": pa.array(part, pa.string())})
-
-    def texts_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for block, held in _blocks(batches, block_bytes):
-            for b in held:
-                packed = [zip_.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(b)]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * b.num_rows), "doc_id": b.column("doc_id"), "packed": pa.array(packed, pa.binary())})
+            cut = [w for w in words if tokens.tail_sign(w)]
+            words.difference_update(cut)
+            words.update(w[:-1] for w in cut)
+            words.update(w[-1] for w in cut)
+            dealt: list[list[str]] = [[] for _ in range(buckets)]
+            for w in sorted(words):
+                dealt[zlib.crc32(w.encode(*_CODE)) % buckets].append(w)
+            full_ = [k for k in range(buckets) if dealt[k]]
+            for k in range(0, len(full_), 64):
+                part = full_[k : k + 64]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "bucket": pa.array(part, pa.int32()), "words": pa.array([_pack(dealt[x]) for x in part], pa.binary())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, b""
+        table = WordIds(lambda w: tokens.encode_flat(tokenizer, w))
         for b in batches:
-            words = b.column("word").to_pylist()
-            once = [w for w, v in zip(words, [last, *words[:-1]], strict=True) if w != v]
-            ids = iter(tokens.encode_words(tokenizer, once))
-            packed = []
-            for w in words:
-                if w != last:
-                    last, last_ids = w, np.array(next(ids), "<u4").tobytes()
-                packed.append(last_ids)
-            yield pa.RecordBatch.from_pydict({"block": b.column("block"), "word": b.column("word"), "ids": pa.array(packed, pa.binary())})
+            for k in range(b.num_rows):
+                words = _unpack(b.column("words")[k].as_py())
+                ids, _ = table.batch([words])
+                lens = table.len[[table.codes[w] for w in words]]
+                yield pa.RecordBatch.from_pydict({"block": b.column("block").slice(k, 1), "words": b.column("words").slice(k, 1), "lens": pa.array([zstandard.compress(lens.astype("<u4").tobytes(), 3)]), "ids": pa.array([zstandard.compress(ids.astype("<u4").tobytes(), 3)])})
+
+    def texts_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches, block_bytes):
+            for b in held:  # about 4 MB of text, packed as one
+                texts = [t.encode(*_CODE) for t in texts_of(b)]
+                packed = zstandard.compress(b"".join(texts), 3)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "doc_ids": pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), "packed": pa.array([packed], pa.binary())})
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        unzip, pieces = zstandard.ZstdDecompressor(), tokens.pieces(tokenizer)
-        code = {w: k for k, w in enumerate(right.column("word").to_pylist())}
-        packed = right.column("ids").to_pylist()
-        keys, raw = left.column("doc_id"), left.column("packed").to_pylist()
-        table = [np.frombuffer(b"".join(packed), "<u4"), np.array([len(p) // 4 for p in packed], np.int64)]
-        at = np.cumsum(table[1]) - table[1]
+        pieces = tokens.pieces(tokenizer)
+        table = WordIds(_Known(tokenizer, right).encode, tokens.tail_sign, max_words=1 << 62)  # a block bounds it
+        keys: list[int | None] = []
         rows: list[list] = [[], [], []]
-        for z in raw:
-            words = tokens.split_keeping_space(unzip.decompress(z).decode("utf-8", "surrogatepass"))
-            try:
-                codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
-            except KeyError:
-                ids = np.array([i for part in tokens.encode_words(tokenizer, words) for i in part], "<u4")
-            else:
-                ids = table[0][spread(at[codes], table[1][codes])]
-            decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
-            if full:
-                rows[0].append(ids.astype(np.int32))
-                rows[1].append(decoded.decode("utf-8", "replace"))
-            else:
-                rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                rows[2].append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
+        for ids_, sizes, packed in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "sizes", "packed")), strict=True):
+            data, at = zstandard.decompress(packed), 0
+            docs_ = []
+            for n in sizes:
+                docs_.append(tokens.split_keeping_space(data[at : at + n].decode(*_CODE)))
+                at += n
+            flat, counts = table.batch(docs_)
+            keys += ids_
+            end = 0
+            for n in counts.tolist():
+                own, end = flat[end : end + n], end + n
+                decoded = b"".join(map(pieces.__getitem__, own.tolist()))
+                if full:
+                    rows[0].append(own.astype(np.int32))
+                    rows[1].append(decoded.decode("utf-8", "replace"))
+                else:
+                    rows[0].append(n)
+                    rows[1].append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                    rows[2].append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
         if full:
-            return pa.table({"doc_id": keys, "ids": pa.array(rows[0], pa.list_(pa.int32())), "decoded": pa.array(rows[1], pa.string())})
-        return pa.table({"doc_id": keys, "n_tokens": pa.array(rows[0], pa.int64()), "ids_sha256": pa.array(rows[1], pa.string()), "decoded_sha256": pa.array(rows[2], pa.string())})
+            return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array(rows[0], pa.list_(pa.int32())), "decoded": pa.array(rows[1], pa.string())})
+        return pa.table({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(rows[0], pa.int64()), "ids_sha256": pa.array(rows[1], pa.string()), "decoded_sha256": pa.array(rows[2], pa.string())})
 
-    pairs = narrow.mapInArrow(words_of, "block string, word string")
-    coded = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block string, word string, ids binary")
-    texts = narrow.mapInArrow(texts_by_block, "block string, doc_id long, packed binary")
+    coded = narrow.mapInArrow(words_of, "block long, bucket int, words binary").repartition(buckets, "bucket").mapInArrow(encode, "block long, words binary, lens binary, ids binary")
+    texts = narrow.mapInArrow(texts_by_block, "block long, doc_ids array<long>, sizes array<long>, packed binary")
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, FULL if full else RESULT)

@@ -42,14 +42,8 @@ class Lengths(WordIds):
 
     def __init__(self, model: str) -> None:
         self.model = model
-        super().__init__(lambda words: [], max_words=700_000)
-
-    def resolve(self) -> None:
-        words, self.codes.fresh = self.codes.fresh, []
-        sp, _ = tokens.load_pieces(self.model)
-        for k in range(0, len(words), 20_000):
-            part = [len(x) for x in sp.encode([w.removeprefix("\0") for w in words[k : k + 20_000]], num_threads=1)]
-            while self.n + len(part) > len(self.len):
-                self.len = np.append(self.len, np.zeros_like(self.len))
-            self.len[self.n : self.n + len(part)] = part
-            self.n += len(part)
+        super().__init__(self.lengths)
+
+    def lengths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = tokens.load_pieces(self.model)[0].encode([w.removeprefix("\0") for w in words], num_threads=1)
+        return np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(words))

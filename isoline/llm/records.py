@@ -162,7 +162,7 @@ def write_records(docs: DataFrame, tokenizer: str, out: str | None = None, *, id
         part = TaskContext.get().partitionId()
         where, folder = fs.FileSystem.from_uri(out)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        state: WordIds = tokens.worker_state(("ids", tokenizer), lambda: WordIds(lambda w: tokens.encode_words(tokenizer, w)))
+        state: WordIds = tokens.worker_state(("ids", tokenizer), lambda: WordIds(lambda w: tokens.encode_flat(tokenizer, w), tokens.tail_sign))
         wide = tokens.load(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         n_docs = n_tokens = at = 0
         first, sizes, data = None, [], None
@@ -222,7 +222,7 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if rest:
                         raise ValueError(f"{path} ends within a record")
 
-    return files.select("path", "start").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "start").repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_at(path: str, picks: list[int]) -> list[tuple[int | None, np.ndarray]]:

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import os
 import re
-import sys
+
+import numpy as np
+
+from isoline.llm.words import spread
 
 #: Largest code point of letters whose class no Unicode version has changed; words are only taken apart below it.
 _LATIN = 0x250
+_LATIN_END = chr(_LATIN)
 #: White space that Python and the tokenizer libraries might see differently.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_BEYOND_LATIN = re.compile(r"[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
 _MESSY = re.compile(r"\s\s|[^\S \n]|\x00|^\s|\s\Z")
 _CLEAN_CUT = re.compile(r"(?<=\S)(?= \S)")
 _LOADED: dict[tuple, object] = {}
@@ -36,34 +41,80 @@ def load(path: str):
     return _LOADED["t", path]
 
 
-def encode_words(path: str, words: list[str]) -> list[list[int]]:
-    """Ids of each distinct word, all in one call. A word's last full stop or comma after a letter is cut off first."""
+def tail_sign(word: str) -> bool:
+    """Whether a word's last full stop or comma stands after a letter, where the tokenizers always cut."""
+    return len(word) > 2 and word[-1] in ".," and _letter(word[-2])
+
+
+def _edges(path: str) -> tuple[bool, np.ndarray]:
+    """Whether words end with a suffix (else they start with their space), and which ids do so."""
+    if ("e", path) not in _LOADED:
+        t = load(path)
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+        _LOADED["e", path] = (bool(suffix), np.array([n.endswith(suffix) if suffix else n.startswith("\u0120") for n in names]))
+    return _LOADED["e", path]
+
+
+def encode_flat(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of distinct words one after the other, number of ids of each), by the library.
+
+    Words of plain Latin letters are encoded as one text: each is one unit to the tokenizer, and its first or last
+    piece shows where it ends. All others go in one by one, as separate inputs of a single call.
+    """
     t = load(path)
-    stem: dict[str, int] = {}
-    parts = []
-    for w in words:
-        if len(w) > 2 and w[-1] in ".," and _letter(w[-2]):
-            parts.append((stem.setdefault(w[:-1], len(stem)), stem.setdefault(w[-1], len(stem))))
-        else:
-            parts.append((stem.setdefault(w, len(stem)),))
-    out: list[list[int]] = [[] for _ in stem]
-    plain = [w for w in stem if "<|" not in w and w]
+    ends, edge = _edges(path)
+    plain, other = [], []
+    for k, w in enumerate(words):
+        core = w if ends else w[1:]
+        (plain if core.isalpha() and max(core) < _LATIN_END and "\u0130" not in core and (ends or w[0] == " ") else other).append(k)
+    ids: list[np.ndarray] = []
+    lens = np.zeros(len(words), np.int64)
     if plain:
-        enc = t.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        at = [stem[w] for w in plain]
-        for i, k in zip(enc.ids, enc.word_ids, strict=True):
-            out[at[k]].append(i)
-    for w in stem:
-        if "<|" in w:
-            out[stem[w]] = t.encode(w, add_special_tokens=False).ids
-    return [out[p[0]] if len(p) == 1 else out[p[0]] + out[p[1]] for p in parts]
+        text = (" " if ends else "").join([words[k] for k in plain])
+        flat = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(edge[flat])
+        size = np.diff(np.append(-1, at)) if ends else np.diff(np.append(at, len(flat)))
+        if len(size) != len(plain):
+            raise ValueError("the tokenizer cuts within words of letters")
+        lens[plain] = size
+        ids.append(flat)
+    if other:
+        found: list[list[int]] = [[] for _ in other]
+        simple = [k for k, w in enumerate(other) if words[w] and "<|" not in words[w]]
+        if simple:
+            enc = t.encode([words[other[k]] for k in simple], is_pretokenized=True, add_special_tokens=False)
+            for i, k in zip(enc.ids, enc.word_ids, strict=True):
+                found[simple[k]].append(i)
+        for k, w in enumerate(other):
+            if "<|" in words[w]:
+                found[k] = t.encode(words[w], add_special_tokens=False).ids
+        lens[other] = [len(f) for f in found]
+        ids.append(np.fromiter((i for f in found for i in f), np.uint32))
+    order = np.array(plain + other, np.int64)
+    start = np.empty(len(words), np.int64)
+    start[order] = np.cumsum(lens[order]) - lens[order]
+    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32))[spread(start, lens)], lens
+
+
+def encode_words(path: str, words: list[str]) -> list[np.ndarray]:
+    """Ids of each distinct word; a last full stop or comma after a letter is encoded once for all."""
+    code: dict[str, int] = {}
+    parts = [(code.setdefault(w[:-1], len(code)), code.setdefault(w[-1], len(code))) if tail_sign(w) else (code.setdefault(w, len(code)),) for w in words]
+    flat, lens = encode_flat(path, list(code))
+    at = np.split(flat, np.cumsum(lens)[:-1]) if len(lens) else []
+    return [at[p[0]] if len(p) == 1 else np.concatenate([at[i] for i in p]) for p in parts]
 
 
 def split_dropping_space(text: str) -> list[str]:
-    """Words for a tokenizer that drops white space. Texts with unusual white space are cut at plain spaces only."""
-    if _ODD_SPACE.search(text):
+    """Words for a tokenizer that drops white space and lower-cases.
+
+    Texts of plain Latin signs are lower-cased here, which makes fewer words; others are cut at plain spaces only and
+    left as they are.
+    """
+    if _BEYOND_LATIN.search(text):
         return [w for w in re.split(r"[ \t\n\r]+", text) if w]
-    return text.split()
+    return text.lower().split()
 
 
 def split_keeping_space(text: str) -> list[str]:
@@ -119,12 +170,6 @@ def split_pieces(text: str, safe: bool) -> list[str]:
     return out
 
 
-def count_pieces(path: str, words: list[str]) -> list[list[int]]:
-    """A list as long as the number of tokens for each word; the ids themselves are not kept."""
-    sp, _ = load_pieces(path)
-    return [range(len(x)) for x in sp.encode([w.removeprefix("\0") for w in words], num_threads=1)]
-
-
 def default_path(name: str) -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers
@@ -134,7 +179,6 @@ def default_path(name: str) -> str:
 
 def worker_state(key: tuple, make):
     """Something that lives as long as the Python worker."""
-    store = sys.modules[__name__]._LOADED
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if key not in _LOADED:
+        _LOADED[key] = make()
+    return _LOADED[key]

@@ -45,34 +45,48 @@ class WordCodes(dict):
 class WordIds:
     """A bounded table of distinct words and their ids, kept in an Arrow worker between tasks.
 
-    encode turns a list of distinct words into a list of id lists. The table starts anew beyond max_words, which
-    bounds memory and changes no result: a word is then encoded once more.
+    encode turns a list of distinct words into (ids one after the other, number of ids of each). cut_last says whether
+    a word's last sign is a word of its own. The table starts anew beyond max_words, which bounds memory and changes no
+    result: a word is then encoded once more.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], max_words: int = 700_000) -> None:
-        self.encode, self.max_words = encode, max_words
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut_last: Callable[[str], bool] = lambda w: False, max_words: int = 700_000) -> None:
+        self.encode, self.cut_last, self.max_words = encode, cut_last, max_words
         self.reset()
 
     def reset(self) -> None:
-        self.codes, self.n = WordCodes(), 0
+        self.codes = WordCodes()
         self.at = np.zeros(1 << 16, np.int64)
         self.len = np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _put(self, codes: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.at[codes] = self.used + np.cumsum(lens) - lens
+        self.len[codes] = lens
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
     def resolve(self) -> None:
-        words, self.codes.fresh = self.codes.fresh, []
-        for k in range(0, len(words), 20_000):
-            part = self.encode(words[k : k + 20_000])
-            lens = np.fromiter(map(len, part), np.int64, len(part))
-            flat = np.fromiter((i for p in part for i in p), np.uint32, int(lens.sum()))
-            while self.n + len(part) > len(self.at):
-                self.at, self.len = np.append(self.at, np.zeros_like(self.at)), np.append(self.len, np.zeros_like(self.len))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            self.at[self.n : self.n + len(part)] = self.used + np.cumsum(lens) - lens
-            self.len[self.n : self.n + len(part)] = lens
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.n, self.used = self.n + len(part), self.used + len(flat)
+        """Give ids to the words that came up since the last call."""
+        table = self.codes
+        whole, joined = [], []
+        for w in table.fresh:  # grows while it is read: a first part may be new as well
+            if self.cut_last(w):
+                joined.append((table[w], table[w[:-1]], table[w[-1]]))
+            else:
+                whole.append(w)
+        table.fresh = []
+        while len(table) > len(self.at):
+            self.at, self.len = np.append(self.at, np.zeros_like(self.at)), np.append(self.len, np.zeros_like(self.len))
+        for k in range(0, len(whole), 20_000):
+            part = whole[k : k + 20_000]
+            self._put(np.fromiter(map(table.__getitem__, part), np.int64, len(part)), *self.encode(part))
+        if joined:
+            j = np.array(joined, np.int64)
+            pair = j[:, 1:].ravel()
+            self._put(j[:, 0], self.ids[spread(self.at[pair], self.len[pair])], self.len[j[:, 1]] + self.len[j[:, 2]])
 
     def batch(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after the other, number of ids per document)."""
