@@ -27,6 +27,7 @@ BLOCK_BYTES = 24 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL = "doc_id long, ids array<int>, decoded string"
 _CODE = ("utf-8", "surrogatepass")
+_BETWEEN = "\udfff"  # a lone surrogate, which no text holds
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -45,11 +46,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
 
 
 def _pack(words: list[str]) -> bytes:
-    return zstandard.compress("\0\0".join(words).encode(*_CODE), 3)
+    return zstandard.compress(_BETWEEN.join(words).encode(*_CODE), 3)
 
 
 def _unpack(data: bytes) -> list[str]:
-    return zstandard.decompress(data).decode(*_CODE).split("\0\0")
+    return zstandard.decompress(data).decode(*_CODE).split(_BETWEEN)
 
 
 class _Known:
