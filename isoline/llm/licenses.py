@@ -147,7 +147,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
     """One row per document, license and place that holds at least `coverage` of the template's words in order.
 
     Spans are half-open and count words: template_start/end in the template, word_start/end in the document.
-    Of overlapping places of one template the best stays, then the first. Templates shorter than K words are looked
+    Of overlapping places, of whichever templates, the one with the most matched words stays, then the shorter, the first. Templates shorter than K words are looked
     for through their whole text and need K words at least. Null and empty texts hold nothing. One pass, no shuffle.
     """
     prepare(docs.sparkSession)
@@ -159,8 +159,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
             keys, rows = b.column("doc_id").to_pylist(), []
             for d, hits in sorted(index.scan(words).items()):
                 text = words.docs[d].split()
-                for t, shifts in sorted(hits.items()):
-                    rows += [(keys[d], *r) for r in _places(index, t, shifts, text, coverage)]
+                rows += [(keys[d], *r) for r in _places(index, hits, text, coverage)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
@@ -170,18 +169,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int32()), *((n, pa.int32()) for n in ("template_start", "template_end", "word_start", "word_end")), ("matched_text", pa.string())])
 
 
-def _places(index: TemplateIndex, t: int, shifts: set[int], text: list[bytes], coverage: float) -> list[tuple]:
-    template = index.words[t]
-    band = max(2, len(template) // 5)
-    found, seen = [], None
-    for s in sorted(shifts):
-        if seen is not None and s - seen <= band // 2:
-            continue  # the band of the last alignment holds this diagonal
-        seen = s
-        n, a, e, lo, hi = align(template, text, s, band)
-        if n >= coverage * len(template) - 1e-9:
-            found.append((index.names[t], n / len(template), n, a, e, lo, hi, b" ".join(text[lo:hi]).decode("utf-8", "replace")))
-    found.sort(key=lambda r: (-r[2], r[5], r[6]))
+def _places(index: TemplateIndex, hits: dict[int, set[int]], text: list[bytes], coverage: float) -> list[tuple]:
+    found = []
+    for t, shifts in sorted(hits.items()):
+        template = index.words[t]
+        band = max(2, len(template) // 5)
+        seen = None
+        for s in sorted(shifts):
+            if seen is not None and s - seen <= band // 2:
+                continue  # the band of the last alignment holds this diagonal
+            seen = s
+            n, a, e, lo, hi = align(template, text, s, band)
+            if n >= coverage * len(template) - 1e-9:
+                found.append((index.names[t], n / len(template), n, a, e, lo, hi, b" ".join(text[lo:hi]).decode("utf-8", "replace")))
+    found.sort(key=lambda r: (-r[2], r[6] - r[5], r[5], r[0]))
     out: list[tuple] = []
     for r in found:
         if all(r[6] <= o[5] or r[5] >= o[6] for o in out):
