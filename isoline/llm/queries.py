@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoline.llm import bpe, counts, records, tokens
+from isoline.llm import bpe, contamination, counts, exact, licenses, lines, records, simhash, tokens, toxicity, urls
 from isoline.session import table
 
 
@@ -26,5 +26,48 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), tokens.default_path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_bpe_round_trip, op3_token_counts)}
-SQL: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, links and lines to drop of every document."""
+    return lines.line_summary(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by a model fitted on labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in documents, with coverage and spans."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    return exact.exact_groups(table(spark, sf_dir, "documents")).drop("locator")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_token_records, op2_bpe_round_trip, op3_token_counts, op4_line_dedup, op5_toxicity, op6_benchmark_decontamination, op7_license_scan, op8_simhash_near_dedup, op9_exact_dedup, op10_url_filter)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {
+    "op9_exact_dedup": f"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), '{urls._UPPER}', '{urls._LOWER}') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)""",
+    "op10_url_filter": urls.sql(),
+}

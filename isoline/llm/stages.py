@@ -1,19 +1,36 @@
-"""The stages of corpus_pipeline.py."""
+"""The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir) and returns what goes on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoline.llm import bpe, tokens
+from isoline.llm import bpe, contamination, exact, simhash, tokens
+from isoline.llm import toxicity as severity
+from isoline.session import table
 
 
-def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document kept, with the digest of the text they decode to."""
-    return bpe.encode_decode(docs, tokens.default_path("byte_bpe_50k.json"))
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labelled ones, does not find toxic."""
+    return severity.drop_toxic(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id."""
+    return exact.drop_copies(docs)
+
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the document with the smallest doc_id."""
+    found = simhash.near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    return docs.join(found, docs["doc_id"] == found["_drop"], "left_anti")
 
-exact_dedup = simhash_near_dedup = decontamination = toxicity
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document kept, with the digest of the text they decode to."""
+    return bpe.encode_decode(docs, tokens.default_path("byte_bpe_50k.json"))
