@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from isoline.plans import geometry_queries, graph_queries, line_queries, text_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _m in (line_queries, text_queries, geometry_queries, graph_queries):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
