@@ -200,3 +200,32 @@ def test_colors_differ():
     palette = lambda k: ((k * 53) % 256, (k * 101) % 256, (k * 197) % 256)
     got = greedy.assign_colors(["GF", "GT", "GF", "", "LO"], {"GF": 3}, palette)
     assert got["GF"] == 3 and len(set(got.values())) == 3
+
+
+def test_conflicts_go_to_the_nearest(spark):
+    from isoline.operators import association
+
+    labels = spark.createDataFrame([(1, 1, "A"), (1, 2, "B"), (1, 3, "A"), (1, 4, "C"), (1, 5, "D")], "sheet_id int, pid_idx long, pid string")
+    picks = spark.createDataFrame([(1, 1, 10, 5.0), (1, 2, 10, 2.0), (1, 3, 11, 1.0), (1, 5, 12, 1.0)], "sheet_id int, pid_idx long, run_id long, cost double")
+    leaders = spark.createDataFrame([(1, 1, 11, 0.9), (1, 1, 13, 0.5), (1, 4, 14, 0.7)], "sheet_id int, pid_idx long, run_id long, score double")
+    got = {r.pid_idx: (r.run_id, r.state) for r in association.resolve(labels, picks, leaders).collect()}
+    assert got == {1: (13, "leader"), 2: (10, "attached"), 3: (11, "attached"), 4: (14, "leader"), 5: (12, "attached")}
+
+
+def test_tag_under_text(spark):
+    from isoline.operators import association
+
+    labels = spark.createDataFrame([(1, 1, 100, 100, 160, 112), (1, 2, 300, 100, 312, 160)], "sheet_id int, pid_idx long, x1 int, y1 int, x2 int, y2 int")
+    runs = spark.createDataFrame([(1, 10, "H", 0, 90, 400, 90), (1, 11, "H", 90, 120, 400, 120), (1, 12, "V", 320, 0, 320, 400), (1, 13, "V", 140, 80, 140, 200)], "sheet_id int, run_id long, axis string, x1 int, y1 int, x2 int, y2 int")
+    got = {r.pid_idx: r.run_id for r in association.direct(labels, runs, 34.0, 5.0, 50.0).collect()}
+    assert got == {1: 11, 2: 12}
+
+
+def test_thin_and_merge_tokens(spark):
+    from isoline.operators import breaks
+
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.5), (1, 2, 5.0, 5.0, 0.9), (1, 3, 40.0, 0.0, 0.5)], "sheet_id int, point_id int, x double, y double, conf double")
+    assert {r.point_id for r in breaks.thin(points, 30.0).collect()} == {2, 3}
+    tokens = spark.createDataFrame([(1, 1, "CDA", 0, 0, 10, 10), (1, 2, "CDA", 4, 0, 14, 10), (1, 3, "CDA", 90, 0, 99, 10), (1, 4, "CCC", 0, 0, 10, 10)], "sheet_id int, token_id int, text string, x1 int, y1 int, x2 int, y2 int")
+    got = sorted((r.text, r.x1, r.n) for r in breaks.merge_tokens(tokens).collect())
+    assert got == [("CCC", 0.0, 1), ("CDA", 2.0, 2), ("CDA", 90.0, 1)]
