@@ -229,3 +229,31 @@ def test_thin_and_merge_tokens(spark):
     tokens = spark.createDataFrame([(1, 1, "CDA", 0, 0, 10, 10), (1, 2, "CDA", 4, 0, 14, 10), (1, 3, "CDA", 90, 0, 99, 10), (1, 4, "CCC", 0, 0, 10, 10)], "sheet_id int, token_id int, text string, x1 int, y1 int, x2 int, y2 int")
     got = sorted((r.text, r.x1, r.n) for r in breaks.merge_tokens(tokens).collect())
     assert got == [("CCC", 0.0, 1), ("CDA", 2.0, 2), ("CDA", 90.0, 1)]
+
+
+def test_elbows_and_headers(spark):
+    from isoline.operators import tracing
+
+    cols = "sheet_id int, run_id long, axis string, x1 int, y1 int, x2 int, y2 int"
+    rows = [(1, 1, "H", 0, 0, 50, 0), (1, 2, "V", 51, 1, 51, 40), (1, 3, "H", 51, 40, 90, 40), (1, 4, "V", 90, 40, 90, 80), (1, 5, "H", 91, 40, 130, 40), (1, 6, "H", 300, 0, 340, 0)]
+    got = {r.run_id: (r.n_runs, len(r.points)) for r in tracing.merge_elbows(spark.createDataFrame(rows, cols), 2.0).collect()}
+    assert got == {1: (3, 4), 4: (1, 2), 5: (1, 2), 6: (1, 2)}
+    ring = [(1, 1, "H", 0, 0, 10, 0), (1, 2, "V", 10, 0, 10, 10), (1, 3, "H", 10, 10, 0, 10), (1, 4, "V", 0, 10, 0, 0)]
+    got = tracing.merge_elbows(spark.createDataFrame(ring, cols), 1.0).collect()
+    assert [(r.run_id, r.n_runs) for r in got] == [(1, 4)]
+    line = [(1, 1, "H", 0, 0, 50, 0), (1, 2, "H", 80, 1, 120, 1), (1, 3, "H", 200, 0, 210, 0), (1, 4, "V", 0, 0, 0, 9)]
+    got = sorted((r.axis, r.lo, r.hi, r.n_runs) for r in tracing.bridge_headers(spark.createDataFrame(line, cols), 45, 4).collect())
+    assert got == [("H", 0, 120, 2), ("H", 200, 210, 1), ("V", 0, 9, 1)]
+
+
+def test_junctions_and_edits(spark):
+    from isoline.operators import tracing
+
+    arms = {1: [(1, 0)], 2: [(1, 0), (-1, 0)], 3: [(1, 0), (0, 1)], 4: [(1, 0), (-1, 0), (0, 1)], 5: [(1, 0), (-1, 0), (0, 1), (0, -1)], 6: [(1, 0)] * 5}
+    df = spark.createDataFrame([(1, n, k, float(x), float(y)) for n, v in arms.items() for k, (x, y) in enumerate(v)], "sheet_id int, node_id int, arm int, dx double, dy double")
+    got = {r.node_id: r.kind for r in tracing.junctions(df).collect()}
+    assert got == {1: "endpoint", 2: "straight", 3: "corner", 4: "tee", 5: "crossover", 6: "complex"}
+    runs = spark.createDataFrame([(1, 5, "red", "a"), (1, 7, "blue", None), (1, 9, "red", "c")], "sheet_id int, run_id int, color string, label string")
+    changes = spark.createDataFrame([(1, 5, None, "green", None), (1, 9, True, None, None)], "sheet_id int, run_id int, deleted boolean, color string, label string")
+    got = [(r.run_idx, r.run_id, r.color, r.label) for r in tracing.renumber(tracing.edit(runs, changes, ["color", "label"])).orderBy("run_id").collect()]
+    assert got == [(0, 5, "green", "a"), (1, 7, "blue", None)]
