@@ -25,7 +25,16 @@ from isoline.session import cut, drop_path, path_exists, prepare, shared_path
 FILES_PER_BATCH = 64
 HOLD_BYTES = 48 << 20
 LOG = "digest binary, doc_id long, locator string, sha256 string"
-STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+#: State on disk; small stores neither reserve disk ahead nor write a whole snapshot per batch.
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.boundedMemoryUsage": "true",
+    f"{_ROCKS}.maxMemoryUsageMB": "256",
+    f"{_ROCKS}.allowFAllocate": "false",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 
 
 def normalised(text: str | None) -> bytes:
