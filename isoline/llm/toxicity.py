@@ -9,7 +9,6 @@ labels tie to toxic texts), cut at the quantiles of the sample.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoline.llm.words import by_bytes, texts_of
-from isoline.session import prepare
+from isoline.session import cut, prepare
 
 #: Most labelled rows that the model is fitted on, and most features that it keeps.
 SAMPLE_ROWS = 8_000
 MAX_FEATURES = 8_192
+#: A feature is kept if it is in at least MIN_HOT toxic texts, LIFT times as often as in others, and tells apart well.
+MIN_HOT, LIFT, MIN_GAIN = 4, 4.0, 15.0
 GRADES = 3
 SCORES = "doc_id long, severity int, expected_severity double, toxic_probability double, toxic boolean"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,7 +60,8 @@ def _ordinal(n: int, index: np.ndarray, row: np.ndarray, grade: np.ndarray, rows
     vw, vt = np.zeros(n), np.zeros(GRADES)
     hit = np.arange(GRADES)[None, :] >= grade[:, None]  # is severity <= k
     share = np.maximum(np.bincount(grade, minlength=2)[1:].sum(), 1)
-    weight = np.where(grade > 0, rows / (2 * share), rows / (2 * max(rows - share, 1)))
+    # toxic rows weigh more, half way (geometrically) between their share and an even one
+    weight = np.where(grade > 0, np.sqrt(max(rows - share, 1) / share), 1.0)
     rate = 2.0
     for _ in range(steps):
         score = np.bincount(row, w[index], minlength=rows)
@@ -72,46 +74,58 @@ def _ordinal(n: int, index: np.ndarray, row: np.ndarray, grade: np.ndarray, rows
     return w, theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, penalty: float = 1e-4, steps: int = 400) -> Model:
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, toxic, text) of the labelled documents with the smallest hash of their doc_id, at most `rows` of them."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    picked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = text.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")  # bounded by `rows`
+    return cut(found.dropDuplicates(["doc_id"]).dropDuplicates(["toxic", "text"]), "labelled")
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in by_bytes(batches, most=1 << 20):
+        toxic = b.column("toxic").to_pylist()
+        found = [(f, t) for x, t in zip(texts_of(b), toxic, strict=True) for f in features_of(x)]
+        yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in found], pa.string()), "toxic": pa.array([t for _, t in found], pa.int32())})
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, penalty: float = 1e-4, steps: int = 800) -> Model:
     """Fit on at most sample_rows labelled documents, those with the smallest hash of their doc_id.
 
-    Rows without a text or a label are left out. Without any labelled row, or with one class only, the model finds
-    nothing toxic.
+    Features are counted and chosen by Spark; the driver only gets the chosen ones and, per sampled document, the
+    numbers of those that it holds. Rows without a text or a label are left out. Without any labelled row, or with one
+    class only, the model finds nothing toxic.
     """
-    sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text is not null")
-    rows = text.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").toLocalIterator(prefetchPartitions=False)
-    read: list[tuple[int, int, list[str]]] = []
-    seen: set[int] = set()
-    hot, cold = Counter(), Counter()
-    for r in rows:
-        if r.doc_id in seen:
-            continue
-        seen.add(r.doc_id)
-        found = features_of(r.text)
-        (hot if r.toxic else cold).update(found)
-        if len(cold) > 2_000_000:  # words seen once tell nothing; dropping them bounds the driver's memory
-            cold = Counter({k: v for k, v in cold.items() if v > 1})
-        read.append((r.doc_id, r.toxic, list(found)))
-    n_hot = sum(t for _, t, _ in read)
-    n_cold = len(read) - n_hot
+    prepare(docs.sparkSession)
+    sample = _sample(docs, labels, sample_rows)
+    size = {r.toxic > 0: r.n for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    n_hot, n_cold = size.get(True, 0), size.get(False, 0)
     if not n_hot or not n_cold:
         return Model({}, np.zeros(0), np.full(GRADES, 20.0))
-    odds = {f: np.log((c + 0.5) / (n_hot + 1)) - np.log((cold[f] + 0.5) / (n_cold + 1)) for f, c in hot.items() if c >= 3}
-    common = {f for f, _ in cold.most_common(max_features // 2)}
-    best = sorted(odds, key=lambda f: (-abs(odds[f]) * np.sqrt(hot[f]), f))[: max_features - len(common)]
-    names = sorted({*best, *common})
-    number = {f: i for i, f in enumerate(names)}
-    markers = {f for f in best if odds[f] > 2 and not f.endswith("*")}
-    read.sort()
-    pairs = [(k, number[f]) for k, (_, _, found) in enumerate(read) for f in sorted(found) if f in number]
-    marks = np.array([sum(f in markers for f in found) for _, _, found in read])
-    toxic = np.array([t for _, t, _ in read])
-    cut = np.quantile(marks[toxic == 1], np.arange(1, GRADES) / GRADES)
-    grade = np.where(toxic == 1, 1 + (marks[:, None] > cut[None, :]).sum(1), 0)
-    row, index = np.array(pairs, np.int64).reshape(-1, 2).T
-    w, theta = _ordinal(len(names), index, row, grade, len(read), penalty, steps)
+    counts = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(_feature_rows, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("hot"), F.sum(1 - F.col("toxic")).alias("cold"))
+    # how much better two rates explain a feature's counts than one rate does
+    hot, cold, seen = F.col("hot").cast("double"), F.col("cold").cast("double"), (F.col("hot") + F.col("cold")) / (n_hot + n_cold)
+    gain = 2 * (hot * F.log(hot / (n_hot * seen)) + F.when(cold > 0, cold * F.log(cold / (n_cold * seen))).otherwise(0.0))
+    best = counts.where((F.col("hot") >= MIN_HOT) & (hot / n_hot > LIFT * cold / n_cold)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
+    best = best.orderBy(F.desc("gain"), "feature").limit(max_features).collect()
+    number = {f: i for i, f in enumerate(sorted(r.feature for r in best))}
+    markers = np.array([not f.endswith("*") for f in sorted(number)], bool)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, most=1 << 20):
+            hits = [sorted(number[f] for f in features_of(x) if f in number) for x in texts_of(b)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "hits": pa.array([np.array(h, np.int32).tobytes() for h in hits], pa.binary())})
+
+    rows = sorted(sample.mapInArrow(encode, "doc_id long, toxic int, hits binary").collect())
+    held = [np.frombuffer(r.hits, np.int32) for r in rows]
+    index = np.concatenate([np.zeros(0, np.int32), *held]).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(h) for h in held])
+    toxic = np.array([r.toxic > 0 for r in rows])
+    marks = np.bincount(row, markers[index], minlength=len(rows))
+    bounds = np.quantile(marks[toxic], np.arange(1, GRADES) / GRADES)
+    grade = np.where(toxic, 1 + (marks[:, None] > bounds[None, :]).sum(1), 0)
+    w, theta = _ordinal(len(number), index, row, grade, len(rows), penalty, steps)
     return Model(number, w, theta)
 
 
