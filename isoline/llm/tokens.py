@@ -25,7 +25,7 @@ _LOADED: dict[tuple, object] = {}
 
 
 def _letter(c: str) -> bool:
-    return c.isalpha() and ord(c) < _LATIN
+    return c.isalpha() and ord(c) < _LATIN and c != "\u0130"  # whose small form ends with a mark
 
 
 def load(path: str):
