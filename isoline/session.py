@@ -12,8 +12,15 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch where the session leaves Spark's own 64 MB: a batch is held several times over.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is run from a source checkout."""
+    """Let Python workers import this package when it is run from a source checkout, and bound their batches."""
+    key, default, own = ARROW_BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, own)
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in have:
