@@ -73,9 +73,9 @@ def average_precision(hits: DataFrame, cls: str, score: str, order: str, tp: str
 
 
 def dominant_vote(votes: DataFrame, keys: tuple[str, ...], value: str, order: str) -> DataFrame:
-    """The most frequent value per keys; of equally frequent ones the first seen."""
+    """The most frequent value per keys; of equally frequent ones the first seen, then the largest."""
     n = votes.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value), F.max("n").alias("n_votes"))
+    return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("first"), value)).alias(value), F.max("n").alias("n_votes"))
 
 
 def match_stems(sources: DataFrame, stems: DataFrame) -> DataFrame:

@@ -257,3 +257,15 @@ def test_junctions_and_edits(spark):
     changes = spark.createDataFrame([(1, 5, None, "green", None), (1, 9, True, None, None)], "sheet_id int, run_id int, deleted boolean, color string, label string")
     got = [(r.run_idx, r.run_id, r.color, r.label) for r in tracing.renumber(tracing.edit(runs, changes, ["color", "label"])).orderBy("run_id").collect()]
     assert got == [(0, 5, "green", "a"), (1, 7, "blue", None)]
+
+
+def test_shapes(spark):
+    from isoline.operators import shapes
+
+    row = spark.range(1).select(
+        shapes.straight_pieces(F.expr("array(array(0, 0), array(10, 0), array(20, 0), array(20, 10))")).alias("two"),
+        shapes.straight_pieces(F.expr("array(array(0, 0), array(10, 0))")).alias("one"),
+        shapes.is_gradual(F.expr("array(array(0, 0), array(10, 1), array(20, 4), array(29, 9))")).alias("yes"),
+        shapes.is_gradual(F.expr("array(array(0, 0), array(10, 0), array(10, 10), array(0, 10))")).alias("no"),
+    ).first()
+    assert (row.two, row.one, row.yes, row.no) == (2, 1, True, False)
