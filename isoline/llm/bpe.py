@@ -92,10 +92,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
             for b in held:
                 for t in texts_of(b):
                     words.update(tokens.split_keeping_space(t))
-            cut = [w for w in words if tokens.tail_sign(w)]
-            words.difference_update(cut)
-            words.update(w[:-1] for w in cut)
-            words.update(w[-1] for w in cut)
+            cut = [(w, n) for w in words if (n := tokens.tail_at(w))]
+            words.difference_update(w for w, _ in cut)
+            words.update(w[:n] for w, n in cut)
+            words.update(w[n:] for w, n in cut)
             dealt: list[list[str]] = [[] for _ in range(buckets)]
             for w in sorted(words):
                 dealt[zlib.crc32(w.encode(*_CODE)) % buckets].append(w)
@@ -122,7 +122,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = tokens.pieces(tokenizer)
-        table = WordIds(_Known(tokenizer, right).encode, tokens.tail_sign, max_words=1 << 62)  # a block bounds it
+        table = WordIds(_Known(tokenizer, right).encode, tokens.tail_at, max_words=1 << 62)  # a block bounds it
         keys: list[int | None] = []
         rows: list[list] = [[], [], []]
         for ids_, sizes, packed in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "sizes", "packed")), strict=True):

@@ -162,7 +162,7 @@ def write_records(docs: DataFrame, tokenizer: str, out: str | None = None, *, id
         part = TaskContext.get().partitionId()
         where, folder = fs.FileSystem.from_uri(out)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        state: WordIds = tokens.worker_state(("ids", tokenizer), lambda: WordIds(lambda w: tokens.encode_flat(tokenizer, w), tokens.tail_sign))
+        state: WordIds = tokens.worker_state(("ids", tokenizer), lambda: WordIds(lambda w: tokens.encode_flat(tokenizer, w), tokens.tail_at, max_words=1_000_000))
         wide = tokens.load(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         n_docs = n_tokens = at = 0
         first, sizes, data = None, [], None

@@ -41,9 +41,15 @@ def load(path: str):
     return _LOADED["t", path]
 
 
-def tail_sign(word: str) -> bool:
-    """Whether a word's last full stop or comma stands after a letter, where the tokenizers always cut."""
-    return len(word) > 2 and word[-1] in ".," and _letter(word[-2])
+#: Signs that end words; a run of them after a letter is one unit to the tokenizers.
+_SIGNS = ".,;:!?$%&*#+-=@~^/)]}\""
+
+
+def tail_at(word: str) -> int:
+    """Where a run of signs at the end of a word starts if it stands after a letter, where the tokenizers always cut;
+    else 0."""
+    n = len(word.rstrip(_SIGNS))
+    return n if 1 < n < len(word) and _letter(word[n - 1]) else 0
 
 
 def _edges(path: str) -> tuple[bool, np.ndarray]:
@@ -98,9 +104,12 @@ def encode_flat(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_words(path: str, words: list[str]) -> list[np.ndarray]:
-    """Ids of each distinct word; a last full stop or comma after a letter is encoded once for all."""
+    """Ids of each distinct word; signs at the end of words are encoded once for all."""
     code: dict[str, int] = {}
-    parts = [(code.setdefault(w[:-1], len(code)), code.setdefault(w[-1], len(code))) if tail_sign(w) else (code.setdefault(w, len(code)),) for w in words]
+    parts = []
+    for w in words:
+        n = tail_at(w)
+        parts.append([code.setdefault(p, len(code)) for p in ((w[:n], w[n:]) if n else (w,))])
     flat, lens = encode_flat(path, list(code))
     at = np.split(flat, np.cumsum(lens)[:-1]) if len(lens) else []
     return [at[p[0]] if len(p) == 1 else np.concatenate([at[i] for i in p]) for p in parts]

@@ -45,13 +45,13 @@ class WordCodes(dict):
 class WordIds:
     """A bounded table of distinct words and their ids, kept in an Arrow worker between tasks.
 
-    encode turns a list of distinct words into (ids one after the other, number of ids of each). cut_last says whether
-    a word's last sign is a word of its own. The table starts anew beyond max_words, which bounds memory and changes no
+    encode turns a list of distinct words into (ids one after the other, number of ids of each). cut says where
+    the end of a word is a word of its own (0: nowhere). The table starts anew beyond max_words, which bounds memory and changes no
     result: a word is then encoded once more.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut_last: Callable[[str], bool] = lambda w: False, max_words: int = 700_000) -> None:
-        self.encode, self.cut_last, self.max_words = encode, cut_last, max_words
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[str], int] = lambda w: 0, max_words: int = 700_000) -> None:
+        self.encode, self.cut, self.max_words = encode, cut, max_words
         self.reset()
 
     def reset(self) -> None:
@@ -73,8 +73,8 @@ class WordIds:
         table = self.codes
         whole, joined = [], []
         for w in table.fresh:  # grows while it is read: a first part may be new as well
-            if self.cut_last(w):
-                joined.append((table[w], table[w[:-1]], table[w[-1]]))
+            if n := self.cut(w):
+                joined.append((table[w], table[w[:n]], table[w[n:]]))
             else:
                 whole.append(w)
         table.fresh = []
