@@ -22,17 +22,19 @@ from isoline.llm.words import by_bytes, texts_of
 from isoline.session import cut, drop_path, path_exists, prepare, shared_path
 
 #: Log files per micro-batch, and bytes of distinct text that a task holds before it hands them on.
-FILES_PER_BATCH = 64
-HOLD_BYTES = 48 << 20
+FILES_PER_BATCH = 128
+HOLD_BYTES = 24 << 20
 LOG = "digest binary, doc_id long, locator string, sha256 string"
-#: State on disk; small stores neither reserve disk ahead nor write a whole snapshot per batch.
+#: State on disk; small stores neither reserve disk ahead nor write a whole snapshot per batch, and a store is in an
+#: executor's memory only while its task runs, however many partitions there are.
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_ROCKS}.boundedMemoryUsage": "true",
-    f"{_ROCKS}.maxMemoryUsageMB": "256",
+    f"{_ROCKS}.maxMemoryUsageMB": "128",
     f"{_ROCKS}.allowFAllocate": "false",
     f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
@@ -157,6 +159,6 @@ def _texts(held: dict[tuple[bytes, bytes], None]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns. Rows without a doc_id stay."""
+    """The rows of docs that exact_groups keeps, with all their columns. Of equal texts without any doc_id all stay."""
     kept = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
