@@ -63,7 +63,9 @@ class ItemIndex:
             self.ids.append(item_id)
             self.sets.append(found)
         self.parts = {u: [(np.array(sorted(p)).reshape(-1, 2)[:, 0].astype(np.uint32), np.array(sorted(p)).reshape(-1, 2)[:, 1]) for p in by] for u, by in keys.items()}
-        self.bits = {u: [_bitmap(p[0]) for p in by] for u, by in self.parts.items()}
+        # a first look that few windows pass; 64 KB per hash function and partition at most
+        self.width = min(16, max(10, (128 * len(self.ids)).bit_length()))
+        self.bits = {u: [_bitmap(p[0], self.width) for p in by] for u, by in self.parts.items()}
 
     def candidates(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that share a minimum, given the documents' shingle hashes."""
@@ -88,8 +90,10 @@ class ItemIndex:
                     width *= 2
                 pair = np.where(own[:-1] == own[1:], np.minimum(least[:-1], least[1:]), least[:-1])
                 window = np.append(pair, least[-1:])
-                for i in np.flatnonzero(self.bits[u][k][window >> np.uint32(14)]).tolist():
-                    keys, items = self.parts[u][k]
+                keys, items = self.parts[u][k]
+                hits = np.flatnonzero(self.bits[u][k][window >> np.uint32(32 - self.width)])
+                hits = hits[keys[np.minimum(np.searchsorted(keys, window[hits]), len(keys) - 1)] == window[hits]]
+                for i in hits.tolist():
                     lo, hi = (np.searchsorted(keys, window[i], side=side) for side in ("left", "right"))
                     found.update((int(own[i]), int(j)) for j in items[lo:hi])
         return found
@@ -107,9 +111,9 @@ def _narrow(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def _bitmap(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << 18, bool)
-    bits[keys >> np.uint32(14)] = True
+def _bitmap(keys: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(1 << width, bool)
+    bits[keys >> np.uint32(32 - width)] = True
     return bits
 
 
