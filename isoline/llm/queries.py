@@ -27,8 +27,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, links and lines to drop of every document."""
-    return lines.line_summary(table(spark, sf_dir, "documents"))
+    """Class, number of links and verdict of every line of every document."""
+    return lines.near_lines(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
