@@ -3,8 +3,9 @@
 Items are partitioned by their number of shingles; a partition with upper bound u is searched for in windows of 2u
 shingles that start every u shingles, so an item of the partition is at least a fair share of some window however
 long the document is. An item and a window are a candidate pair if they share the minimum of any of HASHES hash
-functions. A document with 0.8 n of an item's n shingles, wherever they stand, has HASHES * 0.8 n / 2u >= 12.8
-expected hits, so it is missed with a probability below 3e-6. Candidates are then decided on the words themselves.
+functions. A document with 0.8 n of an item's n >= FEW shingles, wherever they stand, has HASHES * 0.8 n / 2u >= 12.8
+expected hits, so it is missed with a probability below 3e-6. Items of fewer than FEW shingles are looked up by all
+their shingles and never missed. Candidates are then decided on the words themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ HASHES = 64
 #: Most items that are searched for in one pass; more items take more passes over the documents.
 BLOCK_ITEMS = 20_000
 BASE = 16
+#: Items of fewer shingles are a small share of the smallest windows, so they are looked up by every shingle.
+FEW = 8
 PAIRS = "doc_id long, item_id long, containment double, n_shared int, n_item_shingles int"
 
 
@@ -51,11 +54,17 @@ class ItemIndex:
         self.sets: list[set[bytes]] = []
         self.ids: list[int] = []
         keys: dict[int, list[list[tuple[int, int]]]] = {}
+        few: list[tuple[int, int]] = []
         for item_id, text in items:
             found = shingle_set(normal(text).split())
             if not found:
                 continue  # fewer words than a shingle: not searchable
             h = _narrow(np.unique(Words([text]).shingles(SHINGLE)[0]))
+            if len(found) < FEW:
+                few += [(int(x), len(self.ids)) for x in h]
+                self.ids.append(item_id)
+                self.sets.append(found)
+                continue
             least = (h[None, :] * mult[:, None] + add[:, None]).min(1)
             at = keys.setdefault(_bound(len(found)), [[] for _ in range(HASHES)])
             for k in range(HASHES):
@@ -66,12 +75,18 @@ class ItemIndex:
         # a first look that few windows pass; 64 KB per hash function and partition at most
         self.width = min(16, max(10, (128 * len(self.ids)).bit_length()))
         self.bits = {u: [_bitmap(p[0], self.width) for p in by] for u, by in self.parts.items()}
+        few.sort()
+        self.few = np.array([x for x, _ in few], np.uint32), [i for _, i in few]
+        self.few_bits = _bitmap(self.few[0], 20)
 
     def candidates(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) pairs that share a minimum, given the documents' shingle hashes."""
+        """(document, item) pairs that share a minimum, or a shingle of a small item, given the documents' shingle hashes."""
         has = np.flatnonzero(count)
         if not len(has) or not self.ids:
             return set()
+        found = self._small(_narrow(h), first + count)
+        if not self.parts:
+            return found
         # every document's shingles are padded to whole base blocks by repeating its last shingle
         blocks = -(-count[has] // BASE)
         start = np.cumsum(blocks) - blocks
@@ -80,7 +95,6 @@ class ItemIndex:
         grid = np.ascontiguousarray(_narrow(h)[at].reshape(-1, BASE).T)
         owner = np.repeat(has, blocks)
         mult, add = _hash_functions()
-        found: set[tuple[int, int]] = set()
         for k in range(HASHES):
             least = np.minimum.reduce(grid * mult[k] + add[k], axis=0)
             own, width = owner, 1
@@ -98,6 +112,19 @@ class ItemIndex:
                     found.update((int(own[i]), int(j)) for j in items[lo:hi])
         return found
 
+    def _small(self, h: np.ndarray, end: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) pairs that share a shingle, of items with fewer than FEW."""
+        keys, items = self.few
+        found: set[tuple[int, int]] = set()
+        if len(keys):
+            hits = np.flatnonzero(self.few_bits[h >> np.uint32(12)])
+            hits = hits[keys[np.minimum(np.searchsorted(keys, h[hits]), len(keys) - 1)] == h[hits]]
+            owner = np.searchsorted(end, hits, side="right")
+            lo, hi = (np.searchsorted(keys, h[hits], side=side) for side in ("left", "right"))
+            for d, a, b in zip(owner.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                found.update((d, i) for i in items[a:b])
+        return found
+
 
 def _halve(least: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join each document's blocks two by two."""
