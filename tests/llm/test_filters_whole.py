@@ -2,7 +2,7 @@
 
 import random
 
-from isoline.llm import contamination
+from isoline.llm import contamination, urls
 
 
 def test_small_items_are_never_missed(spark):
@@ -14,3 +14,19 @@ def test_small_items_are_never_missed(spark):
     assert sorted((x.doc_id, x.item_id) for x in contamination.find_items(df, it).collect()) == [(k, k) for k, _ in items]
     assert contamination.drop_contaminated(df, it).count() == 0
     assert contamination.drop_contaminated(df, it.where("item_id % 7 = 0")).count() == sum(k % 7 != 0 for k, _ in items)
+
+
+def test_every_link_of_a_page_counts(spark):
+    pages = [
+        (1, "http://one.info/a", '<link rel="canonical" href="http://free.info/1"><link rel="canonical" href="http://c.net/de/5">'),
+        (2, "http://two.info/a", """<meta http-equiv="refresh" content="0; url='http://c.net/de/6'">"""),
+        (3, "http://three.info/a", '<meta http-equiv=refresh content="0;url=http://free.info/2"><p><meta http-equiv=refresh content="5;url=http://one.info/a">'),
+        (4, "http://four.info/a", '<link rel=canonical href="http://hub.info/q?x=1&amp;y=2">'),
+        (5, "http://hub.info/q?x=1&y=2", '<link rel=canonical href="http://c.net/de/7">'),
+        (6, "http://free.info/1", None),
+        (7, "http://free.info/2", None),
+        (8, "http://free.info/3", '<link rel=canonical href="http://free.info/4"><link rel=canonical href="http://free.info/5">'),
+        (9, "http://five.info/a", '<meta content="0; URL=&quot;x" http-equiv="other"><meta content=\'0; url="http://c.net/de/8"\' http-equiv="Refresh">'),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: "allow" if k == 8 else "block" for k in range(1, 10)}
