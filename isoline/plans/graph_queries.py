@@ -20,7 +20,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "d_tags").where("run_id is not null and fluid <> '' and pid_idx % 5 = 1").select("sheet_id", "run_id", F.col("pid_idx").alias("source"))
+    return derived(spark, sf_dir, "d_tags").where("run_id is not null and fluid <> ''").select("sheet_id", "run_id", F.col("pid_idx").alias("source"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ SELECT node, min(other) AS component FROM r GROUP BY node"""
 
 
 def propagation_by_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all pipes from a fifth of the tags, sheet by sheet (shortest paths; tests hold it against the loop)."""
+    """Labels of all pipes from all tags, sheet by sheet (shortest paths; tests hold it against the loop)."""
     return propagation.propagate_by_sheet(_runs(spark, sf_dir), _edges(spark, sf_dir), _seeds(spark, sf_dir))
 
 
@@ -43,8 +43,9 @@ def propagation_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipes labelled directly and by propagation, per sheet."""
-    return propagation.coverage(_runs(spark, sf_dir), propagation_by_sheet(spark, sf_dir))
+    """Pipes labelled directly and by propagation, per sheet, from a fifth of the tags as in its SQL."""
+    runs = _runs(spark, sf_dir)
+    return propagation.coverage(runs, propagation.propagate_by_sheet(runs, _edges(spark, sf_dir), _seeds(spark, sf_dir).where("source % 5 = 1")))
 
 
 LABEL_COVERAGE = f"""{with_('d_runs', 'd_tags')}, e AS ({_ADJACENCY}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t AS (SELECT run_id FROM d_tags WHERE run_id IS NOT NULL AND fluid <> '' AND pid_idx % 5 = 1),
