@@ -1,13 +1,15 @@
-"""License scans: winnowed fingerprints of templates pick candidates, banded alignment decides.
+"""License scans: shared word runs of templates pick candidates, banded alignment decides.
 
-A fingerprint is the hash of K words; of every WINDOW hashes in a row the smallest is kept, in templates and in
-documents alike, so any run of K + WINDOW - 1 equal words shares one. The inverted index from fingerprint to (template,
-position) is as large as the templates, which are fixed. A shared fingerprint proposes a diagonal; hits of a template
-on nearby diagonals are one candidate, and a banded alignment of the words around it gives matched coverage and spans.
+Every run of K words of a template, or of SHORT_K words of one with fewer than SHORT, is a key of an inverted index to
+(template, position), which is as large as the templates, which are fixed. A run that a document shares proposes a
+diagonal; hits of a template on nearby diagonals are one candidate. If enough of its words are there at all, a banded
+alignment of the words around it gives matched coverage and spans. A place of 0.8 of a template without words in
+between always shares such a run; a place with words put in is found if a run is left whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,38 @@ from isoline.llm.words import Words, by_bytes, normal, texts_of
 from isoline.session import prepare
 
 K = 3
-WINDOW = 2
+#: Templates of fewer words than SHORT are looked for by runs of SHORT_K.
+SHORT, SHORT_K = 10, 2
 COVERAGE = 0.8
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(what: str, name: str, version: str, mark: str) -> str:
+    return (
+        f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free "
+        f"Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        f"PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see"
+    )
+
+
 #: Names and wording of public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -37,27 +69,27 @@ TEMPLATES = {
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
-        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+        "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
-        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
+    "GPL-3.0-header": _gnu("program", "General Public License", "3", ":"),
+    "GPL-2.0-header": _gnu("program", "General Public License", "2", ";"),
+    "LGPL-3.0-header": _gnu("program", "Lesser General Public License", "3", ":"),
+    "LGPL-2.1-header": _gnu("library", "Lesser General Public License", "2.1", ";"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."
-    ),
+    "BSD-3-Clause": _BSD_CLAUSES + _BSD_THIRD + _BSD_DISCLAIMER,
+    "BSD-2-Clause": _BSD_CLAUSES + _BSD_DISCLAIMER,
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies."
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
@@ -65,14 +97,6 @@ TEMPLATES = {
 FOUND = "doc_id long, license string, coverage double, n_matched int, template_start int, template_end int, word_start int, word_end int, matched_text string"
 
 
-def winnow(h: np.ndarray) -> np.ndarray:
-    """Positions of the hashes that winnowing keeps: of every WINDOW in a row the smallest, the last of equals."""
-    if len(h) <= WINDOW:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-    return np.unique(np.arange(len(rows)) + WINDOW - 1 - rows[:, ::-1].argmin(1))
-
-
 def align(template: list[bytes], words: list[bytes], shift: int, band: int) -> tuple[int, int, int, int, int]:
     """Best local alignment of the template with words, where word j faces template word j - shift, within band.
 
@@ -105,50 +129,44 @@ def align(template: list[bytes], words: list[bytes], shift: int, band: int) -> t
 
 
 class TemplateIndex:
-    """Inverted index from fingerprint to (template, position), and each template's words."""
+    """Inverted index from word run to (template, position), and each template's words."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = sorted(templates)
         self.words = [normal(templates[n]).split() for n in self.names]
-        entries = []
-        for t, name in enumerate(self.names):
-            h = Words([templates[name]]).shingles(K)[0]
-            entries += [(int(h[p]), t, int(p)) for p in winnow(h)]
-        entries.sort()
-        self.keys = np.array([e[0] for e in entries], np.uint64)
-        self.at = [e[1:] for e in entries]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys >> np.uint64(44)] = True
+        self.runs = []
+        for k in (K, SHORT_K):
+            entries = []
+            for t, name in enumerate(self.names):
+                if k == (SHORT_K if len(self.words[t]) < SHORT else K):
+                    entries += [(int(x), t, p) for p, x in enumerate(Words([templates[name]]).shingles(k)[0])]
+            entries.sort()
+            keys = np.array([e[0] for e in entries], np.uint64)
+            bits = np.zeros(1 << 20, bool)
+            bits[keys >> np.uint64(44)] = True
+            self.runs.append((k, keys, [e[1:] for e in entries], bits))
 
     def scan(self, words: Words) -> dict[int, dict[int, set[int]]]:
         """For each document, the diagonals (document position less template position) of each template hit."""
-        h, first, count = words.shingles(K)
-        hot = np.flatnonzero(self.bits[h >> np.uint64(44)])
-        hot = hot[np.isin(h[hot], self.keys)]
-        owner = np.searchsorted(first + count, hot, side="right")
         out: dict[int, dict[int, set[int]]] = {}
-        for p, d in zip(hot.tolist(), owner.tolist(), strict=True):
-            pos, n = p - int(first[d]), int(count[d])
-            near = [h[p + o] for o in range(-WINDOW + 1, WINDOW) if 0 <= pos + o < n]
-            if n > WINDOW and not self._kept(near, min(pos, WINDOW - 1)):
-                continue
-            lo, hi = (np.searchsorted(self.keys, h[p], side=side) for side in ("left", "right"))
-            for t, q in self.at[lo:hi]:
-                out.setdefault(d, {}).setdefault(t, set()).add(pos - q)
+        for k, keys, at, bits in self.runs:
+            h, first, count = words.shingles(k)
+            hot = np.flatnonzero(bits[h >> np.uint64(44)])
+            hot = hot[np.isin(h[hot], keys)]
+            owner = np.searchsorted(first + count, hot, side="right")
+            lo, hi = (np.searchsorted(keys, h[hot], side=side) for side in ("left", "right"))
+            for p, d, a, b in zip(hot.tolist(), owner.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for t, q in at[a:b]:
+                    out.setdefault(d, {}).setdefault(t, set()).add(p - int(first[d]) - q)
         return out
 
-    @staticmethod
-    def _kept(near: list, at: int) -> bool:
-        """Whether winnowing keeps near[at], given every hash that shares a window with it."""
-        return any(winnowed == at for k in range(max(0, at - WINDOW + 1), min(at, len(near) - WINDOW) + 1) for winnowed in [k + WINDOW - 1 - int(np.argmin(near[k : k + WINDOW][::-1]))])
-
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, license and place that holds at least `coverage` of the template's words in order.
 
     Spans are half-open and count words: template_start/end in the template, word_start/end in the document.
-    Of overlapping places, of whichever templates, the one with the most matched words stays, then the shorter, the first. Templates shorter than K words are looked
-    for through their whole text and need K words at least. Null and empty texts hold nothing. One pass, no shuffle.
+    Of overlapping places, of whichever templates, the one with the most matched words stays, then the larger coverage,
+    the shorter, the first. Templates need SHORT_K words at least. Null and empty texts hold nothing. One pass, no shuffle.
     """
     prepare(docs.sparkSession)
     index = TemplateIndex(templates or TEMPLATES)
@@ -174,15 +192,18 @@ def _places(index: TemplateIndex, hits: dict[int, set[int]], text: list[bytes],
     for t, shifts in sorted(hits.items()):
         template = index.words[t]
         band = max(2, len(template) // 5)
+        need, want = coverage * len(template) - 1e-9, Counter(template)
         seen = None
         for s in sorted(shifts):
             if seen is not None and s - seen <= band // 2:
                 continue  # the band of the last alignment holds this diagonal
+            if (want & Counter(text[max(0, s - band) : max(0, s + len(template) + band)])).total() < need:
+                continue  # the words that the band can match are too few in any order
             seen = s
             n, a, e, lo, hi = align(template, text, s, band)
-            if n >= coverage * len(template) - 1e-9:
+            if n >= need:
                 found.append((index.names[t], n / len(template), n, a, e, lo, hi, b" ".join(text[lo:hi]).decode("utf-8", "replace")))
-    found.sort(key=lambda r: (-r[2], r[6] - r[5], r[5], r[0]))
+    found.sort(key=lambda r: (-r[2], -r[1], r[6] - r[5], r[5], r[0]))
     out: list[tuple] = []
     for r in found:
         if all(r[6] <= o[5] or r[5] >= o[6] for o in out):

@@ -2,7 +2,7 @@
 
 import random
 
-from isoline.llm import contamination, urls
+from isoline.llm import contamination, licenses, urls
 
 
 def test_small_items_are_never_missed(spark):
@@ -30,3 +30,18 @@ def test_every_link_of_a_page_counts(spark):
     ]
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {k: "allow" if k == 8 else "block" for k in range(1, 10)}
+
+
+def test_neighbouring_and_reworded_licenses(spark):
+    t = licenses.TEMPLATES
+    mit = "Released under the MIT License".split()
+    rows = [
+        (1, "BSD-2-Clause", t["BSD-3-Clause"].replace(licenses._BSD_THIRD, "")),
+        (2, "GPL-2.0-header", t["GPL-3.0-header"].replace("version 3", "version 2")),
+        (3, "BSD-3-Clause", t["BSD-3-Clause"]),
+        (4, "LGPL-3.0-header", t["GPL-3.0-header"].replace("GNU General", "GNU Lesser General")),
+        *((5 + k, "MIT", " ".join([*("pre" * k for k in range(1, 9)), *mit[:k], "other", *mit[k + 1 :], "post"])) for k in range(5)),
+    ]
+    got = licenses.scan(spark.createDataFrame([(k, x) for k, _, x in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(k, n) for k, n, _ in rows]
+    assert all(r.matched_text.endswith("such damage") for r in got if r.license.startswith("BSD"))
