@@ -31,11 +31,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder of this process stands in.
+    A local session that names none gets a temporary folder of this process; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="isoline-")
@@ -47,11 +49,19 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/isoline/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
-    path = shared_path(df.sparkSession, tag)
+def cut(df: DataFrame, tag: str, instead: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    A loop that hands over a list gets the path of its last round deleted as soon as the new one is written.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        for old in instead:
+            drop_path(spark, old)
+        instead[:] = [path]
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
