@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoline.llm.rows import located, without
 from isoline.llm.words import by_bytes, texts_of
 from isoline.operators.graph import connected_components
 from isoline.session import cut, prepare
@@ -30,6 +31,8 @@ SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
 PAIR_BLOCK = 1 << 20
+#: Homes of a tile from which on its visitors are dealt to several tasks.
+DENSE = 20_000
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 _PLAIN = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
@@ -55,16 +58,20 @@ def fingerprint(text: str | None) -> int:
     return int(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(lo))))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the unsigned fingerprint's bits as a signed long. Null counts as empty."""
+def fingerprints(docs: DataFrame, *others: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, others) of every row; fp is the unsigned fingerprint's bits as a signed long. Null counts as empty."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches):
             fp = np.array([fingerprint(t) for t in texts_of(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fp)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fp), **{f"other{k}": b.column(f"other{k}") for k in range(len(others))}})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    named = [F.col(c).alias(f"other{k}") for k, c in enumerate(others)]
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *named)
+    kinds = dict(narrow.dtypes)
+    out = narrow.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"other{k} {kinds[f'other{k}']}" for k in range(len(others)))]))
+    return out.withColumnsRenamed({f"other{k}": c for k, c in enumerate(others)})
 
 
 def _moves(radius: int) -> np.ndarray:
@@ -81,8 +88,8 @@ def _tile(counts: np.ndarray) -> np.ndarray:
 
 
 def tile_rows(radius: int):
-    """Each fingerprint once at home in its tile and once as a visitor of each tile within radius on one side."""
-    moves = _moves(radius)
+    """Each fingerprint once at home in its tile, and as a visitor of its own and of each tile near on one side."""
+    moves = np.concatenate([np.zeros((1, 8), np.int64), _moves(radius)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,20 +105,35 @@ def tile_rows(radius: int):
     return run
 
 
+#: The tile of column fp in SQL.
+TILE = " + ".join(f"shiftleft(cast(bit_count(shiftright(fp, {8 * k}) & 255) as bigint), {4 * k})" for k in range(8))
+
+
+def dealt_tiles(reps: DataFrame, radius: int, dense: int) -> DataFrame:
+    """tile_rows, dealt by (tile, part): of a tile with more than `dense` homes every part has all homes and a share of
+    the visitors, so that its pairs are spread over as many tasks as it has `dense` homes."""
+    rows = reps.select("fp").mapInArrow(tile_rows(radius), "tile long, visitor boolean, fp long")
+    crowds = cut(reps.groupBy(F.expr(TILE).alias("tile")).agg(F.count("*").alias("n")).where(F.col("n") > dense), "dense-tiles")
+    if crowds.isEmpty():
+        return rows.repartition("tile").withColumn("part", F.lit(0)).sortWithinPartitions("tile", "part", "visitor")
+    parts = crowds.select("tile", F.ceil(F.col("n") / dense).cast("int").alias("parts"))
+    rows = rows.join(parts, "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.when(F.col("visitor"), F.array(F.pmod(F.hash("fp"), F.col("parts")))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    return rows.select("tile", "visitor", "fp", F.explode(own).alias("part")).repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor")
+
+
 def compare_tiles(radius: int):
-    """Read rows sorted by (tile, visitor): compare homes with homes and with visitors; yield a spanning forest."""
+    """Read rows sorted by (tile, part, visitor): compare homes with visitors; yield a spanning forest of the links."""
 
-    def links(a: np.ndarray, b: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    def links(homes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        step = max(1, PAIR_BLOCK // max(1, len(a)))
-        for k in range(0, len(b), step):
-            near = np.bitwise_count(a[:, None] ^ b[None, k : k + step]) <= radius
-            i, j = np.nonzero(near)
-            if own:
-                i, j = i[i < j + k], j[i < j + k]
-            left.append(a[i])
-            right.append(b[j + k])
-        return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], a[:0])
+        step = max(1, PAIR_BLOCK // max(1, len(homes)))
+        for k in range(0, len(part), step):
+            i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ part[None, k : k + step]) <= radius)
+            other = homes[i] != part[j + k]
+            left.append(homes[i[other]])
+            right.append(part[j[other] + k])
+        return np.concatenate(left), np.concatenate(right)
 
     def forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
         up: dict[int, int] = {}
@@ -141,24 +163,18 @@ def compare_tiles(radius: int):
                 pairs = []
 
         for b in batches:
-            t = np.asarray(b.column("tile"))
+            t, part_no = np.asarray(b.column("tile")), np.asarray(b.column("part"))
             visitor = np.asarray(b.column("visitor").to_numpy(zero_copy_only=False))
             fp = np.asarray(b.column("fp")).view(np.uint64)
-            cuts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (visitor[1:] != visitor[:-1])))
+            cuts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (part_no[1:] != part_no[:-1]) | (visitor[1:] != visitor[:-1])))
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(t)], strict=True):
-                if t[lo] != tile:
+                if (t[lo], part_no[lo]) != tile:
                     close()
-                    tile, homes = t[lo], np.zeros(0, np.uint64)
-                part = fp[lo:hi]
+                    tile, homes = (t[lo], part_no[lo]), np.zeros(0, np.uint64)
                 if not visitor[lo]:
-                    for a, own in ((homes, False), (part, True)):
-                        if len(a) and (len(part) > 1 or not own):
-                            x, y = links(a, part, own)
-                            if len(x):
-                                pairs.append((x, y))
-                    homes = np.concatenate([homes, part])
+                    homes = np.concatenate([homes, fp[lo:hi]])
                 elif len(homes):
-                    x, y = links(homes, part, False)
+                    x, y = links(homes, fp[lo:hi])
                     if len(x):
                         pairs.append((x, y))
                 if sum(len(x) for x, _ in pairs) > PAIR_BLOCK:  # keep a forest in place of the links seen so far
@@ -179,7 +195,15 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"src": pa.array(np.ascontiguousarray(a[:, 0]).view(np.int64)), "dst": pa.array(np.ascontiguousarray(a[:, 1]).view(np.int64))})
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _components(fps: DataFrame, radius: int, dense: int) -> DataFrame:
+    """(fp, component) of every fingerprint."""
+    reps = fps.select("fp").distinct()
+    edges = dealt_tiles(reps, radius, dense).mapInArrow(compare_tiles(radius), "src long, dst long")
+    parts = connected_components(edges)
+    return reps.join(parts, reps.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every row.
 
     component_id is the smallest doc_id that links of at most `radius` differing bits reach. Null and empty texts have
@@ -187,12 +211,27 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc
     component unless its whole component has none. Repeated ids each get a row; other columns are ignored.
     """
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    rows = reps.select("fp").mapInArrow(tile_rows(radius), "tile long, visitor boolean, fp long")
-    edges = rows.repartition("tile").sortWithinPartitions("tile", "visitor").mapInArrow(compare_tiles(radius), "src long, dst long")
-    parts = connected_components(edges)
-    named = reps.join(parts, reps.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    named = cut(first.join(_components(fps, radius, dense), "fp"), "simhash-components")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(named, "fp").select("doc_id", hexed, "component_id")
+
+
+def drop_near_copies(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
+    """Of every component one row, with all its columns: the one with the smallest doc_id, null last.
+
+    Of rows that share that id the first by file and row number stays. Rows go by their place, so a repeated or null
+    id takes no unlike row along.
+    """
+    here, file, row = located(docs)
+    fps = fingerprints(here, file, row, id_col=id_col, text_col=text_col).withColumnsRenamed({file: "_f", row: "_r"})
+    fps = cut(fps, "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_f", "_r")
+    first = fps.groupBy("fp").agg(F.min(order).alias("first"))
+    named = cut(first.join(_components(fps, radius, dense), "fp"), "simhash-components")
+    kept = named.groupBy("component").agg(F.min("first").alias("kept"))
+    named = named.join(kept, "component").select("fp", "kept")
+    gone = fps.join(named, "fp").where("_f <> kept._f or _r <> kept._r").select("_f", "_r")
+    return without(here, file, row, cut(gone, "near-copies"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from isoline.llm import bpe, contamination, exact, simhash, tokens
 from isoline.llm import toxicity as severity
@@ -16,14 +15,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id."""
     return exact.drop_copies(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_drop"], "left_anti")
+    """Of each near-duplicate component the row with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

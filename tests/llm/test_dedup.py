@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from isoline.llm import exact, lines, queries, simhash
 
@@ -84,11 +85,13 @@ def exact_want(rows, key=lower):
     groups = defaultdict(list)
     for k, x in rows:
         groups[key(x)].append(k)
-    out = Counter()
+    out, said = Counter(), set()
     for k, x in rows:
         ids = groups[key(x)]
         keep = max((i for i in ids if i is not None), default=None)
-        out[k, keep, len(ids), k == keep, hashlib.sha256(key(x).encode()).hexdigest()] += 1
+        stays = k == keep and key(x) not in said  # one row, also of those that repeat text and id
+        said |= {key(x)} if stays else set()
+        out[k, keep, len(ids), stays, hashlib.sha256(key(x).encode()).hexdigest()] += 1
     return out
 
 
@@ -107,6 +110,43 @@ def test_exact_many_copies_and_empty(spark, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, _, _, _ in exact_want(rows)}) and kept.columns == df.columns
 
 
+REPEATED = [(5, "A text that stays as it is"), (13, "a TEXT that stays as it is"), (13, "quite unlike the others, of the same id"), (13, "a text that stays as it is"), (None, "A text that stays as it is"), (None, "no id one"), (None, "no id two"), (None, "no id one"), (2, None), (2, ""), (2, None)]
+
+
+def test_drops_take_rows_and_not_ids(spark):
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, lower(r.text)) for r in exact.drop_copies(df).collect())
+    assert got == Counter([(13, "a text that stays as it is"), (13, "quite unlike the others, of the same id"), (None, "no id one"), (None, "no id two"), (2, "")])
+    near = [*REPEATED, (1, "Quite unlike the others, of the SAME id"), (13, "quite unlike the others, of the same id")]
+    df = spark.createDataFrame(near, "doc_id long, text string").withColumn("_file", F.lit(1)).repartition(3)
+    fps = np.array([fingerprint(x) for _, x in near], np.uint64)
+    least = near_want([(i, None) for i in range(len(near))], fps)  # which rows are linked
+    want = Counter()
+    for c in set(least):
+        ids = [k for (k, _), x in zip(near, least, strict=True) if x == c and k is not None]
+        want[min(ids, default=None)] += 1
+    out = simhash.drop_near_copies(df)
+    assert Counter(r.doc_id for r in out.collect()) == want and out.columns == df.columns
+    assert simhash.drop_near_copies(df.where("false")).count() == 0
+
+
+def test_exact_goes_on_from_a_state(spark, tmp_path):
+    """Later documents meet earlier ones, whose bytes are fetched by their locators."""
+    first = [(k, f"text {k % 11}") for k in range(40)]
+    then = [(k, f"TEXT {k % 17}") for k in range(100, 150)]
+    a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (first, then))
+    a.write.parquet(f"{tmp_path}/a")
+    b.write.parquet(f"{tmp_path}/b")
+    state = f"file://{tmp_path}/state"
+    got = exact.exact_groups(spark.read.parquet(f"{tmp_path}/a"), state=state).drop("locator").collect()
+    assert Counter(tuple(r) for r in got) == exact_want(first)
+    got = exact.exact_groups(spark.read.parquet(f"{tmp_path}/b"), state=state).drop("locator").collect()
+    both = exact_want(first + then)
+    assert Counter(tuple(r) for r in got) == Counter({x: n for x, n in both.items() if x[0] >= 100})
+    assert exact.group_digests(spark, f"{state}/log/*", state=state).count() == len({lower(t) for _, t in first + then})
+    assert exact._contents(spark, spark.createDataFrame([], "_f string, _r long"), "text").count() == 0
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if not words:
@@ -142,7 +182,8 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_dense_group(spark):
+@pytest.mark.parametrize("dense", [simhash.DENSE, 3])
+def test_simhash_dense_group(spark, dense):
     """A group whose fingerprints are all within a few bits, and chains that only links join."""
     r = random.Random(4)
     centre = r.getrandbits(64)
@@ -155,12 +196,10 @@ def test_simhash_dense_group(spark):
     fps |= {r.getrandbits(64) for _ in range(400)}
     fps = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    rows = df.mapInArrow(simhash.tile_rows(2), "tile long, visitor boolean, fp long")
-    edges = rows.repartition(3, "tile").sortWithinPartitions("tile", "visitor").mapInArrow(simhash.compare_tiles(2), "src long, dst long")
-    parts = {x.node: x.component for x in simhash.connected_components(edges).collect()}
+    parts = {x.fp: x.component for x in simhash._components(df, 2, dense).collect()}
     got = defaultdict(set)
     for x in fps.view(np.int64).tolist():
-        got[parts.get(x, x)].add(x)
+        got[parts[x]].add(x)
     rows_ = [(k, None) for k in range(len(fps))]
     want = defaultdict(set)
     for c, x in zip(near_want(rows_, fps), fps.view(np.int64).tolist(), strict=True):
