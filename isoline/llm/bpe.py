@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents are dealt into blocks of bounded size. The distinct words of every block are dealt by a hash of the word, so
-each distinct word of the corpus meets all blocks that hold it in one task and is encoded there once; its ids return
-to those blocks, where they are joined back by position and decoded through the id-to-piece table of the vocabulary.
+Documents are dealt into blocks of bounded size. The table of distinct words is dealt over buckets by a hash of the
+word: the words of every block meet in the task of their bucket, which holds its part of the table and encodes each
+distinct word of the corpus there, once; its ids return to the blocks that hold it, where they are joined back by
+position. Decoding joins the ids with the id-to-piece table of the vocabulary (an Arrow take on the id).
 Words and ids travel packed, one row per block and word bucket; no row per word occurrence is ever made. A frequent
 word is one entry per block, read as a stream, so no word is hot.
 """
@@ -23,7 +24,7 @@ from isoline.llm import tokens
 from isoline.llm.words import WordIds, by_bytes, spread, texts_of
 from isoline.session import prepare
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL = "doc_id long, ids array<int>, decoded string"
 _CODE = ("utf-8", "surrogatepass")
@@ -31,18 +32,17 @@ _BETWEEN = "\udfff"  # a lone surrogate, which no text holds
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Runs of rows of about `most` bytes of text, each with a number made from its rows."""
-    held, size, name = [], 0, hashlib.blake2b(digest_size=8)
+    """Runs of rows of about `most` bytes of text, each with the number of its partition and its own within it."""
+    held, size, n = [], 0, 0
     for b in by_bytes(batches):
+        part = b.column("part")[0].as_py()
         held.append(b)
         size += b.nbytes
-        ends = [b.column(c)[k].as_py() for c in ("doc_id", "part") for k in (0, b.num_rows - 1)]
-        name.update(repr((b.num_rows, b.nbytes, ends)).encode())
         if size >= most:
-            yield int.from_bytes(name.digest(), "little", signed=True), held
-            held, size, name = [], 0, hashlib.blake2b(digest_size=8)
+            yield part << 32 | n, held
+            held, size, n = [], 0, n + 1
     if held:
-        yield int.from_bytes(name.digest(), "little", signed=True), held
+        yield part << 32 | n, held
 
 
 def _pack(words: list[str]) -> bytes:
@@ -74,16 +74,25 @@ class _Known:
         return self.ids[spread(self.start[k], self.lens[k])], self.lens[k]
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", full: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _decoded(pieces: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The pieces of the ids one after the other, and where each begins (and the last one ends)."""
+    if not len(ids):
+        return memoryview(b""), np.zeros(1, np.int64)
+    _, places, text = pieces.take(pa.array(ids)).buffers()
+    return memoryview(text), np.frombuffer(places, np.int64)
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", full: bool = False, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """One row per document: ids and decoded text (full) or their digests.
 
     Null text counts as empty: no ids, empty decoded text. Rows that share an id each get a row. Words are cut where
     the tokenizer itself always cuts; special strings inside texts become their special id, as the library does by
-    default. A block whose rows were dealt anew after a lost executor encodes the words it misses itself. Other
-    columns are ignored.
+    default. A block whose rows were dealt anew after a lost executor encodes the words it misses itself. buckets is
+    the number of parts of the word table, each held in one task (the shuffle partitions if not given). Other columns
+    are ignored.
     """
     spark = prepare(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +114,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "bucket": pa.array(part, pa.int32()), "words": pa.array([_pack(dealt[x]) for x in part], pa.binary())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(lambda w: tokens.encode_flat(tokenizer, w))
+        table = WordIds(lambda w: tokens.encode_flat(tokenizer, w), max_words=1 << 62)  # its bucket bounds it
         for b in batches:
             for k in range(b.num_rows):
                 words = _unpack(b.column("words")[k].as_py())
@@ -133,10 +142,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                 at += n
             flat, counts = table.batch(docs_)
             keys += ids_
+            text, places = _decoded(pieces, flat)
             end = 0
             for n in counts.tolist():
-                own, end = flat[end : end + n], end + n
-                decoded = b"".join(map(pieces.__getitem__, own.tolist()))
+                own, decoded = flat[end : end + n], bytes(text[places[end] : places[end + n]])
+                end += n
                 if full:
                     rows[0].append(own.astype(np.int32))
                     rows[1].append(decoded.decode("utf-8", "replace"))

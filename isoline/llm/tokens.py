@@ -10,6 +10,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from isoline.llm.words import spread
 
@@ -133,14 +134,14 @@ def split_keeping_space(text: str) -> list[str]:
     return [w for w in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if w]
 
 
-def pieces(path: str) -> list[bytes]:
+def pieces(path: str) -> pa.Array:
     """Bytes of each id of a byte-level vocabulary: the id-to-piece table, as large as the vocabulary."""
     if ("p", path) not in _LOADED:
         t = load(path)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(plain))}
         added = {i: x.content for i, x in t.get_added_tokens_decoder().items()}
-        _LOADED["p", path] = [added[i].encode() if i in added else bytes(back[c] for c in t.id_to_token(i)) for i in range(t.get_vocab_size())]
+        _LOADED["p", path] = pa.array([added[i].encode() if i in added else bytes(back[c] for c in t.id_to_token(i)) for i in range(t.get_vocab_size())], pa.large_binary())
     return _LOADED["p", path]
 
 
