@@ -3,10 +3,10 @@
 import numpy as np
 
 import corpus_pipeline
-from isoline.llm import contamination, toxicity, tokens
-from isoline.llm.words import normal
+from isoline.llm import toxicity, tokens
 
 from .test_dedup import fingerprint, lower, near_want
+from .test_filters import held
 
 
 def test_pipeline_matches_brute_force(spark, small):
@@ -20,9 +20,8 @@ def test_pipeline_matches_brute_force(spark, small):
     rows = [(k, t) for k, t in rows if keep[lower(t)] == k]
     least = near_want(rows, np.array([fingerprint(t) for _, t in rows], np.uint64))
     rows = [r for r, c in zip(rows, least, strict=True) if r[0] == c]
-    items = [contamination.shingle_set(normal(r.text).split()) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    shingles = {k: contamination.shingle_set(normal(t).split()) for k, t in rows}
-    rows = [(k, t) for k, t in rows if not any(q and len(q & shingles[k]) >= 0.8 * len(q) for q in items)]
+    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    rows = [(k, t) for k, t in rows if not any(held(t, q) >= 0.8 for q in items)]
     t = tokens.load(tokens.default_path("byte_bpe_50k.json"))
     want = {k: len(t.encode(x or "", add_special_tokens=False).ids) for k, x in rows}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, small).collect()} == want
