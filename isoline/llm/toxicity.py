@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from isoline.llm.words import by_bytes, texts_of
 from isoline.session import cut, prepare
 
-#: Most labelled rows that the model is fitted on, and most features that it keeps.
+#: Most labelled rows that the model is fitted on; they bound the features as well.
 SAMPLE_ROWS = 8_000
-MAX_FEATURES = 8_192
 #: A feature is kept if it is in at least MIN_HOT toxic texts, LIFT times as often as in others, and tells apart well.
 MIN_HOT, LIFT, MIN_GAIN = 4, 4.0, 15.0
 GRADES = 3
@@ -75,12 +74,16 @@ def _ordinal(n: int, index: np.ndarray, row: np.ndarray, grade: np.ndarray, rows
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, toxic, text) of the labelled documents with the smallest hash of their doc_id, at most `rows` of them."""
+    """(doc_id, toxic, text) of the labelled documents with the smallest hash of their doc_id, at most `rows` of them.
+
+    A doc_id with several labels counts as toxic if one is, and with several texts by the smallest; a text that several
+    ids share with one label counts once.
+    """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     picked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = text.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")  # bounded by `rows`
-    return cut(found.dropDuplicates(["doc_id"]).dropDuplicates(["toxic", "text"]), "labelled")
+    found = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # bounded by `rows`
+    return cut(found.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "text"), "labelled")
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +93,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in found], pa.string()), "toxic": pa.array([t for _, t in found], pa.int32())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, penalty: float = 1e-4, steps: int = 800) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, penalty: float = 1e-4, steps: int = 800) -> Model:
     """Fit on at most sample_rows labelled documents, those with the smallest hash of their doc_id.
 
     Features are counted and chosen by Spark; the driver only gets the chosen ones and, per sampled document, the
@@ -108,8 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, m
     hot, cold, seen = F.col("hot").cast("double"), F.col("cold").cast("double"), (F.col("hot") + F.col("cold")) / (n_hot + n_cold)
     gain = 2 * (hot * F.log(hot / (n_hot * seen)) + F.when(cold > 0, cold * F.log(cold / (n_cold * seen))).otherwise(0.0))
     best = counts.where((F.col("hot") >= MIN_HOT) & (hot / n_hot > LIFT * cold / n_cold)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-    best = best.orderBy(F.desc("gain"), "feature").limit(max_features).collect()
-    number = {f: i for i, f in enumerate(sorted(r.feature for r in best))}
+    number = {f: i for i, f in enumerate(sorted(r.feature for r in best.select("feature").toLocalIterator()))}
     markers = np.array([not f.endswith("*") for f in sorted(number)], bool)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not toxic, with all their columns, in one pass without a shuffle."""
+    """The rows of docs that are not toxic, with all their columns, in one pass without a shuffle.
+
+    Every row is judged by its own text, as by score: repeated and null ids play no part, null and empty texts stay
+    unless the model finds texts without any marker toxic.
+    """
     prepare(docs.sparkSession)
     schema = docs.schema
 
