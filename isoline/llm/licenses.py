@@ -2,8 +2,8 @@
 
 Every run of K words of a template, or of SHORT_K words of one with fewer than SHORT, is a key of an inverted index to
 (template, position), which is as large as the templates, which are fixed. A run that a document shares proposes a
-diagonal; hits of a template on nearby diagonals are one candidate. If enough of its words are there at all, a banded
-alignment of the words around it gives matched coverage and spans. A place of 0.8 of a template without words in
+diagonal. If enough of the template's words are there at all, a banded alignment of the words around the diagonal gives
+matched coverage and spans. A place of 0.8 of a template without words in
 between always shares such a run; a place with words put in is found if a run is left whole.
 """
 
@@ -97,34 +97,45 @@ TEMPLATES = {
 FOUND = "doc_id long, license string, coverage double, n_matched int, template_start int, template_end int, word_start int, word_end int, matched_text string"
 
 
+#: A cell's score and matches as one number, so that the larger one has the better score, then more matches.
+_ONE = 1 << 20
+
+
 def align(template: list[bytes], words: list[bytes], shift: int, band: int) -> tuple[int, int, int, int, int]:
     """Best local alignment of the template with words, where word j faces template word j - shift, within band.
 
     A match scores 2, anything else costs 1. Returns matches and half-open spans (template start, end, word start, end).
+    A row of the band is computed at once: what comes from the row before cell by cell, what comes along the row as a
+    running maximum.
     """
     best, top = (0, 0, 0, 0, 0), 0
-    # cell: score, matches, template start, word start; a row holds the offsets -band..band of a template word
-    width = 2 * band + 1
-    blank = (0, 0, -1, -1)
-    last = [blank] * (width + 2)
+    width, low = 2 * band + 1, shift - band
+    number = {w: k for k, w in enumerate(template)}
+    a, e = max(low, 0), max(min(low + len(template) + width, len(words)), low, 0)
+    have, inside = np.full(len(template) + width, -1), np.zeros(len(template) + width, bool)
+    have[a - low : e - low] = [number.get(w, -1) for w in words[a:e]]
+    inside[a - low : e - low] = True
+    place = np.arange(width)
+    cost = place * _ONE
+    cell, at, of = np.zeros(width + 1, np.int64), np.full(width + 1, -1), np.full(width + 1, -1)  # a guard at the end
     for i, want in enumerate(template):
-        row = [blank] * (width + 2)
-        for o in range(width):
-            j = i + shift + o - band
-            if not 0 <= j < len(words):
-                continue
-            same = words[j] == want
-            s, m, a, b = last[o + 1]  # offset 0 of the list is a guard, so o + 1 is the cell of the same offset
-            take = (s + (2 if same else -1), m + same, i if a < 0 else a, j if b < 0 else b)
-            up = last[o + 2]  # the template word has no partner
-            left = row[o]  # the document word has no partner
-            cell = max(take, (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]), key=lambda c: (c[0], c[1]))
-            if cell[0] <= 0:
-                cell = blank
-            row[o + 1] = cell
-            if cell[0] > top:
-                top, best = cell[0], (cell[1], cell[2], i + 1, cell[3], j + 1)
-        last = row
+        pair = cell[:-1] + np.where(have[i : i + width] == number[want], 2 * _ONE + 1, -_ONE)
+        skip = cell[1:] - _ONE  # the template word has no partner
+        fresh = at[:-1] < 0
+        first_at, first_of = np.where(fresh, i, at[:-1]), np.where(fresh, i + low + place, of[:-1])
+        up = skip > pair
+        first_at, first_of = np.where(up, at[1:], first_at), np.where(up, of[1:], first_of)
+        ahead = np.where(inside[i : i + width], np.maximum(pair, skip), 0) + cost
+        run = np.maximum.accumulate(ahead)  # the document word has no partner
+        source = np.maximum.accumulate(np.where(ahead == run, place, 0))
+        now = run - cost
+        now[~inside[i : i + width] | (now < _ONE)] = 0
+        cell[:-1] = now
+        at[:-1], of[:-1] = np.where(now > 0, first_at[source], -1), np.where(now > 0, first_of[source], -1)
+        score = now // _ONE
+        k = int(score.argmax())
+        if score[k] > top:
+            top, best = int(score[k]), (int(now[k] % _ONE), int(at[k]), i + 1, int(of[k]), i + low + k + 1)
     return best
 
 
@@ -166,7 +177,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
 
     Spans are half-open and count words: template_start/end in the template, word_start/end in the document.
     Of overlapping places, of whichever templates, the one with the most matched words stays, then the larger coverage,
-    the shorter, the first. Templates need SHORT_K words at least. Null and empty texts hold nothing. One pass, no shuffle.
+    the shorter, the first. Templates need SHORT_K words at least. Null and empty texts hold nothing; very long texts are
+    read whole. Repeated rows and ids each give their rows, a null id stays null; other columns are ignored. One pass,
+    no shuffle.
     """
     prepare(docs.sparkSession)
     index = TemplateIndex(templates or TEMPLATES)
@@ -193,13 +206,9 @@ def _places(index: TemplateIndex, hits: dict[int, set[int]], text: list[bytes],
         template = index.words[t]
         band = max(2, len(template) // 5)
         need, want = coverage * len(template) - 1e-9, Counter(template)
-        seen = None
         for s in sorted(shifts):
-            if seen is not None and s - seen <= band // 2:
-                continue  # the band of the last alignment holds this diagonal
             if (want & Counter(text[max(0, s - band) : max(0, s + len(template) + band)])).total() < need:
                 continue  # the words that the band can match are too few in any order
-            seen = s
             n, a, e, lo, hi = align(template, text, s, band)
             if n >= need:
                 found.append((index.names[t], n / len(template), n, a, e, lo, hi, b" ".join(text[lo:hi]).decode("utf-8", "replace")))
