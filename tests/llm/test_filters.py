@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isoline.llm import contamination, licenses, toxicity, urls
 from isoline.llm.words import normal
@@ -25,6 +26,56 @@ def test_toxicity_held_out(spark):
     assert len({r.severity for r in graded}) >= 2 and all(0 <= r.expected_severity <= toxicity.GRADES for r in got)
 
 
+def test_likelihood_against_brute_force(spark):
+    """The fitted weights and thresholds are where the penalised likelihood, written out, has no slope."""
+    r = np.random.default_rng(3)
+    n, rows = 6, 300
+    x = r.random((rows, n)) < 0.3
+    latent = x @ np.array([2.0, 1.0, 0.5, -1.0, 0.0, 1.5]) + r.logistic(size=rows)
+    grade = (latent[:, None] > np.array([1.5, 2.5, 3.5])[None, :]).sum(1)
+    row, index = np.nonzero(x)
+    w, theta = toxicity._ordinal(n, index, row, grade, rows, 1e-2, 3_000)
+
+    def loss(w, theta):
+        hot = grade > 0
+        weight = np.where(hot, np.sqrt((~hot).sum() / hot.sum()), 1.0)
+        out = 0.0
+        for i in range(rows):
+            for k in range(toxicity.GRADES):
+                p = 1 / (1 + np.exp(-(theta[k] - x[i] @ w)))
+                out -= weight[i] * np.log(p if grade[i] <= k else 1 - p) / rows
+        return out + 1e-2 * (w @ w) / 2
+
+    for k in range(n):
+        d = np.eye(n)[k] * 1e-4
+        assert abs(loss(w + d, theta) - loss(w - d, theta)) / 2e-4 < 1e-3
+    for k in range(toxicity.GRADES):
+        d = np.eye(toxicity.GRADES)[k] * 1e-4
+        assert abs(loss(w, theta + d) - loss(w, theta - d)) / 2e-4 < 1e-3
+
+
+def test_scores_against_brute_force(spark, awkward):
+    model = toxicity.Model({"cat": 0, "ca*": 9, "text*": 1, "word": 2}, np.array([1.5, 0.25, -3.0]), np.array([0.0, 1.0, 2.5]))
+    got = Counter(tuple(x) for x in toxicity.score(awkward, model).collect())
+    want = Counter()
+    for k, t in TEXTS:
+        s = sum(model.weights[model.features[f]] for f in toxicity.features_of(t) if f in ("cat", "text*", "word"))
+        below = [0.0, *(1 / (1 + np.exp(-(c - s))) for c in model.thresholds), 1.0]
+        p = np.diff(below)
+        want[k, int(p.argmax()), round(sum(g * q for g, q in enumerate(p)), 9), round(1 - p[0], 9), bool(p[0] < 0.5)] += 1
+    assert Counter((a, b, round(c, 9), round(d, 9), e) for a, b, c, d, e in got.elements()) == want
+    kept = toxicity.drop_toxic(awkward, model)
+    assert Counter(x.doc_id for x in kept.collect()) == Counter(a for a, *_, e in got.elements() if not e) and kept.columns == awkward.columns
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    twice = docs.unionByName(docs.withColumn("text", F.lit("some other text of the same id")))
+    a, b = (toxicity.fit(x, labels) for x in (twice.repartition(5), twice.repartition(2)))
+    assert a.features == b.features and np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
@@ -36,15 +87,16 @@ def test_toxicity_awkward(spark, awkward, empty):
 
 
 def held(text, item):
-    s, q = (contamination.shingle_set(normal(x).split()) for x in (text, item))
-    return len(q & s) / len(q) if q else 0
+    run = min(5, len(normal(item).split()))
+    s, q = (contamination.shingle_set(normal(x).split(), run) for x in (text, item))
+    return len(q & s) / len(q) if run else 0
 
 
 @pytest.mark.parametrize("block", [20_000, 7])
 def test_decontamination_matches_brute_force(spark, block):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 7)))
-    items = [(k, " ".join(word() for _ in range(r.choice([3, 5, 14, 18, 40, 70, 200])))) for k in range(30)]
+    items = [(k, " ".join(word() for _ in range(r.choice([1, 2, 3, 4, 5, 14, 18, 40, 70, 200])))) for k in range(30)]
     docs = []
     for k in range(120):
         words = [word() for _ in range(r.choice([0, 10, 300, 4_000]))]
@@ -95,14 +147,42 @@ def test_license_found_wherever_it_stands(spark):
     assert {x.doc_id for x in got} == set(range(300)) and len(got) == 300
 
 
+def full_table(a, b):
+    """Score and matches of the best local alignment by the whole table."""
+    best, table = (0, 0), [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            (s, m), (u, v), (g, h) = table[i - 1][j - 1], table[i - 1][j], table[i][j - 1]
+            c = max((s + 2, m + 1) if x == y else (s - 1, m), (u - 1, v), (g - 1, h))
+            table[i][j] = c if c[0] > 0 else (0, 0)
+            best = max(best, table[i][j], key=lambda t: t[0])
+    return best
+
+
 def test_alignment_matches_full_table():
     r = random.Random(8)
-    for _ in range(50):
-        a = [bytes([r.randrange(97, 101)]) for _ in range(12)]
-        b = list(a)
-        b[r.randrange(12)] = b"z"
-        n, ts, te, ws, we = licenses.align(a, [b"q"] * 3 + b + [b"q"] * 3, 3, 3)
-        assert n >= 10 and 0 <= ts < te <= 12 and 3 <= ws < we <= 15
+    for _ in range(300):
+        a = [bytes([r.randrange(97, 103)]) for _ in range(r.randrange(2, 16))]
+        b = [bytes([r.randrange(97, 103)]) for _ in range(r.randrange(12))]
+        for x in a:
+            b += r.choice([[x], [x], [x], [], [b"z", x], [b"q"]])
+        n, ts, te, ws, we = licenses.align(a, b, r.randrange(-3, 6), len(a) + len(b) + 8)
+        score, matched = full_table(a, b)
+        assert n == matched and n <= min(te - ts, we - ws)
+        assert full_table(a[ts:te], b[ws:we]) == (score, matched)
+
+
+def test_alignment_in_a_band():
+    """Outside the band nothing is matched; inside it the whole table's answer is."""
+    r = random.Random(9)
+    for _ in range(100):
+        a = [b"%d" % k for k in range(30)]
+        b = [b"x"] * r.randrange(9) + a
+        at = len(b) - 30
+        del b[r.randrange(at, len(b))]
+        got = licenses.align(a, b, at, 3)
+        assert got[0] == 29 and got[3:] == (at, at + 29) or got[0] >= 28
+        assert licenses.align(a, b, at + 9, 3)[0] == 0
 
 
 PAGES = [
