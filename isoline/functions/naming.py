@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from isoline.operators.registers import INSTRUMENT
 
-#: Coarse class of each fine symbol class that names one.
-COARSE = {"gate": "valve", "globe": "valve", "ball": "valve", "check": "valve", "pump": "equipment", "vessel": "equipment", "exchanger": "equipment", "tank": "equipment", "gauge": "instrument", "transmitter": "instrument"}
+#: Coarse class of each fine symbol class.
+COARSE = {
+    "3 Way Gate Valve": "valve", "4 Way Gate Valve": "valve", "Ball Valve": "valve", "Butterfly Valve": "valve", "Check Valve": "valve",
+    "Diaphragm Valve": "valve", "Diaphragm pneumatic control valve": "valve", "Electromagnetic globe valve": "valve", "Gate Valve": "valve",
+    "Globe Valve": "valve", "Plug Valve": "valve", "Rotary Piston-Pneumatic Gate Valve": "valve",
+    "Centrifugal Pump": "equipment", "Filter": "equipment", "Gear Pump": "equipment", "Heat Exchanger": "equipment",
+    "Measurement Instrument": "instrument", "localMeasurement Instrument": "instrument", "device KKS": "instrument", "local device KKS": "instrument",
+}
+COARSE_NAMES = ("equipment", "instrument", "valve")
 
 
 def safe_stem(name: Column) -> Column:
@@ -29,27 +36,6 @@ def measured(code: Column) -> Column:
 
 
 def coarse_of(name: Column) -> Column:
-    """The coarse class that a fine class's name holds, else its own name."""
-    out = name
-    for part, coarse in reversed(COARSE.items()):
-        out = F.when(F.lower(name).contains(part), coarse).otherwise(out)
-    return out
-
-
-def hex_to_rgb(color: Column) -> Column:
-    """#rrggbb as an array of three numbers; null for anything else."""
-    part = lambda k: F.conv(F.substring(color, k, 2), 16, 10).cast("int")
-    return F.when(color.rlike("^#[0-9A-Fa-f]{6}$"), F.array(part(2), part(4), part(6)))
-
-
-def shade(rgb: Column, f: float) -> Column:
-    """A colour moved towards white (f > 0) or black, each channel cut to a whole number."""
-    move = (lambda c: (c + (255 - c) * f).cast("int")) if f >= 0 else (lambda c: (c * (1 + f)).cast("int"))
-    return F.transform(rgb, move)
-
-
-def color_distance(a: Column, b: Column) -> Column:
-    """Distance of two colours weighted by how red they are."""
-    red = (a[0] + b[0]) / 2
-    d = [F.pow((a[k] - b[k]).cast("double"), 2.0) for k in range(3)]
-    return F.sqrt((2 + red / 256) * d[0] + 4 * d[1] + (2 + (255 - red) / 256) * d[2])
+    """The coarse class of a fine class; a coarse class is its own, anything else is other."""
+    table = F.create_map(*(F.lit(x) for kv in (COARSE | {c: c for c in COARSE_NAMES}).items() for x in kv))
+    return F.coalesce(F.try_element_at(table, name), F.lit("other"))

@@ -69,26 +69,46 @@ def looks_like_tag(s: Column) -> Column:
     return s.rlike(r"^\d{2,4}-") & (F.size(parts) >= 4) & s.rlike("[A-Z]{2,}") & (s.contains('"') | F.element_at(parts, -1).rlike(r"\d"))
 
 
+_MARK = "\u0001"  # no text of a drawing holds it
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _found(s: Column, pattern: str, groups: int) -> Column:
+    """The first match of a pattern and its groups as an array, from one pass; an empty array if there is none."""
+    marked = F.regexp_replace(s, f"(?s)^.*?({pattern}).*$", "".join(f"{_MARK}${k}" for k in range(1, groups + 2)))
+    return F.slice(F.split(marked, _MARK), 2, groups + 1)
+
+
+def _cascade(s: Column, tries: list[tuple[Column, object]], last: Column) -> Column:
+    """What the first of (parts, then) gives that is not null, each computed only if those before it failed."""
+    if not tries:
+        return last
+    parts, then = tries[0]
+    return let(parts, lambda p: let(F.when(F.size(p) > 0, then(p)), lambda hit: F.when(hit.isNotNull(), hit).otherwise(_cascade(s, tries[1:], last))))
+
+
+def _mended(p: Column) -> Column:
+    """The repaired tag of a tolerant match, or null."""
+    fluid, seq = repair_fluid(p[3]), repair_seq(p[5])
+    pid = F.concat(p[1], F.lit("-"), p[2], F.lit('"-'), fluid, F.lit("-"), p[4], F.lit("-"), seq, p[6])
+    return F.when(fluid.rlike("^[A-Z]{1,4}$") & seq.rlike(r"^\d{1,3}[A-Z]?$"), F.struct(pid.alias("pid"), F.lit(1).alias("weight")))
+
+
 def match(s: Column, schemas: tuple[Schema, ...] = SCHEMAS) -> Column:
     """struct(pid, weight) of a normalised text: schemas first, then the tolerant form repaired, then tag shape."""
-    out = F.when(looks_like_tag(s), F.struct(s.alias("pid"), F.lit(1).alias("weight")))
-    unit, size, fluid, pclass, seq, rest = (F.regexp_extract(s, LOOSE, k) for k in range(1, 7))
-    fluid, seq = repair_fluid(fluid), repair_seq(seq)
-    fits = s.rlike(LOOSE) & fluid.rlike("^[A-Z]{1,4}$") & seq.rlike(r"^\d{1,3}[A-Z]?$")
-    mended = F.concat(unit, F.lit("-"), size, F.lit('"-'), fluid, F.lit("-"), pclass, F.lit("-"), seq, rest)
-    out = F.when(fits, F.struct(mended.alias("pid"), F.lit(1).alias("weight"))).otherwise(out)
-    for x in reversed(schemas):
-        out = F.when(s.rlike(x.pattern), F.struct(F.regexp_extract(s, x.pattern, 0).alias("pid"), F.lit(x.weight).alias("weight"))).otherwise(out)
-    return out
+    tries = [(_found(s, x.pattern, 0), lambda p, w=x.weight: F.struct(p[0].alias("pid"), F.lit(w).alias("weight"))) for x in schemas]
+    shape = F.when(looks_like_tag(s), F.struct(s.alias("pid"), F.lit(1).alias("weight")))
+    return _cascade(s, [*tries, (_found(s, LOOSE, 6), _mended)], shape)
 
 
 def parse(pid: Column, schemas: tuple[Schema, ...] = SCHEMAS) -> Column:
     """struct of unit, size, fluid, pclass, seq by the first schema found in the tag; empty fields if there is none."""
-    out = F.struct(*(F.lit("").alias(f) for f in FIELDS))
-    for x in reversed(schemas):
-        found = F.struct(*(F.regexp_extract(pid, x.pattern, x.groups[f]).alias(f) for f in FIELDS))
-        out = F.when(pid.rlike(x.pattern), found).otherwise(out)
-    return out
+    tries = [(_found(pid, x.pattern, max(x.groups.values())), lambda p, g=x.groups: F.struct(*(p[g[f]].alias(f) for f in FIELDS))) for x in schemas]
+    return _cascade(pid, tries, F.struct(*(F.lit("").alias(f) for f in FIELDS)))
 
 
 def parse_learned(tags: DataFrame, learned: DataFrame, pid: str = "pid") -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoline.operators.spatial import in_cells
-from isoline.session import prepare
 
 #: Shares of overlap and length of label underlines and covered text.
 COVER, UNDERLINE_LENGTH = 0.55, 1.9
@@ -59,50 +57,31 @@ def resolve(labels: DataFrame, picks: DataFrame, leaders: DataFrame, key: str =
     """(key, pid_idx, run_id, state): labels with their pipe, no pipe claimed by two different tags.
 
     labels: key, pid_idx, pid. picks: what `direct` found. leaders: key, pid_idx, run_id, score, candidates along
-    pointer lines, whose ink the caller has measured. A label without pick takes its best leader. Of a contested pipe
-    the nearest label keeps it; others take their best leader to a free pipe, else none. Each round depends on the one
-    before, so a sheet is one small group.
+    pointer lines, whose ink the caller has measured. A label without pick takes its best leader. In each round the
+    claims of every pipe are ranked: where tags differ, the nearest label (then the first) keeps the pipe, and the others
+    are served in order of the pipe's first claim, then their own: each takes its best leader to a pipe that is free at
+    the time, else none.
     """
-    prepare(labels.sparkSession)
-    kind = dict(labels.dtypes)[key]
-    rows = labels.join(picks, [key, "pid_idx"], "left").select(key, "pid_idx", "pid", "run_id", "cost", F.lit(None).cast("double").alias("score"), F.lit(True).alias("label"))
-    rows = rows.unionByName(leaders.select(key, "pid_idx", F.lit(None).cast("string").alias("pid"), "run_id", F.lit(None).cast("double").alias("cost"), F.col("score").cast("double").alias("score"), F.lit(False).alias("label")))
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        lines: dict[int, list[tuple[float, int]]] = {}
-        for r in frame[~frame.label].itertuples(index=False):
-            lines.setdefault(r.pid_idx, []).append((-r.score, int(r.run_id)))
-        for v in lines.values():
-            v.sort()
-        far = 1e6
-        pick: dict[int, list] = {}
-        for r in frame[frame.label].sort_values("pid_idx").itertuples(index=False):
-            if r.run_id == r.run_id and r.run_id is not None:
-                pick[r.pid_idx] = [r.pid, int(r.run_id), float(r.cost), "attached"]
-            else:
-                first = next((run for _, run in lines.get(r.pid_idx, ())), None)
-                pick[r.pid_idx] = [r.pid, first, far, "none" if first is None else "leader"]
-        for _ in range(rounds):
-            used = {p[1] for p in pick.values() if p[1] is not None}
-            claims: dict[int, list[int]] = {}
-            for k, p in pick.items():
-                if p[1] is not None:
-                    claims.setdefault(p[1], []).append(k)
-            fights = [ks for _, ks in sorted(claims.items()) if len({pick[k][0] for k in ks}) > 1]
-            for ks in fights:
-                keep = min(ks, key=lambda k: (pick[k][2], k))
-                for k in ks:
-                    if k != keep:
-                        other = next((run for _, run in lines.get(k, ()) if run not in used), None)
-                        pick[k][1:] = [other, far, "none" if other is None else "leader"]
-                        if other is not None:
-                            used.add(other)
-            if not fights:
-                break
-        sheet = frame[key].iloc[0]
-        return pd.DataFrame([(sheet, k, p[1], p[3]) for k, p in pick.items()], columns=[key, "pid_idx", "run_id", "state"]).astype({"run_id": "Int64"})
-
-    return rows.groupBy(key).applyInPandas(settle, f"{key} {kind}, pid_idx bigint, run_id bigint, state string")
+    lines = leaders.groupBy(key, "pid_idx").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("run_id").alias("r")))).alias("lines"))
+    lines = lines.select(key, "pid_idx", F.transform("lines", lambda x: x.r).alias("lines"))
+    rows = labels.select(key, "pid_idx", "pid").join(picks.select(key, "pid_idx", "run_id", "cost"), [key, "pid_idx"], "left").join(lines, [key, "pid_idx"], "left")
+    led = F.get("lines", F.lit(0))
+    state = F.when(F.col("run_id").isNotNull(), "attached").when(led.isNotNull(), "leader").otherwise("none")
+    rows = rows.select(key, "pid_idx", "pid", "lines", F.coalesce("run_id", led).alias("run_id"), F.when(F.col("run_id").isNotNull(), F.col("cost")).alias("cost"), state.alias("state"))
+    claim = Window.partitionBy(key, "run_id")
+    for _ in range(rounds):
+        rank = F.row_number().over(claim.orderBy(F.col("cost").asc_nulls_last(), "pid_idx"))
+        fought = F.col("run_id").isNotNull() & (F.min("pid").over(claim) != F.max("pid").over(claim))
+        rows = rows.withColumn("lost", fought & (rank > 1)).withColumn("turn", F.min("pid_idx").over(claim))
+        sheet = rows.groupBy(key).agg(F.collect_set("run_id").alias("used"), F.array_sort(F.collect_list(F.when(F.col("lost"), F.struct("turn", "pid_idx", "lines")))).alias("losers")).where("size(losers) > 0")
+        free = "get(filter(l.lines, x -> not array_contains(s.used, x)), 0)"
+        step = f"get(transform(array({free}), f -> named_struct('used', if(f is null, s.used, concat(s.used, array(f))), 'got', concat(s.got, array(named_struct('pid_idx', l.pid_idx, 'new', f))))), 0)"
+        start = "named_struct('used', used, 'got', cast(array() as array<struct<pid_idx:bigint,new:bigint>>))"
+        moved = sheet.select(key, F.expr(f"inline(aggregate(losers, {start}, (s, l) -> {step}).got)"))
+        rows = rows.join(moved, [key, "pid_idx"], "left")
+        pick = lambda new, old: F.when(F.col("lost"), new).otherwise(old)
+        rows = rows.select(key, "pid_idx", "pid", "lines", pick(F.col("new"), F.col("run_id")).alias("run_id"), pick(F.lit(None), F.col("cost")).alias("cost"), pick(F.when(F.col("new").isNotNull(), "leader").otherwise("none"), F.col("state")).alias("state"))
+    return rows.select(key, "pid_idx", "run_id", "state")
 
 
 def two_line_pairs(fragments: DataFrame, keys: tuple[str, ...] = ("sheet_id",), cell: float = 96.0) -> DataFrame:
@@ -111,10 +90,10 @@ def two_line_pairs(fragments: DataFrame, keys: tuple[str, ...] = ("sheet_id",),
     The gap is -0.6 to 1.8 text heights, and they share 40 percent of the narrower one. fragments: keys, frag_id, text,
     box. Text is joined with a dash, for the caller to match.
     """
-    f = fragments.select(*keys, "frag_id", "text", "x1", "y1", "x2", "y2")
-    a = in_cells(f, cell).select(*keys, "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in ("frag_id", "text", "x1", "y1", "x2", "y2")))
-    tall = fragments.select(F.max(F.expr("y2 - y1"))).first()[0] or 1
-    b = in_cells(f, cell, float(2 * tall)).select(*keys, "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in ("frag_id", "text", "x1", "y1", "x2", "y2")))
+    # every fragment reaches up and down by twice its own height, so the taller one of a pair reaches the other
+    tall = F.expr("2 * greatest(y2 - y1, 1)")
+    f = in_cells(fragments.withColumn("_lo", F.col("y1") - tall).withColumn("_hi", F.col("y2") + tall), cell, 0.0, ("x1", "_lo", "x2", "_hi"))
+    a, b = (f.select(*keys, "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in ("frag_id", "text", "x1", "y1", "x2", "y2"))) for p in "ab")
     h = "greatest(a_y2 - a_y1, b_y2 - b_y1, 1)"
     near = a.join(b, [*keys, "cx", "cy"]).where(f"a_frag_id <> b_frag_id and b_y1 - a_y2 >= -0.6 * {h} and b_y1 - a_y2 <= 1.8 * {h} and least(a_x2, b_x2) - greatest(a_x1, b_x1) >= 0.4 * least(a_x2 - a_x1, b_x2 - b_x1)")
     return near.select(*keys, F.col("a_frag_id").alias("upper"), F.col("b_frag_id").alias("lower"), F.concat("a_text", F.lit("-"), "b_text").alias("text")).distinct()

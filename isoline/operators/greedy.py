@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoline.session import prepare
+from isoline.functions import geometry as g
+from isoline.operators.graph import connected_components
+from isoline.operators.spatial import in_cells
+from isoline.session import cut, prepare
 
 _BOX = ["x1", "y1", "x2", "y2"]
 
@@ -61,68 +64,52 @@ def suppress_nested(boxes: DataFrame, share: float = 0.55, key: str = "sheet_id"
     return _keep(boxes, key, choose)
 
 
-def merge_boxes(boxes: DataFrame, gap: float | None = None, overlap: float = 0.25, key: str = "sheet_id") -> DataFrame:
+def merge_boxes(boxes: DataFrame, gap: float | None = None, overlap: float = 0.25, key: str = "sheet_id", max_rounds: int = 30, cell: float = 128.0) -> DataFrame:
     """Unions of boxes, to a fixpoint: boxes at most `gap` apart, or (no gap) sharing over `overlap` of the smaller.
 
-    Returns (key, x1, y1, x2, y2, n_boxes). Larger boxes absorb smaller ones first, then by box_id.
+    Returns (key, x1, y1, x2, y2, n_boxes). In every round boxes that meet, directly or through others, become the box
+    around them all, whatever their order; rounds go on until none meet. Fails loudly at max_rounds.
     """
-    prepare(boxes.sparkSession)
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        todo = [(*r, 1) for r in frame.sort_values("box_id")[_BOX].itertuples(index=False, name=None)]
-        changed = True
-        while changed:
-            changed, out = False, []
-            order = sorted(range(len(todo)), key=lambda k: (-_areas(np.array(todo[k][:4], float)), k))
-            for r in (todo[k] for k in order):
-                for k, o in enumerate(out):
-                    if gap is not None:
-                        hit = r[0] - gap <= o[2] and o[0] - gap <= r[2] and r[1] - gap <= o[3] and o[1] - gap <= r[3]
-                    else:
-                        small = min(float(_areas(np.array(x[:4], float))) for x in (r, o))
-                        hit = small > 0 and float(_shared(np.array(r[:4], float), np.array([o[:4]], float))[0]) / small > overlap
-                    if hit:
-                        out[k] = (min(r[0], o[0]), min(r[1], o[1]), max(r[2], o[2]), max(r[3], o[3]), r[4] + o[4])
-                        changed = True
-                        break
-                else:
-                    out.append(r)
-            todo = out
-        sheet = frame[key].iloc[0]
-        return pd.DataFrame([(sheet, *r) for r in sorted(todo)], columns=[key, *_BOX, "n_boxes"])
-
     kinds = dict(boxes.dtypes)
-    return boxes.groupBy(key).applyInPandas(merge, f"{key} {kinds[key]}, " + ", ".join(f"{c} {kinds[c]}" for c in _BOX) + ", n_boxes int")
+    old: list[str] = []
+    cur = cut(boxes.select(F.struct(key, "box_id").alias("box"), key, *_BOX, F.lit(1).alias("n_boxes")), "boxes", old)
+    pad = gap or 0.0
+    for _ in range(max_rounds):
+        a, b = (in_cells(cur, cell, d).select(key, "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in ("box", *_BOX))) for p, d in (("a", pad), ("b", 0.0)))
+        near = a.join(b, [key, "cx", "cy"]).where(f"a_box < b_box and a_x1 - {pad} <= b_x2 and b_x1 - {pad} <= a_x2 and a_y1 - {pad} <= b_y2 and b_y1 - {pad} <= a_y2")
+        if gap is None:
+            small = F.least(g.area("a_"), g.area("b_"))
+            near = near.where((small > 0) & (g.intersection("a_", "b_") / F.nullif(small, F.lit(0)) > overlap))
+        edges = cut(near.select("a_box", "b_box").distinct(), "box-pairs")
+        if edges.isEmpty():
+            return cur.select(key, *_BOX, "n_boxes")
+        home = connected_components(edges, "a_box", "b_box")
+        rows = cur.join(home, cur.box == home.node, "left").withColumn("box", F.coalesce("component", "box"))
+        around = [F.min(c).alias(c) if c in ("x1", "y1") else F.max(c).alias(c) for c in _BOX]
+        cur = cut(rows.groupBy("box", key).agg(*around, F.sum("n_boxes").cast("int").alias("n_boxes")).select("box", key, *(F.col(c).cast(kinds[c]).alias(c) for c in _BOX), "n_boxes"), "boxes", old)
+    raise RuntimeError(f"boxes did not settle within {max_rounds} rounds")
 
 
 def cluster_tags(tags: DataFrame, merge_dist: float, min_votes: int = 2, key: str = "sheet_id") -> DataFrame:
     """Readings of one label: clusters around a running mean, seeded by the strongest; a weighted vote names each.
 
     tags: key, pid_idx, pid, x, y, weight. Returns key, pid, x, y (medians), conf (votes). Ties go to the longer text,
-    then to the one met first; readings go by weight, then pid_idx.
+    then to the one met first; readings go by weight, then pid_idx. A sheet's readings are one sorted array, folded
+    into an array of sums: each reading joins the first cluster whose mean is within merge_dist on both axes.
     """
-    prepare(tags.sparkSession)
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []  # [mean x, mean y, rows]
-        for r in frame.sort_values(["weight", "pid_idx"], ascending=[False, True]).itertuples(index=False):
-            home = next((g for g in groups if abs(r.x - g[0]) <= merge_dist and abs(r.y - g[1]) <= merge_dist), None)
-            if home is None:
-                groups.append([float(r.x), float(r.y), [r]])
-                continue
-            home[2].append(r)
-            home[0], home[1] = float(np.mean([e.x for e in home[2]])), float(np.mean([e.y for e in home[2]]))
-        out = []
-        for _, _, rows in groups:
-            votes: dict[str, int] = {}
-            for e in rows:
-                votes[e.pid] = votes.get(e.pid, 0) + int(e.weight)
-            if sum(votes.values()) >= min_votes:
-                pid = max(votes, key=lambda p: (votes[p], len(p)))
-                out.append((getattr(rows[0], key), pid, float(np.median([e.x for e in rows])), float(np.median([e.y for e in rows])), sum(votes.values())))
-        return pd.DataFrame(out, columns=[key, "pid", "x", "y", "conf"])
-
-    return tags.groupBy(key).applyInPandas(cluster, f"{key} {dict(tags.dtypes)[key]}, pid string, x double, y double, conf int")
+    kind = dict(tags.dtypes)[key]
+    sheet = tags.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "pid_idx", "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("rs"))
+    home = f"array_position(transform(s.c, o -> abs(r.x - o.x / o.n) <= {merge_dist} and abs(r.y - o.y / o.n) <= {merge_dist}), true)"
+    joined = "if(h = 0, concat(s.c, array(named_struct('x', r.x, 'y', r.y, 'n', 1L))), transform(s.c, (o, i) -> if(i = h - 1, named_struct('x', o.x + r.x, 'y', o.y + r.y, 'n', o.n + 1L), o)))"
+    step = f"get(transform(array({home}), h -> named_struct('c', {joined}, 'at', concat(s.at, array(if(h = 0, bigint(size(s.c)), h - 1))))), 0)"
+    start = "named_struct('c', cast(array() as array<struct<x:double,y:double,n:bigint>>), 'at', cast(array() as array<bigint>))"
+    at = sheet.select(key, F.expr(f"inline(arrays_zip(rs, aggregate(rs, {start}, (s, r) -> {step}).at))").alias("r", "at"))
+    rows = at.select(key, "at", "r.pid", "r.x", "r.y", (-F.col("r.w")).alias("weight"), F.struct("r.w", "r.pid_idx").alias("met"))
+    place = rows.groupBy(key, "at").agg(F.percentile("x", 0.5).alias("x"), F.percentile("y", 0.5).alias("y"), F.sum("weight").cast("int").alias("conf")).where(F.col("conf") >= min_votes)
+    votes = rows.groupBy(key, "at", "pid").agg(F.sum("weight").alias("votes"), F.min("met").alias("met"))
+    best = Window.partitionBy(key, "at").orderBy(F.desc("votes"), F.desc(F.length("pid")), "met")
+    name = votes.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "at", "pid")
+    return place.join(name, [key, "at"]).select(F.col(key).cast(kind).alias(key), "pid", "x", "y", "conf")
 
 
 def match_boxes(truth: DataFrame, found: DataFrame, iou: float = 0.5, key: str = "sheet_id") -> DataFrame:
@@ -150,30 +137,3 @@ def match_boxes(truth: DataFrame, found: DataFrame, iou: float = 0.5, key: str =
         return pd.DataFrame(out, columns=[key, "box_id", "score", "coarse", "tp"])
 
     return rows.groupBy(key, "coarse").applyInPandas(match, f"{key} {dict(truth.dtypes)[key]}, box_id bigint, score double, coarse string, tp boolean")
-
-
-def assign_colors(fluids: list[str], known: dict[str, int], palette: Callable[[int], tuple[int, int, int]], limit: int = 400, enough: float = 142.5) -> dict[str, int]:
-    """Palette numbers for fluid codes that have none yet: the free colour furthest from all used ones.
-
-    Fluid codes are a dimension of a few dozen rows, so this loop runs on the driver over names, never over data.
-    """
-    out = dict(known)
-    for fluid in fluids:
-        if fluid in out or not fluid:
-            continue
-        used = [palette(i) for i in out.values()]
-        best, far = len(out), -1.0
-        for k in (k for k in range(limit) if k not in out.values()):
-            d = min((color_distance(palette(k), u) for u in used), default=float("inf"))
-            if d > far:
-                best, far = k, d
-            if far >= enough:
-                break
-        out[fluid] = best
-    return out
-
-
-def color_distance(a: tuple[int, int, int], b: tuple[int, int, int]) -> float:
-    """Distance of two colours weighted by how red they are, nearer to what the eye sees than plain distance."""
-    red = (a[0] + b[0]) / 2
-    return ((2 + red / 256) * (a[0] - b[0]) ** 2 + 4 * (a[1] - b[1]) ** 2 + (2 + (255 - red) / 256) * (a[2] - b[2]) ** 2) ** 0.5

@@ -28,35 +28,88 @@ def _named(rows: DataFrame, prefix: str, keys: tuple[str, ...]) -> DataFrame:
     return rows.select(*keys, "cx", "cy", *(F.col(c).alias(f"{prefix}{c}") for c in rows.columns if c not in (*keys, "cx", "cy")))
 
 
-def adjacency(runs: DataFrame, tol: float, bridge: float = 0.0, corner: float = 0.0, blocked: DataFrame | None = None, keys: tuple[str, ...] = ("sheet_id",), cell: float = 64.0) -> DataFrame:
-    """(keys, a, b), a < b: pipes that touch, or whose ends a bend or a short straight gap parts.
-
-    runs: keys, run_id, axis, x1, y1, x2, y2 (straight pipes). Touching: an end of one within tol of the other.
-    Bridged: ends within `bridge` along one axis and within tol across it. Bend: unlike axes with ends within
-    `corner`. blocked: keys, a, b pairs that a spec break parts.
+def edges_of(runs: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """(keys, run_id, edge, x1, y1, x2, y2): the straight edges of pipes with points, or pipes without as one edge each."""
+    if "points" not in runs.columns:
+        return runs.select(*keys, "run_id", F.lit(0).alias("edge"), "x1", "y1", "x2", "y2")
+    both = F.arrays_zip(F.expr("slice(points, 1, size(points) - 1)").alias("a"), F.expr("slice(points, 2, size(points) - 1)").alias("b"))
+    rows = runs.where("size(points) >= 2").select(*keys, "run_id", F.posexplode(both).alias("edge", "e"))
+    return rows.select(*keys, "run_id", "edge", *(F.col(f"e.{p}")[k].alias(f"{c}{n}") for n, p in ((1, "a"), (2, "b")) for k, c in enumerate("xy")))
+
+
+def ends_of(runs: DataFrame, *others: str, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """(keys, run_id, others, which, x, y): both ends of every pipe, which is 1 or 2."""
+    at = [(F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))]
+    if "points" in runs.columns:
+        at = [(F.col("points")[0][0], F.col("points")[0][1]), (F.element_at("points", -1)[0], F.element_at("points", -1)[1])]
+    both = F.array(*(F.struct(F.lit(k).alias("which"), x.alias("x"), y.alias("y")) for k, (x, y) in enumerate(at, 1)))
+    return runs.select(*keys, "run_id", *others, F.explode(both).alias("e")).select(*keys, "run_id", *others, "e.*")
+
+
+#: Squared distance of (x, y) from the edge (x1, y1) - (x2, y2) in SQL, exact for edges along an axis.
+EDGE_DISTANCE_2 = """if(x1 = x2 or y1 = y2,
+  pow(greatest(least(x1, x2) - x, x - greatest(x1, x2), 0), 2) + pow(greatest(least(y1, y2) - y, y - greatest(y1, y2), 0), 2),
+  pow(x1 + greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (x2 - x1) - x, 2)
+  + pow(y1 + greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (y2 - y1) - y, 2))"""
+
+
+def ends_on_edges(ends: DataFrame, edges: DataFrame, tol: float, keys: tuple[str, ...] = ("sheet_id",), cell: float = 64.0) -> DataFrame:
+    """(keys, run_id, which, other): ends within tol of an edge of another pipe; a point is in one cell only."""
+    e = edges.withColumnsRenamed({"run_id": "other"}).withColumns({"lx": F.least("x1", "x2"), "ly": F.least("y1", "y2"), "hx": F.greatest("x1", "x2"), "hy": F.greatest("y1", "y2")})
+    e = in_cells(e, cell, tol, ("lx", "ly", "hx", "hy")).drop("edge", "lx", "ly", "hx", "hy")
+    p = ends.select(*keys, "run_id", "which", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    near = p.join(e, [*keys, "cx", "cy"]).where(f"run_id <> other and {EDGE_DISTANCE_2} <= {tol * tol}")
+    return near.select(*keys, "run_id", "which", "other")
+
+
+def end_pairs(ends: DataFrame, reach: float, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """(keys, a, b, all columns of both ends as a_ and b_): ends of two pipes, a < b, within reach on both axes."""
+    own = [c for c in ends.columns if c not in keys]
+    size = max(reach, 1.0)
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
+    a = ends.select(*keys, *(F.col(c).alias(f"a_{c}") for c in own)).withColumn("cx", F.floor(F.col("a_x") / size)).withColumn("cy", F.floor(F.col("a_y") / size))
+    b = ends.select(*keys, *(F.col(c).alias(f"b_{c}") for c in own)).withColumn("cx", around("b_x")).withColumn("cy", around("b_y"))
+    near = a.join(b, [*keys, "cx", "cy"]).where(f"a_run_id < b_run_id and abs(a_x - b_x) <= {reach} and abs(a_y - b_y) <= {reach}")
+    return near.drop("cx", "cy").withColumnsRenamed({"a_run_id": "a", "b_run_id": "b"})
+
+
+def adjacency(
+    runs: DataFrame, tol: float, bridge: float = 0.0, corner: float = 0.0, noise: float | None = None, symbols: DataFrame | None = None,
+    inset: float = 4.0, pad: float = 4.0, blocked: DataFrame | None = None, keys: tuple[str, ...] = ("sheet_id",), cell: float = 64.0,
+) -> DataFrame:
+    """(keys, a, b), a < b: pipes that touch, or whose ends a bend or a gap in one line parts.
+
+    runs: keys, run_id, axis (H, V or poly), x1 .. y2 or points; rows with a true `underline` are no pipes. Touching: an
+    end of one within tol of the other. Bend: pipes of unlike axes, or of none, with ends within `corner`. Gap: ends
+    within tol across one axis and at most `noise` along it, or at most `bridge` if an in-line symbol (symbols: keys,
+    coarse, box) holds its middle, give or take pad. Neither leads through equipment: the middle must not lie deeper
+    than inset in such a box. Without symbols `noise` is `bridge`. blocked: keys, a, b pairs that a spec break parts.
     """
-    reach = max(tol, bridge, corner)
-    spread = runs.select(*keys, "run_id", "axis", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("lx"), F.least("y1", "y2").alias("ly"), F.greatest("x1", "x2").alias("hx"), F.greatest("y1", "y2").alias("hy"))
-    left = _named(in_cells(spread, cell, 0.0, ("lx", "ly", "hx", "hy")), "a_", keys)
-    right = _named(in_cells(spread, cell, reach, ("lx", "ly", "hx", "hy")), "b_", keys)
-    near = left.join(right, [*keys, "cx", "cy"]).where("a_run_id <> b_run_id")
-
-    def end_on(p: str, q: str) -> Column:
-        seg = [F.col(f"{q}{c}") for c in ("x1", "y1", "x2", "y2")]
-        return (g.point_segment(F.col(f"{p}x1"), F.col(f"{p}y1"), *seg) <= tol) | (g.point_segment(F.col(f"{p}x2"), F.col(f"{p}y2"), *seg) <= tol)
-
-    link = end_on("a_", "b_") | end_on("b_", "a_")
-    for i in ("1", "2"):
-        for j in ("1", "2"):
-            dx, dy = F.abs(F.col(f"a_x{i}") - F.col(f"b_x{j}")), F.abs(F.col(f"a_y{i}") - F.col(f"b_y{j}"))
-            if bridge > 0:
-                link = link | ((F.least(dx, dy) <= tol) & (F.greatest(dx, dy) <= bridge))
-            if corner > 0:
-                link = link | ((F.col("a_axis") != F.col("b_axis")) & (dx * dx + dy * dy <= corner * corner))
-    out = near.where(link).select(*keys, F.least("a_run_id", "b_run_id").alias("a"), F.greatest("a_run_id", "b_run_id").alias("b")).distinct()
+    pipes = runs.where("not coalesce(underline, false)") if "underline" in runs.columns else runs
+    noise = (bridge if symbols is None else 0.0) if noise is None else noise
+    ends = ends_of(pipes, "axis", keys=keys)
+    touch = ends_on_edges(ends, edges_of(pipes, keys), tol, keys, cell).select(*keys, F.least("run_id", "other").alias("a"), F.greatest("run_id", "other").alias("b"))
+    out = touch
+    if max(bridge, corner) > 0:
+        gaps = end_pairs(ends.drop("which"), max(bridge, corner), keys)
+        gaps = gaps.withColumns({"dx": F.expr("abs(a_x - b_x)"), "dy": F.expr("abs(a_y - b_y)"), "mx": F.expr("(a_x + b_x) / 2"), "my": F.expr("(a_y + b_y) / 2")})
+        bend = f"(a_axis <> b_axis or a_axis = 'poly') and dx * dx + dy * dy <= {corner * corner}"
+        line = f"least(dx, dy) <= {tol} and greatest(dx, dy) <= {bridge}"
+        gaps = gaps.where(f"({bend}) or ({line})").select(*keys, "a", "b", "mx", "my", F.expr(f"({bend}) or ({line} and greatest(dx, dy) <= {noise})").alias("near"))
+        if symbols is not None:
+            box = in_cells(symbols.select(*keys, "coarse", "x1", "y1", "x2", "y2"), cell, pad)
+            gaps = gaps.withColumn("cx", F.floor(F.col("mx") / cell)).withColumn("cy", F.floor(F.col("my") / cell)).join(box, [*keys, "cx", "cy"], "left")
+            held = lambda by: F.expr(f"mx between x1 - ({by}) and x2 + ({by}) and my between y1 - ({by}) and y2 + ({by})")
+            inside = F.coalesce((F.col("coarse") == "equipment") & held(-inset), F.lit(False))
+            inline = F.coalesce((F.col("coarse") != "equipment") & held(pad), F.lit(False))
+            gaps = gaps.groupBy(*keys, "a", "b", "mx", "my", "near").agg(F.bool_or(inside).alias("inside"), F.bool_or(inline).alias("inline")).where("not inside and (near or inline)")
+        else:
+            gaps = gaps.where("near")
+        out = out.unionByName(gaps.select(*keys, "a", "b"))
+    out = out.distinct()
     if blocked is not None:
-        cut = blocked.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        out = out.join(cut, [*keys, "a", "b"], "left_anti")
+        parted = blocked.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out = out.join(parted, [*keys, "a", "b"], "left_anti")
     return out
 
 

@@ -136,33 +136,30 @@ def merge_elbows(runs: DataFrame, tol: float, key: str = "sheet_id") -> DataFram
     return runs.select(key, "run_id", *_BOX).groupBy(key).applyInPandas(merge, f"{key} {dict(runs.dtypes)[key]}, run_id bigint, points array<array<double>>, n_runs int")
 
 
-def bridge_headers(runs: DataFrame, max_gap: int, tol: int, key: str = "sheet_id") -> DataFrame:
+def bridge_headers(runs: DataFrame, max_gap: int, tol: int, blocks: DataFrame | None = None, key: str = "sheet_id") -> DataFrame:
     """Straight pipes of one axis and nearly one height joined over gaps: key, axis, lo, hi, at, n_runs.
 
     Heights within a band of tol + 1 belong together; the height moves to the middle with every pipe that joins, which
-    makes the order (start, then id) part of the result.
+    makes the order (start, then id) part of the result: a band's pipes are one sorted array, folded from the left. A gap
+    that a box of blocks (key, x1 .. y2) crosses stays open.
     """
-    prepare(runs.sparkSession)
-
-    def bridge(frame: pd.DataFrame) -> pd.DataFrame:
-        bands: dict[tuple[str, int], list[tuple]] = {}
-        for r in frame.itertuples(index=False):
-            lo, hi, at = (min(r.x1, r.x2), max(r.x1, r.x2), r.y1) if r.axis == "H" else (min(r.y1, r.y2), max(r.y1, r.y2), r.x1)
-            bands.setdefault((r.axis, int(at // (tol + 1))), []).append((lo, r.run_id, hi, at))
-        out = []
-        for (axis, _), rows in sorted(bands.items()):
-            cur: list | None = None
-            for lo, _, hi, at in sorted(rows):
-                if cur is not None and lo - cur[1] <= max_gap:
-                    cur = [cur[0], max(cur[1], hi), round((cur[2] + at) / 2), cur[3] + 1]
-                else:
-                    if cur is not None:
-                        out.append((frame[key].iloc[0], axis, *cur))
-                    cur = [lo, hi, at, 1]
-            out.append((frame[key].iloc[0], axis, *cur))
-        return pd.DataFrame(out, columns=[key, "axis", "lo", "hi", "at", "n_runs"])
-
-    return runs.select(key, "run_id", "axis", *_BOX).groupBy(key).applyInPandas(bridge, f"{key} {dict(runs.dtypes)[key]}, axis string, lo bigint, hi bigint, at bigint, n_runs int")
+    flat = F.col("axis") == "H"
+    lo, hi, at = (F.when(flat, F.expr(a)).otherwise(F.expr(b)) for a, b in (("least(x1, x2)", "least(y1, y2)"), ("greatest(x1, x2)", "greatest(y1, y2)"), ("y1", "x1")))
+    rows = runs.select(key, "run_id", "axis", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), at.cast("bigint").alias("at"))
+    bands = rows.groupBy(key, "axis", F.floor(F.col("at") / (tol + 1)).alias("band")).agg(F.array_sort(F.collect_list(F.struct("lo", "run_id", "hi", "at"))).alias("rs"))
+    none = F.array().cast("array<struct<lo:double,hi:double,from:double,to:double>>")
+    if blocks is None:
+        bands = bands.withColumn("stops", none)
+    else:
+        side = F.expr("explode(array(named_struct('axis', 'H', 'lo', double(x1), 'hi', double(x2), 'from', double(y1), 'to', double(y2)), named_struct('axis', 'V', 'lo', double(y1), 'hi', double(y2), 'from', double(x1), 'to', double(x2))))")
+        held = blocks.select(key, side.alias("b")).groupBy(key, F.col("b.axis").alias("axis")).agg(F.collect_list(F.struct("b.lo", "b.hi", "b.from", "b.to")).alias("stops"))
+        bands = bands.join(held, [key, "axis"], "left").withColumn("stops", F.coalesce("stops", none))
+    stopped = "exists(stops, b -> l.at between b.from and b.to and l.hi < b.hi and r.lo > b.lo)"
+    grown = "named_struct('lo', l.lo, 'hi', greatest(l.hi, r.hi), 'at', bigint(bround((l.at + r.at) / 2)), 'n_runs', l.n_runs + 1)"
+    fresh = "named_struct('lo', r.lo, 'hi', r.hi, 'at', r.at, 'n_runs', 1)"
+    step = f"get(transform(array(try_element_at(s, -1)), l -> if(l is not null and r.lo - l.hi <= {max_gap} and not {stopped}, concat(slice(s, 1, size(s) - 1), array({grown})), concat(s, array({fresh})))), 0)"
+    out = bands.select(key, "axis", F.expr(f"inline(aggregate(rs, cast(array() as array<struct<lo:bigint,hi:bigint,at:bigint,n_runs:int>>), (s, r) -> {step}))"))
+    return out.select(key, "axis", "lo", "hi", "at", "n_runs")
 
 
 def stitch(new: DataFrame, existing: DataFrame, radius: float, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:

@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoline.session import table
 
-#: Codes of the derived plant, four characters each.
-FLUIDS = "GF  GT  GR  LO  DO  AI  VRE CWS "
-CLASSES = "CCB CDA ASA DSA CPA CDE ACC DSE APA CCC "
+#: Codes of the derived plant.
+FLUIDS = ("GF", "GT", "GR", "LO", "DO", "AI", "VRE", "CWS")
+CLASSES = ("CCB", "CDA", "ASA", "DSA", "CPA", "CDE", "ACC", "DSE", "APA", "CCC")
 
 
-def _pick(codes: str, k: str) -> str:
-    return f"trim(substr('{codes}', cast(1 + 4 * ({k}) as int), 4))"
+def _pick(codes: tuple[str, ...], k: str) -> str:
+    """SQL for the code at a position counted from 0."""
+    return f"CASE {k} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(codes)) + " END"
+
+
+pick = _pick
 
 
 #: One pipe per order, 100 to a sheet: a horizontal or vertical segment.
@@ -27,12 +31,12 @@ SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS run_id
 FROM (SELECT o_orderkey, o_custkey, cast((o_orderkey * 7919 + o_custkey * 31) % 1600 as bigint) AS x1, cast((o_orderkey * 104729 + o_custkey * 17) % 1100 as bigint) AS y1, cast(40 + (o_orderkey * 131) % 260 as bigint) AS n FROM orders)
 """
 
-#: One tag per order that is no multiple of three; it names its own pipe, one in eleven names none.
+#: One tag per order; it names its own pipe, but every third and every eleventh names none.
 TAGS = f"""
 SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS pid_idx,
   cast(cast(600 + floor(o_orderkey / 1000) % 90 as bigint) as string) || '-' || cast(1 + o_custkey % 12 as string) || '"-' || {_pick(FLUIDS, "o_custkey % 8")} || '-' || {_pick(CLASSES, "(o_custkey * 7 + o_orderkey % 3) % 10")} || '-' || lpad(cast(o_orderkey % 1000 as string), 3, '0') AS pid,
   CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE {_pick(FLUIDS, "o_custkey % 8")} END AS fluid, {_pick(CLASSES, "(o_custkey * 7 + o_orderkey % 3) % 10")} AS pclass,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS run_id,
+  CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS run_id,
   CASE WHEN o_orderstatus = 'F' THEN 'L' WHEN o_orderstatus = 'O' THEN 'G' ELSE '' END AS fluid_phase,
   CASE WHEN o_orderkey % 17 = 0 THEN 'CL-' || cast(o_custkey % 5 as string) ELSE '' END AS corrosion_loop,
   CASE WHEN o_orderkey % 29 = 0 THEN 'TITANIUM' ELSE '' END AS material,
@@ -40,7 +44,7 @@ SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS pid_id
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE cast(o_orderkey * 11 % 640 as double) / 16 END AS operating_pressure,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(o_custkey % 13 as double) / 4 END AS corrosion_allowance,
   cast(1 + o_orderkey % 4 as int) AS conf, cast((o_orderkey * 7919 + o_custkey * 31) % 1600 as bigint) + 20 AS x, cast((o_orderkey * 104729 + o_custkey * 17) % 1100 as bigint) - 6 AS y
-FROM orders WHERE o_orderkey % 3 <> 0
+FROM orders
 """
 
 #: Raw texts of tags with the damage that text recognition does.
@@ -65,20 +69,20 @@ SELECT event_id, user_id, CASE cast(event_id % 8 as int)
   event_type FROM events
 """
 
-#: Line-list rows: several per line number, with blanks; row_no gives their order.
+#: Line-list rows: several per line number, with blanks, four in ten all blank; row_no gives their order.
 LINE_LIST = """
 SELECT o_orderkey % 4000 AS line_no, o_orderkey AS row_no, 'L ' || lpad(cast(o_orderkey % 4000 as string), 4, '0') || CASE WHEN o_orderkey % 2 = 0 THEN '"' ELSE '-' END AS line_number,
-  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE cast(o_custkey % 500 as double) / 4 END AS operating_pressure,
-  CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE cast(o_custkey % 333 as double) / 2 END AS operating_temperature,
-  CASE WHEN o_orderkey % 5 < 2 THEN '' ELSE substr('LG', cast(1 + o_custkey % 2 as int), 1) END AS fluid_phase,
-  CASE WHEN o_orderkey % 6 < 3 THEN '' ELSE 'CL-' || cast(o_custkey % 7 as string) END AS corrosion_loop
-FROM orders WHERE o_orderkey % 10 < 6
+  CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 10 >= 6 THEN NULL ELSE cast(o_custkey % 500 as double) / 4 END AS operating_pressure,
+  CASE WHEN o_orderkey % 4 = 1 OR o_orderkey % 10 >= 6 THEN NULL ELSE cast(o_custkey % 333 as double) / 2 END AS operating_temperature,
+  CASE WHEN o_orderkey % 5 < 2 OR o_orderkey % 10 >= 6 THEN '' ELSE substr('LG', cast(1 + o_custkey % 2 as int), 1) END AS fluid_phase,
+  CASE WHEN o_orderkey % 6 < 3 OR o_orderkey % 10 >= 6 THEN '' ELSE 'CL-' || cast(o_custkey % 7 as string) END AS corrosion_loop
+FROM orders
 """
 
-#: Points to be put on pipes, four per sheet and more on some.
+#: Points to be put on pipes, one per order.
 POINTS = """
 SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS point_id, cast((o_orderkey * 613 + o_custkey) % 1600 as bigint) AS x, cast((o_orderkey * 1021 + o_custkey * 3) % 1100 as bigint) AS y
-FROM orders WHERE o_orderkey % 4 = 1
+FROM orders
 """
 
 #: Boxes with scores and classes, from order rows.

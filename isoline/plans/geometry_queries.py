@@ -31,18 +31,17 @@ SELECT run_id, cast(n + 50 AS double) AS length, x1 AS bx1, y1 AS by1, x2 + 30 A
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipes that touch, or that a bend or a short straight gap parts."""
-    return spatial.adjacency(derived(spark, sf_dir, "d_runs"), TOL, bridge=24.0, corner=20.0)
+    """Pipes that touch, or that a bend, a short gap or an in-line symbol parts, but no equipment."""
+    return spatial.adjacency(derived(spark, sf_dir, "d_runs"), TOL, bridge=60.0, corner=20.0, noise=24.0, symbols=derived(spark, sf_dir, "d_boxes"))
 
 
-def _ends(p: str) -> list[tuple[str, str]]:
-    return [(f"{p}.x1", f"{p}.y1"), (f"{p}.x2", f"{p}.y2")]
-
-
-_TOUCH = " OR ".join(f"{_seg(x, y, o)} <= {TOL}" for p, o in (("a", "b"), ("b", "a")) for x, y in _ends(p))
-_BRIDGE = " OR ".join(f"(least(abs({x} - {u}), abs({y} - {v})) <= {TOL} AND greatest(abs({x} - {u}), abs({y} - {v})) <= 24) OR (a.axis <> b.axis AND pow({x} - {u}, 2) + pow({y} - {v}, 2) <= 400)" for x, y in _ends("a") for u, v in _ends("b"))
-_ADJACENCY = f"SELECT a.sheet_id, a.run_id AS a, b.run_id AS b FROM d_runs a JOIN d_runs b ON a.sheet_id = b.sheet_id AND a.run_id < b.run_id AND ({_TOUCH} OR {_BRIDGE})"
-ADJACENCY = f"{with_('d_runs')} {_ADJACENCY}"
+_ADJACENCY = f"""WITH pend AS (SELECT sheet_id, run_id, axis, x1 AS x, y1 AS y FROM d_runs UNION ALL SELECT sheet_id, run_id, axis, x2, y2 FROM d_runs),
+touch AS (SELECT p.sheet_id, least(p.run_id, r.run_id) AS a, greatest(p.run_id, r.run_id) AS b FROM pend p JOIN d_runs r ON p.sheet_id = r.sheet_id AND p.run_id <> r.run_id AND {_seg('p.x', 'p.y', 'r')} <= {TOL}),
+gap AS (SELECT p.sheet_id, p.run_id AS a, q.run_id AS b, (p.x + q.x) / 2 AS mx, (p.y + q.y) / 2 AS my, abs(p.x - q.x) AS dx, abs(p.y - q.y) AS dy, p.axis <> q.axis AS bend FROM pend p JOIN pend q ON p.sheet_id = q.sheet_id AND p.run_id < q.run_id AND abs(p.x - q.x) <= 60 AND abs(p.y - q.y) <= 60),
+link AS (SELECT sheet_id, a, b FROM gap g WHERE ((bend AND dx * dx + dy * dy <= 400) OR (least(dx, dy) <= {TOL} AND greatest(dx, dy) <= 60 AND (greatest(dx, dy) <= 24 OR EXISTS (SELECT 1 FROM d_boxes s WHERE s.sheet_id = g.sheet_id AND s.coarse <> 'equipment' AND mx BETWEEN s.x1 - 4 AND s.x2 + 4 AND my BETWEEN s.y1 - 4 AND s.y2 + 4))))
+  AND NOT EXISTS (SELECT 1 FROM d_boxes s WHERE s.sheet_id = g.sheet_id AND s.coarse = 'equipment' AND mx BETWEEN s.x1 + 4 AND s.x2 - 4 AND my BETWEEN s.y1 + 4 AND s.y2 - 4))
+SELECT sheet_id, a, b FROM touch UNION SELECT sheet_id, a, b FROM link"""
+ADJACENCY = f"{with_('d_runs', 'd_boxes')} SELECT * FROM ({_ADJACENCY})"
 
 
 def nearest_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +55,11 @@ SELECT sheet_id, point_id, run_id, round_even(distance, 6) AS distance FROM (SEL
 
 def snap_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class codes put on pipes, their own axis preferred."""
-    points = derived(spark, sf_dir, "d_points").withColumn("orient", F.expr("if(point_id % 8 = 1, 'H', 'V')"))
+    points = derived(spark, sf_dir, "d_points").withColumn("orient", F.expr("if(point_id % 8 < 3, 'H', 'V')"))
     return spatial.nearest_run(points, derived(spark, sf_dir, "d_runs"), 107.0, prefer_axis="orient").select("sheet_id", "point_id", "run_id", F.bround("distance", 6).alias("distance"))
 
 
-SNAP_CODES = f"""{with_('d_points', 'd_runs')}, d AS (SELECT p.sheet_id, point_id, run_id, {_seg('p.x', 'p.y', 'r')} AS distance, greatest(x2 - x1, y2 - y1) AS n, axis = CASE WHEN point_id % 8 = 1 THEN 'H' ELSE 'V' END AS same FROM d_points p JOIN d_runs r ON p.sheet_id = r.sheet_id)
+SNAP_CODES = f"""{with_('d_points', 'd_runs')}, d AS (SELECT p.sheet_id, point_id, run_id, {_seg('p.x', 'p.y', 'r')} AS distance, greatest(x2 - x1, y2 - y1) AS n, axis = CASE WHEN point_id % 8 < 3 THEN 'H' ELSE 'V' END AS same FROM d_points p JOIN d_runs r ON p.sheet_id = r.sheet_id)
 SELECT sheet_id, point_id, run_id, round_even(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance * CASE WHEN same THEN 0.6 ELSE 1.0 END, n DESC, run_id) AS k FROM d WHERE distance <= 107) WHERE k = 1"""
 
 
@@ -108,12 +107,12 @@ SELECT sheet_id, band, min(x1) AS lo, max(x2) AS hi, count(*) AS n FROM i GROUP
 def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What equipment leaves of horizontal pipes, by bands."""
     base = derived(spark, sf_dir, "d_runs").where("axis = 'H'").select("sheet_id", F.expr("y1 div 300").alias("band"), F.col("run_id").alias("id"), F.col("x1").alias("lo"), F.col("x2").alias("hi"))
-    holes = derived(spark, sf_dir, "d_boxes").where("coarse = 'equipment' and box_id % 4 = 1").select("sheet_id", F.expr("y1 div 300").alias("band"), F.col("x1").alias("h_lo"), F.col("x2").alias("h_hi"))
+    holes = derived(spark, sf_dir, "d_boxes").where("coarse = 'equipment'").select("sheet_id", F.expr("y1 div 300").alias("band"), F.col("x1").alias("h_lo"), F.col("x2").alias("h_hi"))
     return spatial.subtract_intervals(base, holes, ("sheet_id", "band")).groupBy("sheet_id", "id").agg(F.count("*").alias("n"), F.sum(F.expr("hi - lo")).alias("left_over"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 INTERVAL_SUBTRACT = f"""{with_('d_runs', 'd_boxes')}, b AS (SELECT sheet_id, y1 // 300 AS band, run_id AS id, x1 AS lo, x2 AS hi FROM d_runs WHERE axis = 'H'), u AS (SELECT id, sheet_id, band, unnest(range(lo, hi)) AS x FROM b),
-h AS (SELECT sheet_id, y1 // 300 AS band, x1 AS h_lo, x2 AS h_hi FROM d_boxes WHERE coarse = 'equipment' AND box_id % 4 = 1),
+h AS (SELECT sheet_id, y1 // 300 AS band, x1 AS h_lo, x2 AS h_hi FROM d_boxes WHERE coarse = 'equipment'),
 f AS (SELECT u.sheet_id, id, x FROM u WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sheet_id = u.sheet_id AND h.band = u.band AND x >= h_lo AND x < h_hi)), g AS (SELECT *, x - row_number() OVER (PARTITION BY id ORDER BY x) AS k FROM f)
 SELECT sheet_id, id, count(DISTINCT k) AS n, count(*) AS left_over, min(x) AS lo, max(x) + 1 AS hi FROM g GROUP BY ALL"""
 
@@ -124,6 +123,14 @@ def tee_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("sheet_id", "run_id").agg(F.count("*").alias("n_pieces"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.expr("hi - lo")).alias("longest"))
 
 
+TEE_SPLIT = f"""{with_('d_runs')}, f AS (SELECT sheet_id, run_id, axis, CASE WHEN axis = 'H' THEN x1 ELSE y1 END AS lo, CASE WHEN axis = 'H' THEN x2 ELSE y2 END AS hi, CASE WHEN axis = 'H' THEN y1 ELSE x1 END AS v FROM d_runs),
+cuts AS (SELECT run_id, pos, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS k FROM (SELECT DISTINCT r.run_id, b.v AS pos FROM f r JOIN f b ON r.sheet_id = b.sheet_id AND r.axis <> b.axis AND (abs(b.lo - r.v) <= {TOL} OR abs(b.hi - r.v) <= {TOL}) AND b.v > r.lo + 8 AND b.v < r.hi - 8)),
+walk AS (SELECT run_id, k, pos AS last, [pos] AS kept FROM cuts WHERE k = 1 UNION ALL SELECT c.run_id, c.k, CASE WHEN c.pos - w.last >= 8 THEN c.pos ELSE w.last END, CASE WHEN c.pos - w.last >= 8 THEN list_append(w.kept, c.pos) ELSE w.kept END FROM walk w JOIN cuts c ON c.run_id = w.run_id AND c.k = w.k + 1),
+last AS (SELECT run_id, arg_max(kept, k) AS kept FROM walk GROUP BY 1), stops AS (SELECT sheet_id, f.run_id, lo, hi, unnest(list_concat(list_concat([lo], coalesce(kept, [])), [hi])) AS p FROM f LEFT JOIN last USING (run_id)),
+pieces AS (SELECT *, lead(p) OVER (PARTITION BY run_id ORDER BY p) - p AS n FROM stops)
+SELECT sheet_id, run_id, count(n) AS n_pieces, any_value(lo) AS lo, any_value(hi) AS hi, max(n) AS longest FROM pieces GROUP BY ALL"""
+
+
 def furniture_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipes that are no frame or title block."""
     return filters.furniture_free(derived(spark, sf_dir, "d_runs"), 1600.0, 1100.0).select("sheet_id", "run_id")
@@ -154,6 +161,6 @@ SELECT sheet_id, box_id FROM n UNION ALL SELECT sheet_id, box_id FROM o WHERE NO
 
 QUERIES = {f.__name__: f for f in (run_geometry, adjacency, nearest_pipe, snap_codes, end_texts, duplicate_pipes, points_outside, interval_merge, interval_subtract, tee_split, furniture_free, terminal_ends, manual_symbols)}
 SQL = {
-    "run_geometry": RUN_GEOMETRY, "adjacency": ADJACENCY, "nearest_pipe": NEAREST_PIPE, "snap_codes": SNAP_CODES, "end_texts": END_TEXTS, "duplicate_pipes": DUPLICATE_PIPES, "points_outside": POINTS_OUTSIDE, "interval_merge": INTERVAL_MERGE, "interval_subtract": INTERVAL_SUBTRACT,
+    "run_geometry": RUN_GEOMETRY, "adjacency": ADJACENCY, "nearest_pipe": NEAREST_PIPE, "snap_codes": SNAP_CODES, "end_texts": END_TEXTS, "duplicate_pipes": DUPLICATE_PIPES, "points_outside": POINTS_OUTSIDE, "interval_merge": INTERVAL_MERGE, "interval_subtract": INTERVAL_SUBTRACT, "tee_split": TEE_SPLIT,
     "furniture_free": FURNITURE_FREE, "terminal_ends": TERMINAL_ENDS, "manual_symbols": MANUAL_SYMBOLS,
 }

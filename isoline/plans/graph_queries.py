@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from isoline.operators import propagation, spatial
 from isoline.operators.graph import connected_components
 from isoline.plans.derive import derived, with_
-from isoline.plans.geometry_queries import _ADJACENCY, TOL
+from isoline.plans.geometry_queries import _ADJACENCY, adjacency
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.adjacency(derived(spark, sf_dir, "d_runs"), TOL, bridge=24.0, corner=20.0)
+    return adjacency(spark, sf_dir)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(_edges(spark, sf_dir), "a", "b")
 
 
-COMPONENTS = f"""{with_('d_runs')}, e AS (SELECT a, b FROM ({_ADJACENCY})), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a)
+COMPONENTS = f"""{with_('d_runs', 'd_boxes')}, e AS (SELECT a, b FROM ({_ADJACENCY})), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a)
 SELECT node, min(other) AS component FROM r GROUP BY node"""
 
 
@@ -42,13 +42,21 @@ def propagation_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagation.propagate(_runs(spark, sf_dir), _edges(spark, sf_dir), _seeds(spark, sf_dir))
 
 
+#: Ways along the pipes from every seed that visit no pipe twice; the shortest wins.
+_LABELS = f"""e AS ({_ADJACENCY}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), seed AS (SELECT sheet_id, run_id, min(pid_idx) AS source FROM d_tags WHERE run_id IS NOT NULL AND fluid <> '' GROUP BY ALL),
+way AS (SELECT sheet_id, run_id, source, 0.0::double AS dist, 0 AS hops, [run_id] AS path FROM seed UNION ALL
+  SELECT w.sheet_id, s.b, w.source, w.dist + greatest(r.x2 - r.x1, r.y2 - r.y1), w.hops + 1, list_append(w.path, s.b) FROM way w JOIN s ON w.run_id = s.a JOIN d_runs r ON r.run_id = s.b WHERE NOT list_contains(w.path, s.b) AND s.b NOT IN (SELECT run_id FROM seed)),
+best AS (SELECT sheet_id, run_id, source, dist, hops, hops > 0 AS inferred FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dist, hops, source) AS k FROM way) WHERE k = 1)"""
+PROPAGATION = f"{with_('d_runs', 'd_tags', 'd_boxes')}, {_LABELS} SELECT * FROM best"
+
+
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipes labelled directly and by propagation, per sheet, from a fifth of the tags as in its SQL."""
+    """Pipes labelled directly and by propagation, per sheet."""
     runs = _runs(spark, sf_dir)
-    return propagation.coverage(runs, propagation.propagate_by_sheet(runs, _edges(spark, sf_dir), _seeds(spark, sf_dir).where("source % 5 = 1")))
+    return propagation.coverage(runs, propagation.propagate_by_sheet(runs, _edges(spark, sf_dir), _seeds(spark, sf_dir)))
 
 
-LABEL_COVERAGE = f"""{with_('d_runs', 'd_tags')}, e AS ({_ADJACENCY}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t AS (SELECT run_id FROM d_tags WHERE run_id IS NOT NULL AND fluid <> '' AND pid_idx % 5 = 1),
+LABEL_COVERAGE = f"""{with_('d_runs', 'd_tags', 'd_boxes')}, e AS ({_ADJACENCY}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t AS (SELECT run_id FROM d_tags WHERE run_id IS NOT NULL AND fluid <> ''),
 r AS (SELECT run_id AS n FROM t UNION SELECT s.b FROM r JOIN s ON r.n = s.a)
 SELECT sheet_id, count(*) FILTER (run_id IN (SELECT run_id FROM t)) AS n_direct, count(*) FILTER (run_id IN (SELECT n FROM r) AND run_id NOT IN (SELECT run_id FROM t)) AS n_inferred, count(*) AS n_runs FROM d_runs GROUP BY 1"""
 
@@ -67,7 +75,7 @@ SELECT sheet_id, run_id, run_id % 3 = 0 AS inferred, CASE WHEN run_id % 3 = 0 AN
 
 
 def fallback_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags without pipe that light up an unlabelled component (greedy by nature)."""
+    """Tags without pipe that light up an unlabelled component, one each."""
     tags = derived(spark, sf_dir, "d_tags").where("run_id is null and fluid <> ''")
     runs = _runs(spark, sf_dir)
     near = spatial.nearest_run(tags.select("sheet_id", F.col("pid_idx").alias("point_id"), "x", "y"), runs, 60.0).withColumnRenamed("point_id", "pid_idx")
@@ -76,5 +84,11 @@ def fallback_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagation.fallback_seeds(tags, near, parts, _seeds(spark, sf_dir))
 
 
+_NEAR = "sqrt(pow(greatest(r.x1 - t.x, t.x - r.x2, 0), 2) + pow(greatest(r.y1 - t.y, t.y - r.y2, 0), 2))"
+FALLBACK_SEEDS = f"""{with_('d_runs', 'd_tags', 'd_boxes')}, e AS ({_ADJACENCY}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT run_id AS node, run_id AS other FROM d_runs UNION SELECT reach.node, s.b FROM reach JOIN s ON reach.other = s.a),
+part AS (SELECT node AS run_id, min(other) AS component FROM reach GROUP BY 1), taken AS (SELECT DISTINCT component FROM d_tags JOIN part USING (run_id) WHERE fluid <> ''),
+near AS (SELECT t.sheet_id, t.pid_idx, r.run_id, {_NEAR} AS d, row_number() OVER (PARTITION BY t.pid_idx ORDER BY {_NEAR}, greatest(r.x2 - r.x1, r.y2 - r.y1) DESC, r.run_id) AS k FROM d_tags t JOIN d_runs r ON t.sheet_id = r.sheet_id WHERE t.run_id IS NULL AND fluid <> '' AND {_NEAR} <= 60)
+SELECT sheet_id, run_id, pid_idx FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, component ORDER BY d, run_id, pid_idx) AS n FROM near JOIN part USING (run_id) WHERE k = 1 AND component NOT IN (SELECT component FROM taken)) WHERE n = 1"""
+
 QUERIES = {f.__name__: f for f in (components, propagation_by_sheet, propagation_loop, label_coverage, spec_breaks, fallback_seeds)}
-SQL = {"components": COMPONENTS, "label_coverage": LABEL_COVERAGE, "spec_breaks": SPEC_BREAKS}
+SQL = {"components": COMPONENTS, "propagation_by_sheet": PROPAGATION, "propagation_loop": PROPAGATION, "label_coverage": LABEL_COVERAGE, "spec_breaks": SPEC_BREAKS, "fallback_seeds": FALLBACK_SEEDS}

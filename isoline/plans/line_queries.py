@@ -177,11 +177,11 @@ FROM d_boxes WHERE coarse IN ('equipment', 'valve')"""
 
 def tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of an image pyramid per sheet."""
-    sheets = derived(spark, sf_dir, "d_sheets").where("sheet_id < 40").select("sheet_id", (F.lit(900) + F.col("sheet_id") * 37).alias("width"), (F.lit(600) + F.col("sheet_id") * 11).alias("height"))
+    sheets = derived(spark, sf_dir, "d_sheets").select("sheet_id", (F.lit(900) + F.col("sheet_id") % 40 * 37).alias("width"), (F.lit(600) + F.col("sheet_id") % 40 * 11).alias("height"))
     return registers.tiles(sheets).groupBy("sheet_id", "level").agg(F.count("*").alias("n_tiles"))
 
 
-TILE_INDEX = """WITH s AS (SELECT page_id AS sheet_id, 900 + page_id * 37 AS w, 600 + page_id * 11 AS h FROM pages WHERE page_id < 40), t AS (SELECT *, cast(ceil(log2(greatest(w, h))) AS int) AS top FROM s), l AS (SELECT *, unnest(range(0, top + 1)) AS level FROM t)
+TILE_INDEX = """WITH s AS (SELECT page_id AS sheet_id, 900 + page_id % 40 * 37 AS w, 600 + page_id % 40 * 11 AS h FROM pages), t AS (SELECT *, cast(ceil(log2(greatest(w, h))) AS int) AS top FROM s), l AS (SELECT *, unnest(range(0, top + 1)) AS level FROM t)
 SELECT sheet_id, cast(level AS int) AS level, cast(ceil(ceil(w / pow(2, top - level)) / 256) * ceil(ceil(h / pow(2, top - level)) / 256) AS bigint) AS n_tiles FROM l"""
 
 
@@ -213,29 +213,61 @@ l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY step IN ('comple
 SELECT job_id, step, pct, CASE WHEN step IN ('completed', 'failed') THEN step WHEN m = 'queued' THEN 'queued' ELSE 'processing' END AS status, n_events FROM l WHERE k = 1"""
 
 
+def _kept(order: str, hit: str) -> str:
+    """SQL that walks the boxes of every sheet in an order and keeps those that hit none kept before (k: kept, o: own)."""
+    return f"""{with_('d_boxes')}, a AS (SELECT *, (x2 - x1) * (y2 - y1) AS size FROM d_boxes), o AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY {order}) AS n FROM a),
+w AS (SELECT sheet_id, n, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'size': size, 'box_id': box_id, 'score': score}}] AS kept FROM o WHERE n = 1 UNION ALL
+  SELECT o.sheet_id, o.n, CASE WHEN len(list_filter(w.kept, lambda k: {hit})) = 0 THEN list_append(w.kept, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'size': o.size, 'box_id': o.box_id, 'score': o.score}}) ELSE w.kept END FROM w JOIN o ON o.sheet_id = w.sheet_id AND o.n = w.n + 1),
+l AS (SELECT sheet_id, unnest(arg_max(kept, n)) AS b FROM w GROUP BY 1)"""
+
+
+_SHARED = "(greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1)))"
+
+
 def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes that survive non-maximum suppression (sequential by nature; tests hold it against brute force)."""
+    """Boxes that survive non-maximum suppression."""
     return greedy.nms(derived(spark, sf_dir, "d_boxes"), 0.3).select("sheet_id", "box_id", "score")
 
 
+BOX_NMS = f"{_kept('score DESC, box_id', f'{_SHARED} / (k.size + o.size - {_SHARED} + 1e-9) > 0.3')} SELECT sheet_id, b.box_id AS box_id, b.score AS score FROM l"
+
+
 def box_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unions of overlapping equipment boxes (sequential by nature)."""
+    """Unions of overlapping equipment boxes (rounds of components; tests hold it against brute force)."""
     return greedy.merge_boxes(derived(spark, sf_dir, "d_boxes").where("coarse = 'equipment'"))
 
 
+def box_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions of instrument boxes at most four pixels apart (rounds of components; tests hold it against brute force)."""
+    return greedy.merge_boxes(derived(spark, sf_dir, "d_boxes").where("coarse = 'instrument'"), gap=4)
+
+
 def box_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes not held by a larger one (sequential by nature)."""
+    """Boxes not held by a larger one."""
     return greedy.suppress_nested(derived(spark, sf_dir, "d_boxes")).select("sheet_id", "box_id")
 
 
+BOX_NESTED = f"{_kept('size DESC, box_id', f'o.size > 0 AND {_SHARED} / o.size > 0.55')} SELECT sheet_id, b.box_id AS box_id FROM l"
+
+
 def tag_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of labels clustered around running means (sequential by nature)."""
+    """Readings of labels clustered around running means."""
     rows = derived(spark, sf_dir, "d_tags").select("sheet_id", "pid_idx", F.regexp_replace("pid", r"-\d+$", "").alias("pid"), "x", "y", F.col("conf").alias("weight"))
     return greedy.cluster_tags(rows, 150.0)
 
 
-QUERIES = {f.__name__: f for f in (systems, circuits, project_circuits, tag_dedup, tag_dedup_simple, fluid_suspects, review, validation_report, validation_score, marking_report, line_register, symbol_register, symbol_counts, yolo_labels, tile_index, opc_edges, job_state, box_nms, box_merge, box_nested, tag_clusters)}
+TAG_CLUSTERS = f"""{with_('d_tags')}, o AS (SELECT sheet_id, pid_idx, regexp_replace(pid, '-\\d+$', '') AS pid, x, y, conf, row_number() OVER (PARTITION BY sheet_id ORDER BY conf DESC, pid_idx) AS k FROM d_tags),
+w AS (SELECT sheet_id, k, [{{'x': x::double, 'y': y::double, 'n': 1}}] AS c, 1::bigint AS home FROM o WHERE k = 1 UNION ALL
+  SELECT sheet_id, k, CASE WHEN h = 0 THEN list_append(c, {{'x': x::double, 'y': y::double, 'n': 1}}) ELSE list_transform(c, lambda g, i: CASE WHEN i = h THEN {{'x': g.x + x, 'y': g.y + y, 'n': g.n + 1}} ELSE g END) END, CASE WHEN h = 0 THEN len(c) + 1 ELSE h END
+  FROM (SELECT o.sheet_id, o.k, w.c, o.x, o.y, coalesce(list_position(list_transform(w.c, lambda g: abs(o.x - g.x / g.n) <= 150 AND abs(o.y - g.y / g.n) <= 150), true), 0) AS h FROM w JOIN o ON o.sheet_id = w.sheet_id AND o.k = w.k + 1)),
+m AS (SELECT o.*, home FROM o JOIN w USING (sheet_id, k)), v AS (SELECT sheet_id, home, pid, sum(conf) AS votes, min(k) AS met FROM m GROUP BY ALL),
+t AS (SELECT sheet_id, home, pid, row_number() OVER (PARTITION BY sheet_id, home ORDER BY votes DESC, len(pid) DESC, met) AS r FROM v)
+SELECT sheet_id, t.pid, quantile_cont(x::double, 0.5) AS x, quantile_cont(y::double, 0.5) AS y, cast(sum(conf) AS int) AS conf FROM m JOIN t USING (sheet_id, home) WHERE r = 1 GROUP BY sheet_id, home, t.pid HAVING sum(conf) >= 2"""
+
+
+QUERIES = {f.__name__: f for f in (systems, circuits, project_circuits, tag_dedup, tag_dedup_simple, fluid_suspects, review, validation_report, validation_score, marking_report, line_register, symbol_register, symbol_counts, yolo_labels, tile_index, opc_edges, job_state, box_nms, box_merge, box_gaps, box_nested, tag_clusters)}
 SQL = {
     "systems": SYSTEMS, "circuits": CIRCUITS, "project_circuits": PROJECT_CIRCUITS, "tag_dedup": TAG_DEDUP, "tag_dedup_simple": TAG_DEDUP_SIMPLE, "fluid_suspects": FLUID_SUSPECTS, "review": REVIEW, "validation_report": VALIDATION_REPORT, "validation_score": VALIDATION_SCORE,
     "marking_report": MARKING_REPORT, "line_register": LINE_REGISTER, "symbol_register": SYMBOL_REGISTER, "symbol_counts": SYMBOL_COUNTS, "yolo_labels": YOLO_LABELS, "tile_index": TILE_INDEX, "opc_edges": OPC_EDGES, "job_state": JOB_STATE,
+    "box_nms": BOX_NMS, "box_nested": BOX_NESTED, "tag_clusters": TAG_CLUSTERS,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from isoline.functions import colors as colours
 from isoline.functions import naming
 from isoline.operators import filters, metrics, shapes
 from isoline.plans.derive import derived, with_
@@ -64,7 +65,7 @@ def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.precision_recall(found, "truth", "found")
 
 
-BOUNDARY_SCORES = f"""{with_('d_runs')}, n AS (SELECT count(*) FILTER ((a + b) % 3 <> 0 AND (a + b) % 5 <> 0) AS tp, count(*) FILTER ((a + b) % 3 = 0 AND (a + b) % 5 <> 0) AS fp, count(*) FILTER ((a + b) % 3 <> 0 AND (a + b) % 5 = 0) AS fn FROM ({_ADJACENCY}))
+BOUNDARY_SCORES = f"""{with_('d_runs', 'd_boxes')}, n AS (SELECT count(*) FILTER ((a + b) % 3 <> 0 AND (a + b) % 5 <> 0) AS tp, count(*) FILTER ((a + b) % 3 = 0 AND (a + b) % 5 <> 0) AS fp, count(*) FILTER ((a + b) % 3 <> 0 AND (a + b) % 5 = 0) AS fn FROM ({_ADJACENCY}))
 SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM n"""
 
 
@@ -110,8 +111,8 @@ NAMES = f"""{with_('d_sheets')} SELECT sheet_id, regexp_replace(regexp_replace(f
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour arithmetic."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("#%06x", (F.col("p_partkey") * 7919) % 16777216).alias("c"))
-    rgb = naming.hex_to_rgb(F.col("c"))
-    return p.select("p_partkey", naming.shade(rgb, 0.5)[0].alias("light"), naming.shade(rgb, -0.4)[1].alias("dark"), F.bround(naming.color_distance(rgb, F.array(F.lit(150), F.lit(20), F.lit(160))), 6).alias("distance"))
+    rgb = colours.hex_to_rgb(F.col("c"))
+    return p.select("p_partkey", colours.shade(rgb, 0.5)[0].alias("light"), colours.shade(rgb, -0.4)[1].alias("dark"), F.bround(colours.distance(rgb, F.array(F.lit(150), F.lit(20), F.lit(160))), 6).alias("distance"))
 
 
 COLORS = """WITH c AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part), r AS (SELECT p_partkey, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b FROM c)

@@ -79,14 +79,30 @@ SELECT sheet_id, new_id, kind, CASE WHEN kind IN ('extend', 'bridge') THEN coale
 
 
 def elbows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipes joined at bends (a walk; tests hold it against small cases)."""
+    """Pipes joined at bends."""
     return tracing.merge_elbows(_runs(spark, sf_dir), 20.0).select("sheet_id", "run_id", "n_runs", F.size("points").alias("n_points"))
 
 
+ELBOWS = f"""{with_('d_runs')}, e AS (SELECT sheet_id, run_id, run_id * 2 AS n, x1 AS x, y1 AS y FROM d_runs UNION ALL SELECT sheet_id, run_id, run_id * 2 + 1, x2, y2 FROM d_runs),
+p AS (SELECT a.n AS a, b.n AS b FROM e a JOIN e b ON a.sheet_id = b.sheet_id AND abs(a.x - b.x) <= 20 AND abs(a.y - b.y) <= 20), r AS (SELECT n, n AS o FROM e UNION SELECT r.n, p.b FROM r JOIN p ON r.o = p.a), place AS (SELECT n, min(o) AS g FROM r GROUP BY 1),
+two AS (SELECT min(n // 2) AS a, max(n // 2) AS b FROM place GROUP BY g HAVING count(*) = 2 AND min(n // 2) <> max(n // 2)), s AS (SELECT a, b FROM two UNION SELECT b, a FROM two),
+c AS (SELECT run_id AS n, run_id AS o FROM d_runs UNION SELECT c.n, s.b FROM c JOIN s ON c.o = s.a), m AS (SELECT n, min(o) AS run_id FROM c GROUP BY 1)
+SELECT sheet_id, m.run_id, cast(count(*) AS int) AS n_runs, cast(count(*) + 1 AS int) AS n_points FROM m JOIN d_runs d ON d.run_id = m.n GROUP BY ALL"""
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers joined over gaps (sequential by nature)."""
-    return tracing.bridge_headers(_runs(spark, sf_dir), 45, 4)
+    """Headers joined over gaps that no valve crosses."""
+    return tracing.bridge_headers(_runs(spark, sf_dir), 45, 24, _boxes(spark, sf_dir, "valve"))
+
+
+HEADERS = f"""{with_('d_runs', 'd_boxes')}, f AS (SELECT sheet_id, run_id, axis, CASE WHEN axis = 'H' THEN x1 ELSE y1 END AS lo, CASE WHEN axis = 'H' THEN x2 ELSE y2 END AS hi, CASE WHEN axis = 'H' THEN y1 ELSE x1 END AS pos FROM d_runs),
+o AS (SELECT *, pos // 25 AS band, row_number() OVER (PARTITION BY sheet_id, axis, pos // 25 ORDER BY lo, run_id) AS k FROM f),
+w AS (SELECT sheet_id, axis, band, k, lo, hi, pos, 1 AS n_runs, 1 AS island FROM o WHERE k = 1 UNION ALL
+  SELECT sheet_id, axis, band, k, CASE WHEN j THEN lo ELSE lo2 END, CASE WHEN j THEN greatest(hi, hi2) ELSE hi2 END, CASE WHEN j THEN cast(round_even((pos + pos2) / 2, 0) AS bigint) ELSE pos2 END, CASE WHEN j THEN n_runs + 1 ELSE 1 END, CASE WHEN j THEN island ELSE island + 1 END
+  FROM (SELECT o.sheet_id, o.axis, o.band, o.k, w.lo, w.hi, w.pos, w.n_runs, w.island, o.lo AS lo2, o.hi AS hi2, o.pos AS pos2, o.lo - w.hi <= 45 AND NOT EXISTS (SELECT 1 FROM d_boxes b WHERE b.coarse = 'valve' AND b.sheet_id = o.sheet_id AND
+    CASE WHEN o.axis = 'H' THEN w.pos BETWEEN b.y1 AND b.y2 AND w.hi < b.x2 AND o.lo > b.x1 ELSE w.pos BETWEEN b.x1 AND b.x2 AND w.hi < b.y2 AND o.lo > b.y1 END) AS j FROM w JOIN o ON o.sheet_id = w.sheet_id AND o.axis = w.axis AND o.band = w.band AND o.k = w.k + 1))
+SELECT sheet_id, axis, lo, hi, pos AS "at", n_runs FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, axis, band, island ORDER BY k DESC) AS r FROM w) WHERE r = 1"""
 
 
 QUERIES = {f.__name__: f for f in (no_box_edges, not_inside, no_furniture, no_glyphs, snapped_ends, stitched, elbows, headers)}
-SQL = {"no_box_edges": NO_BOX_EDGES, "not_inside": NOT_INSIDE, "no_furniture": NO_FURNITURE, "no_glyphs": NO_GLYPHS, "snapped_ends": SNAPPED_ENDS, "stitched": STITCHED}
+SQL = {"no_box_edges": NO_BOX_EDGES, "not_inside": NOT_INSIDE, "no_furniture": NO_FURNITURE, "no_glyphs": NO_GLYPHS, "snapped_ends": SNAPPED_ENDS, "stitched": STITCHED, "elbows": ELBOWS, "headers": HEADERS}

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from isoline.functions import geometry, measures, tags
+from isoline.functions import colors, geometry, measures, tags
 from isoline.operators import filters, greedy, grouping, linelist, propagation, spatial
 from isoline.operators.graph import connected_components
 from isoline.sources import linelists
@@ -196,10 +196,68 @@ def test_stream_of_job_states_equals_batch(spark, small, tmp_path):
     assert got == {tuple(r) for r in progress.job_state(events).collect()} and query.lastProgress is not None
 
 
-def test_colors_differ():
-    palette = lambda k: ((k * 53) % 256, (k * 101) % 256, (k * 197) % 256)
-    got = greedy.assign_colors(["GF", "GT", "GF", "", "LO"], {"GF": 3}, palette)
-    assert got["GF"] == 3 and len(set(got.values())) == 3
+def _far(a, b):
+    red = (a[0] + b[0]) / 2
+    return ((2 + red / 256) * (a[0] - b[0]) ** 2 + 4 * (a[1] - b[1]) ** 2 + (2 + (255 - red) / 256) * (a[2] - b[2]) ** 2) ** 0.5
+
+
+def test_colors_are_far_from_those_in_use(spark):
+    known = {"GF": 3, "LO": 0}
+    new = ["VRE", "GT", "GF", "", "AI", *(f"X{k}" for k in range(25))]
+    pal, used = colors.palette(), dict(known)
+    for f in new:
+        if f and f not in used:
+            free = [k for k in range(len(pal)) if k not in used.values()]
+            away = {k: min(_far(pal[k], pal[u]) for u in used.values()) for k in free}
+            plenty = [k for k in free if away[k] >= colors.ALIKE * colors.PLENTY]
+            used[f] = plenty[0] if plenty else max(free, key=lambda k: (away[k], -k))
+    fluids = spark.createDataFrame([(f, k) for k, f in enumerate(new)], "fluid string, place int")
+    old = spark.createDataFrame(list(known.items()), "fluid string, n int")
+    assert {r.fluid: r.n for r in colors.choose(fluids, old).collect()} == used and len(set(used.values())) == len(used)
+    assert [r.n for r in colors.choose(fluids.where("fluid = 'AI'"), old.where("false")).collect()] == [0]
+    moved = colors.recolour("GT", spark.createDataFrame(list(used.items()), "fluid string, n int")).first()
+    rest = [pal[u] for f, u in used.items() if f != "GT"]
+    assert min(_far(moved.color, u) for u in rest) >= max(min(_far(c, u) for u in rest) for c in colors.STRONG)
+
+
+def test_merged_boxes_against_rounds(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(50):
+        x, y = r.randrange(140), r.randrange(140)
+        rows.append((k % 2, k, x, y, x + r.randrange(5, 40), y + r.randrange(5, 40)))
+    df = spark.createDataFrame(rows, "sheet_id int, box_id int, x1 int, y1 int, x2 int, y2 int")
+
+    def meet(a, b, gap):
+        if gap is not None:
+            return a[0] - gap <= b[2] and b[0] - gap <= a[2] and a[1] - gap <= b[3] and b[1] - gap <= a[3]
+        shared = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return shared / min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)) > 0.25
+
+    for gap in (None, 3):
+        want = []
+        for s in (0, 1):
+            todo = [(*b[2:], 1) for b in rows if b[0] == s]
+            while True:
+                groups = [{k} for k in range(len(todo))]
+                for a, b in itertools.combinations(range(len(todo)), 2):
+                    if meet(todo[a], todo[b], gap):
+                        one, two = (next(g for g in groups if k in g) for k in (a, b))
+                        if one is not two:
+                            one |= two
+                            groups.remove(two)
+                if len(groups) == len(todo):
+                    break
+                todo = [(min(todo[k][0] for k in g), min(todo[k][1] for k in g), max(todo[k][2] for k in g), max(todo[k][3] for k in g), sum(todo[k][4] for k in g)) for g in groups]
+            want += [(s, *t) for t in todo]
+        assert sorted(tuple(x) for x in greedy.merge_boxes(df, gap=gap).collect()) == sorted(want)
+
+
+def test_components_end_exactly(spark):
+    """A round is judged by its edges: chains, stars and rings of many sizes, each with its own smallest node."""
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200 + k, 200 + (k + 1) % 17) for k in range(17)] + [(500, 400), (400, 500)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200 + k: 200 for k in range(17)} | {400: 400, 500: 400}
 
 
 def test_conflicts_go_to_the_nearest(spark):
@@ -242,6 +300,8 @@ def test_elbows_and_headers(spark):
     got = tracing.merge_elbows(spark.createDataFrame(ring, cols), 1.0).collect()
     assert [(r.run_id, r.n_runs) for r in got] == [(1, 4)]
     line = [(1, 1, "H", 0, 0, 50, 0), (1, 2, "H", 80, 1, 120, 1), (1, 3, "H", 200, 0, 210, 0), (1, 4, "V", 0, 0, 0, 9)]
+    stop = spark.createDataFrame([(1, 60, -5, 70, 5)], "sheet_id int, x1 int, y1 int, x2 int, y2 int")
+    assert tracing.bridge_headers(spark.createDataFrame(line, cols), 45, 4, stop).count() == 4
     got = sorted((r.axis, r.lo, r.hi, r.n_runs) for r in tracing.bridge_headers(spark.createDataFrame(line, cols), 45, 4).collect())
     assert got == [("H", 0, 120, 2), ("H", 200, 210, 1), ("V", 0, 9, 1)]
 
