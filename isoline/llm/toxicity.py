@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, p
     hot, cold, seen = F.col("hot").cast("double"), F.col("cold").cast("double"), (F.col("hot") + F.col("cold")) / (n_hot + n_cold)
     gain = 2 * (hot * F.log(hot / (n_hot * seen)) + F.when(cold > 0, cold * F.log(cold / (n_cold * seen))).otherwise(0.0))
     best = counts.where((F.col("hot") >= MIN_HOT) & (hot / n_hot > LIFT * cold / n_cold)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-    number = {f: i for i, f in enumerate(sorted(r.feature for r in best.select("feature").toLocalIterator()))}
+    number = {f: i for i, f in enumerate(sorted(r.feature for r in best.select("feature").collect()))}
     markers = np.array([not f.endswith("*") for f in sorted(number)], bool)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
