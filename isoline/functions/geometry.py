@@ -19,6 +19,19 @@ def length(points: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
 
+def edges(points: Column) -> Column:
+    """The straight edges of a polyline: array<struct(x1, y1, x2, y2)>."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    both = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    return F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), both)
+
+
+def chord(points: Column) -> Column:
+    """Distance between the ends of a polyline."""
+    a, b = points[0], F.element_at(points, -1)
+    return F.sqrt(F.pow(b[0] - a[0], 2.0) + F.pow(b[1] - a[1], 2.0))
+
+
 def bbox(points: Column) -> Column:
     """struct(x1, y1, x2, y2) of a polyline."""
     x, y = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])

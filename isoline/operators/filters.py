@@ -58,13 +58,6 @@ def margin_runs(runs: DataFrame, w: float, h: float, ratio: float = 0.02) -> Dat
     return rows.where(~inside).drop("_b")
 
 
-def tortuous(points: Column, most: float = 2.5) -> Column:
-    """A closed or winding polyline: far longer than the way between its ends."""
-    first, last = points[0], F.element_at(points, -1)
-    straight = F.sqrt(F.pow(last[0] - first[0], 2.0) + F.pow(last[1] - first[1], 2.0))
-    return g.length(points) > most * straight
-
-
 def furniture_free(runs: DataFrame, w: float, h: float) -> DataFrame:
     """Straight pipes that are no frame or title block by their place."""
     size = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))

@@ -110,8 +110,18 @@ SELECT page_id AS sheet_id, page_id * 10 + k AS opc_id, CASE WHEN (page_id + k)
 FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2)
 """
 
-DERIVED = {"d_runs": RUNS, "d_tags": TAGS, "d_raw_tags": RAW_TAGS, "d_cells": CELLS, "d_line_list": LINE_LIST, "d_points": POINTS, "d_boxes": BOXES, "d_progress": PROGRESS, "d_sheets": SHEETS, "d_opcs": OPCS}
-_FROM = {"d_runs": "orders", "d_tags": "orders", "d_raw_tags": "lineitem", "d_cells": "events", "d_line_list": "orders", "d_points": "orders", "d_boxes": "orders", "d_progress": "events", "d_sheets": "pages", "d_opcs": "pages"}
+#: Corners of polylines, k from 0: straight, bent, slanting, zigzag, nearly closed, curved and long slanting ones.
+VERTICES = """
+SELECT sheet_id, run_id, k, x1 + CASE shape WHEN 0 THEN 60 * k WHEN 1 THEN 80 * least(k, 1) WHEN 2 THEN n + 3 * k * n WHEN 3 THEN 30 * k WHEN 4 THEN CASE k WHEN 1 THEN 70 WHEN 2 THEN 70 WHEN 4 THEN 5 ELSE 0 END WHEN 5 THEN 20 * k ELSE 120 * k END AS x,
+  y1 + CASE shape WHEN 0 THEN 0 WHEN 1 THEN 40 * greatest(k - 1, 0) WHEN 2 THEN 3 * k * n - n WHEN 3 THEN 45 * (k % 2) WHEN 4 THEN CASE k WHEN 2 THEN 70 WHEN 3 THEN 70 WHEN 4 THEN 10 ELSE 0 END WHEN 5 THEN 2 * k * k ELSE 90 * k END AS y
+FROM (SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS run_id, o_orderkey % 7 AS shape, 1 + o_custkey % 17 AS n,
+    cast((o_orderkey * 7919 + o_custkey * 31) % 1600 as bigint) AS x1, cast((o_orderkey * 104729 + o_custkey * 17) % 1300 as bigint) AS y1 FROM orders) r
+  CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) v
+WHERE k < CASE shape WHEN 0 THEN 2 + run_id % 3 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 8 WHEN 4 THEN 5 WHEN 5 THEN 9 ELSE 3 END
+"""
+
+DERIVED = {"d_vertices": VERTICES, "d_runs": RUNS, "d_tags": TAGS, "d_raw_tags": RAW_TAGS, "d_cells": CELLS, "d_line_list": LINE_LIST, "d_points": POINTS, "d_boxes": BOXES, "d_progress": PROGRESS, "d_sheets": SHEETS, "d_opcs": OPCS}
+_FROM = {"d_vertices": "orders", "d_runs": "orders", "d_tags": "orders", "d_raw_tags": "lineitem", "d_cells": "events", "d_line_list": "orders", "d_points": "orders", "d_boxes": "orders", "d_progress": "events", "d_sheets": "pages", "d_opcs": "pages"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
