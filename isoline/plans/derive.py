@@ -120,8 +120,19 @@ FROM (SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS
 WHERE k < CASE shape WHEN 0 THEN 2 + run_id % 3 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 8 WHEN 4 THEN 5 WHEN 5 THEN 9 ELSE 3 END
 """
 
-DERIVED = {"d_vertices": VERTICES, "d_runs": RUNS, "d_tags": TAGS, "d_raw_tags": RAW_TAGS, "d_cells": CELLS, "d_line_list": LINE_LIST, "d_points": POINTS, "d_boxes": BOXES, "d_progress": PROGRESS, "d_sheets": SHEETS, "d_opcs": OPCS}
-_FROM = {"d_vertices": "orders", "d_runs": "orders", "d_tags": "orders", "d_raw_tags": "lineitem", "d_cells": "events", "d_line_list": "orders", "d_points": "orders", "d_boxes": "orders", "d_progress": "events", "d_sheets": "pages", "d_opcs": "pages"}
+#: Strokes of drawings: of eight in a row two level pieces, an upright one, a bar, an open valve's two arms, a table's
+#: row and an arm of a cross.
+SEGMENTS = """
+SELECT sheet_id, seg_id, CASE kind WHEN 0 THEN bx WHEN 1 THEN bx + 130 WHEN 2 THEN bx + 200 WHEN 3 THEN bx + 60 WHEN 4 THEN bx + 300 WHEN 5 THEN bx + 300 WHEN 6 THEN gx ELSE gx + 400 END AS x1,
+  CASE kind WHEN 2 THEN cy - 80 WHEN 3 THEN cy - 6 WHEN 4 THEN cy + 10 WHEN 5 THEN cy + 10 WHEN 6 THEN gy + 8 * r WHEN 7 THEN gy ELSE cy END AS y1,
+  CASE kind WHEN 0 THEN bx + 120 WHEN 1 THEN bx + 260 WHEN 2 THEN bx + 200 WHEN 3 THEN bx + 60 WHEN 4 THEN bx + 294 WHEN 5 THEN bx + 306 WHEN 6 THEN gx + 150 + r ELSE gx + 400 + CASE WHEN r % 2 = 0 THEN 8 ELSE -8 END END AS x2,
+  CASE kind WHEN 2 THEN cy + 80 WHEN 3 THEN cy + 6 + b % 2 WHEN 4 THEN cy + 2 WHEN 5 THEN cy + 2 + b % 4 WHEN 6 THEN gy + 8 * r WHEN 7 THEN gy + CASE WHEN r < 2 THEN 7 ELSE -7 END ELSE cy END AS y2
+FROM (SELECT sheet_id, seg_id, kind, b, b % 4 AS r, (b * 797) % 1500 AS bx, (b * 1049) % 1000 + 100 AS cy, (g * 563) % 1200 AS gx, (g * 337) % 900 + 50 AS gy FROM (
+  SELECT cast(floor(o_orderkey / 100) as bigint) AS sheet_id, o_orderkey AS seg_id, o_orderkey % 8 AS kind, cast(floor(o_orderkey / 8) as bigint) AS b, cast(floor(o_orderkey / 32) as bigint) AS g FROM orders) i) j
+"""
+
+DERIVED = {"d_segs": SEGMENTS, "d_vertices": VERTICES, "d_runs": RUNS, "d_tags": TAGS, "d_raw_tags": RAW_TAGS, "d_cells": CELLS, "d_line_list": LINE_LIST, "d_points": POINTS, "d_boxes": BOXES, "d_progress": PROGRESS, "d_sheets": SHEETS, "d_opcs": OPCS}
+_FROM = {"d_segs": "orders", "d_vertices": "orders", "d_runs": "orders", "d_tags": "orders", "d_raw_tags": "lineitem", "d_cells": "events", "d_line_list": "orders", "d_points": "orders", "d_boxes": "orders", "d_progress": "events", "d_sheets": "pages", "d_opcs": "pages"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
