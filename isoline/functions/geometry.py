@@ -96,9 +96,10 @@ def iou(a: str, b: str) -> Column:
 
 
 def rotate(x: Column, y: Column, rot: Column, w: Column, h: Column) -> Column:
-    """struct(x, y) of a point after a sheet of size w by h is turned by 0, 90, 180 or 270 degrees."""
-    turned = F.when(rot == 90, F.struct((h - y).alias("x"), x.alias("y"))).when(rot == 180, F.struct((w - x).alias("x"), (h - y).alias("y"))).when(rot == 270, F.struct(y.alias("x"), (w - x).alias("y")))
-    return turned.otherwise(F.struct(x.alias("x"), y.alias("y")))
+    """struct(x, y) of a pixel after a sheet of w by h pixels is turned clockwise by 0, 90, 180 or 270 degrees."""
+    r = F.pmod(rot, F.lit(360))
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    return F.when(r == 90, point(h - 1 - y, x)).when(r == 180, point(w - 1 - x, h - 1 - y)).when(r == 270, point(y, w - 1 - x)).otherwise(point(x, y))
 
 
 def bezier(p0: Column, p1: Column, p2: Column, p3: Column, steps: int = 8) -> Column:

@@ -43,6 +43,17 @@ RULES = (
     Rule("source_file", (r"source\s*file|dwg\s*no|drawing|p&id",)),
 )
 FIELDS = tuple(r.field for r in RULES)
+#: Other names of fields that a user's mapping may give.
+ALIASES = {
+    "piping_id": "line_number", "pid": "line_number", "tag": "line_number", "line_no": "line_number",
+    "operating_pressure": "operating_pressure_barg", "op_pressure": "operating_pressure_barg", "op_press": "operating_pressure_barg",
+    "operating_temperature": "operating_temperature_c", "op_temperature": "operating_temperature_c", "op_temp": "operating_temperature_c",
+    "design_pressure": "design_pressure_barg", "dsgn_pressure": "design_pressure_barg", "dsgn_press": "design_pressure_barg",
+    "design_temperature": "design_temperature_c", "dsgn_temperature": "design_temperature_c", "dsgn_temp": "design_temperature_c",
+    "phase": "fluid_phase", "insul": "insulation", "note": "notes", "remarks": "notes", "remark": "notes", "keterangan": "notes", "matl": "material",
+    "corrosion_allowance": "corrosion_allowance_mm", "ca": "corrosion_allowance_mm", "corrosion_rate": "corrosion_rate_mmpy", "cr": "corrosion_rate_mmpy",
+    "corr_loop": "corrosion_loop", "circuit": "corrosion_loop", "service": "service_condition", "dwg_no": "source_file",
+}
 
 
 def clean_header(header: str | None) -> str:
@@ -50,14 +61,20 @@ def clean_header(header: str | None) -> str:
     return re.sub(r"\s+", " ", (header or "").strip().lower())
 
 
+def field_of(name: str) -> str | None:
+    """The field that a name or another name of it stands for."""
+    name = clean_header(name).replace(" ", "_")
+    return name if name in FIELDS else ALIASES.get(name)
+
+
 def match_columns(headers: list[str], mapping: dict[str, str] | None = None) -> dict[str, str]:
     """Field to header. A mapping given by the user comes first, in either direction; then each header, from the left,
     takes the first field that it fits and that no header has taken."""
     found: dict[str, str] = {}
     clean = [clean_header(h) for h in headers]
     for a, b in (mapping or {}).items():
-        one, two = clean_header(a).replace(" ", "_"), clean_header(b).replace(" ", "_")
-        field, source = (one, b) if one in FIELDS else (two, a) if two in FIELDS else (None, "")
+        one, two = (field_of(x) for x in (a, b))
+        field, source = (one, b) if one else (two, a) if two else (None, "")
         want = clean_header(source)
         hit = next((h for h, c in zip(headers, clean, strict=True) if field and want and want in c), None)
         if hit is not None:
@@ -69,24 +86,35 @@ def match_columns(headers: list[str], mapping: dict[str, str] | None = None) ->
     return found
 
 
-def parse_rows(rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+def parse_rows(rows: DataFrame, mapping: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed entries of raw rows whose columns are all strings; every original cell stays in raw_attributes.
 
     Rows without a tag are dropped. Fails if no column is a tag column. The headers are metadata, so matching them
-    needs no pass over the rows.
+    needs no pass over the rows. keep: columns that are no cells, such as source and row_no, and stay as they are.
     """
-    heads = rows.columns
+    heads = [c for c in rows.columns if c not in keep]
     at = match_columns(heads, mapping)
     if "line_number" not in at:
         raise ValueError("a line list needs a column of line numbers")
     cell = {f: F.col(f"`{at[f]}`").cast("string") if f in at else F.lit(None).cast("string") for f in FIELDS}
-    tag = F.trim(cell["line_number"])
     raw = F.map_from_arrays(F.array(*(F.lit(h) for h in heads)), F.array(*(F.col(f"`{h}`").cast("string") for h in heads)))
+    return _entries(rows, cell, raw, keep)
+
+
+def parse_cells(rows: DataFrame, keep: tuple[str, ...] = ("source", "row_no")) -> DataFrame:
+    """Typed entries of rows with `fields` (map from field to cell) and `cells` (map from header to cell): the form in
+    which files whose headers differ are read together."""
+    cell = {f: F.try_element_at("fields", F.lit(f)) for f in FIELDS}
+    return _entries(rows, cell, F.col("cells"), keep)
+
+
+def _entries(rows: DataFrame, cell: dict[str, Column], raw: Column, keep: tuple[str, ...]) -> DataFrame:
+    tag = F.trim(cell["line_number"])
     typed: list[Column] = [tag.alias("line_number")]
     typed += [measures.number(cell[f]).alias(f) for f in NUMBERS]
     as_text = {"fluid_phase": measures.phase, "insulation": lambda c: F.upper(measures.text(c)), "material": lambda c: F.upper(measures.text(c))}
     typed += [as_text.get(f, measures.text)(cell[f]).alias(f) for f in TEXTS]
-    return rows.select(*typed, raw.alias("raw_attributes")).where((F.col("line_number") != "") & ~F.lower("line_number").isin("none", "nan", "null"))
+    return rows.select(*keep, *typed, raw.alias("raw_attributes")).where((F.col("line_number") != "") & ~F.lower("line_number").isin("none", "nan", "null"))
 
 
 def merge_entries(entries: DataFrame, order: str = "row_no", numbers: tuple[str, ...] = NUMBERS, texts: tuple[str, ...] = TEXTS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -12,17 +13,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoline.operators.linelist import match_columns, parse_rows
+from isoline.functions.tags import key_c
+from isoline.operators.linelist import match_columns, parse_cells
 from isoline.session import prepare
 
 
+CELLS = "source string, row_no int, fields map<string,string>, cells map<string,string>"
+
+
+def _cells(source: str, rows: list[list[str | None]], mapping: dict[str, str] | None) -> pd.DataFrame | None:
+    """Rows below a header as cells by header and by field; None without a column of line numbers."""
+    heads = [h or "" for h in rows[0]] if rows else []
+    at = match_columns(heads, mapping)
+    if "line_number" not in at:
+        return None
+    out = []
+    for k, r in enumerate(rows[1:], 1):
+        cells = {h: v for h, v in zip(heads, r, strict=False) if h and v is not None}
+        out.append((source, k, {f: cells[h] for f, h in at.items() if h in cells}, cells))
+    return pd.DataFrame(out, columns=["source", "row_no", "fields", "cells"])
+
+
 def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, encoding: str | None = None) -> DataFrame:
-    """Entries of CSV line lists. Without a set encoding, files that are not valid UTF-8 are read as Latin-1."""
-    if encoding is None:
-        bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-        encoding = "UTF-8" if bad.isEmpty() else "ISO-8859-1"
-    rows = spark.read.csv(path, header=True, encoding=encoding, quote='"', escape='"', multiLine=True)
-    return parse_rows(rows, mapping)
+    """Entries of CSV line lists with source and row_no; every file has its own header and its own encoding.
+
+    Without a set encoding a file that is not valid UTF-8 is read as Latin-1. Files are read in parallel, each as a
+    whole: a line list is a document, not a table. Fails if a file has no column of line numbers.
+    """
+    prepare(spark)
+
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path_, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    text = content.decode(encoding or "utf-8-sig")
+                except UnicodeDecodeError:
+                    text = content.decode("latin-1")
+                rows = [[c or None for c in r] for r in csv.reader(io.StringIO(text, newline=""))]
+                found = _cells(path_, rows, mapping)
+                if found is None:
+                    raise ValueError(f"{path_} has no column of line numbers")
+                yield found
+
+    return parse_cells(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(explode, CELLS))
 
 
 def _sheet_rows(book: zipfile.ZipFile, name: str, shared: list[str]) -> list[list[str | None]]:
@@ -47,10 +80,11 @@ def _sheet_rows(book: zipfile.ZipFile, name: str, shared: list[str]) -> list[lis
 
 
 def read_workbooks(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Entries of all worksheets of xlsx files, read in parallel by file. Worksheets without a tag column are skipped;
-    fails if no worksheet has one."""
+    """Entries of all worksheets of xlsx files with source (file and worksheet) and row_no, read in parallel by file.
+
+    Worksheets without a tag column are skipped; fails if no worksheet has one. Every cell stays in raw_attributes.
+    """
     prepare(spark)
-    schema = "source string, row_no int, cells map<string,string>"
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -61,36 +95,96 @@ def read_workbooks(spark: SparkSession, path: str, mapping: dict[str, str] | Non
                 if "xl/sharedStrings.xml" in book.namelist():
                     shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
                 for name in sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-                    rows = _sheet_rows(book, name, shared)
-                    heads = [h or "" for h in rows[0]] if rows else []
-                    at = match_columns(heads, mapping)
-                    if "line_number" in at:
-                        back = {h: f for f, h in at.items()}
-                        data = [(f"{path_}#{name}", k, {back.get(h, h): v for h, v in zip(heads, r, strict=False) if h and v is not None}) for k, r in enumerate(rows[1:])]
-                        yield pd.DataFrame(data, columns=["source", "row_no", "cells"])
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(explode, schema)
-    from isoline.operators.linelist import FIELDS
-
-    rows = found.select(*(F.col("cells").getItem(f).alias(f) for f in FIELDS), "row_no")
+                    rows = _cells(f"{path_}#{name}", _sheet_rows(book, name, shared), mapping)
+                    if rows is not None:
+                        yield rows
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(explode, CELLS)
     if found.isEmpty():
         raise ValueError("no worksheet has a column of line numbers")
-    return parse_rows(rows, {f: f for f in FIELDS})
+    return parse_cells(found)
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, pid_key, group_key) of reference workbooks (columns Source File, Piping ID, Color Group).
+
+    Lock files (~$ names) and files that cannot be read are skipped; rows without source, id or colour are dropped. Of
+    several rows with one source and id the last counts.
+    """
+    prepare(spark)
+    schema = "source string, row_no int, source_file string, pid string, group_key string"
+
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        for frame in frames:
+            for path_, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    book = zipfile.ZipFile(io.BytesIO(content))
+                    names = book.namelist()
+                    shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")] if "xl/sharedStrings.xml" in names else []
+                    rows = _sheet_rows(book, min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), shared)
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError):
+                    continue
+                heads = [(h or "").strip().lower() for h in rows[0]] if rows else []
+                if {"source file", "piping id", "color group"} <= set(heads):
+                    at = [heads.index(h) for h in ("source file", "piping id", "color group")]
+                    data = [(path_, k, *((r[i] if i < len(r) else None) for i in at)) for k, r in enumerate(rows[1:])]
+                    yield pd.DataFrame(data, columns=["source", "row_no", "source_file", "pid", "group_key"])
+
+    files = spark.read.format("binaryFile").load(path).where(~F.regexp_extract("path", "([^/]*)$", 1).startswith("~$"))
+    rows = files.select("path", "content").mapInPandas(explode, schema)
+    rows = rows.select("source", "row_no", F.trim("source_file").alias("source_file"), key_c(F.col("pid")).alias("pid_key"), F.trim("group_key").alias("group_key"))
+    filled = rows.where("source_file <> '' and lower(source_file) <> 'nan' and pid_key <> '' and group_key <> '' and lower(group_key) <> 'nan'")
+    return filled.groupBy("source_file", "pid_key").agg(F.max_by("group_key", F.struct("source", "row_no")).alias("group_key"))
+
+
+def read_material_spec(spark: SparkSession, path: str) -> DataFrame:
+    """(spec_class, spec_material, name, design_pressure_barg, design_temperature_c, corrosion_allowance_mm) of a class
+    specification: a JSON document whose `classes` map each class to its properties."""
+    kind = "material: string, name: string, design_pressure_barg: double, design_temperature_c: double, corrosion_allowance_mm: double"
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"classes map<string, struct<{kind}>>").alias("d"))
+    rows = docs.select(F.explode("d.classes").alias("c", "p"))
+    return rows.select(F.upper("c").alias("spec_class"), F.upper("p.material").alias("spec_material"), "p.name", "p.design_pressure_barg", "p.design_temperature_c", "p.corrosion_allowance_mm")
+
+
+def save_results(docs: DataFrame, path: str) -> None:
+    """Write result documents (sheet_id, runs, piping_ids, symbols) as JSON, one folder per sheet, replaced as a whole.
+
+    The output committer moves finished files only, so a reader never sees half a document.
+    """
+    body = F.to_json(F.struct(*(c for c in docs.columns if c != "sheet_id")))
+    out = docs.select("sheet_id", body.alias("value"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sheet_id").text(path)
+
+
+def valid_cache(caches: DataFrame, version: int, rotation: int, w: int, h: int) -> DataFrame:
+    """Caches of read texts that may be used again: made by this version at this rotation and size; a cache that does not
+    say its rotation was not turned, one without a size has the drawing's."""
+    turned = F.pmod(F.coalesce("rot", F.lit(0)), F.lit(360)) == rotation % 360
+    return caches.where((F.col("v") == version) & turned & (F.coalesce("w", F.lit(w)) == w) & (F.coalesce("h", F.lit(h)) == h))
+
+
+def page_sheets(files: DataFrame) -> DataFrame:
+    """One row per page of uploaded documents (path, n_pages): path of the page's file, and n/total as sheet number.
+
+    Anything but a document of several pages stays one sheet under its own path, without a number.
+    """
+    many = F.lower("path").endswith(".pdf") & (F.coalesce("n_pages", F.lit(1)) > 1)
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    pages = files.withColumn("page", F.explode(F.when(many, F.sequence(F.lit(1), F.col("n_pages"))).otherwise(F.array(F.lit(1)))))
+    page_path = F.when(many, F.concat(stem, F.lit("-p"), F.lpad(F.col("page").cast("string"), 3, "0"), F.lit(".pdf"))).otherwise(F.col("path"))
+    return pages.select("path", "page", page_path.alias("page_path"), F.when(many, F.concat_ws("/", "page", "n_pages")).otherwise("").alias("sheet_number"))
 
 
 def read_line_list(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
-    """By file ending: workbook or CSV; for any other ending the workbook reader is tried first."""
+    """By file ending: workbook or CSV; files of any other ending are workbooks if they are zip archives, else CSV."""
     end = path.rsplit(".", 1)[-1].lower()
     if end in ("csv", "txt"):
         return read_csv(spark, path, mapping)
     if end in ("xlsx", "xls"):
         return read_workbooks(spark, path, mapping)
-    try:
-        return read_workbooks(spark, path, mapping)
-    except Exception as e:  # noqa: BLE001 - any failure means it is no workbook
-        if "line numbers" in str(e):
-            raise
-        return read_csv(spark, path, mapping)
+    magic = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("m")).where(F.col("m") == F.lit(b"PK\x03\x04"))
+    return read_csv(spark, path, mapping) if magic.isEmpty() else read_workbooks(spark, path, mapping)
 
 
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:

@@ -49,6 +49,16 @@ def test_line_list_csv_and_mapping(spark, tmp_path):
     assert (entry.line_number, entry.fluid_phase) == ("A-1 é", "G")
     with pytest.raises(ValueError):
         linelist.parse_rows(spark.createDataFrame([("x",)], "remarks string"))
+    # a folder: every file has its own header and encoding, rows keep their number, unmapped cells stay
+    (tmp_path / "lists").mkdir()
+    (tmp_path / "lists" / "a.csv").write_text('Tag,Op Temp (C),Colour\nL-1,10,"red, dark"\nL-2,,\nL-1,12,blue\n', encoding="utf-8")
+    (tmp_path / "lists" / "b.csv").write_bytes("Colour,Line Number,Phase\nvert é,L-9,Gas\n".encode("latin-1"))
+    got = linelists.read_csv(spark, str(tmp_path / "lists"))
+    rows = sorted((r.source.rsplit("/", 1)[1], r.row_no, r.line_number, r.operating_temperature_c, r.fluid_phase, r.raw_attributes.get("Colour")) for r in got.collect())
+    assert rows == [("a.csv", 1, "L-1", 10.0, "", "red, dark"), ("a.csv", 2, "L-2", None, "", None), ("a.csv", 3, "L-1", 12.0, "", "blue"), ("b.csv", 1, "L-9", None, "G", "vert é")]
+    merged = linelist.merge_entries(got, "row_no").collect()
+    assert {(r.line_number, r.operating_temperature_c, r.n_rows) for r in merged} == {("L-1", 10.0, 2), ("L-2", None, 1), ("L-9", None, 1)}
+    assert linelist.match_columns(["X", "Y"], {"X": "piping id", "op_temp": "y"}) == {"line_number": "X", "operating_temperature_c": "Y"}
 
 
 def test_workbook(spark, tmp_path):
@@ -61,8 +71,43 @@ def test_workbook(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
         z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData><row>{cell('A1', 'only notes')}</row></sheetData></worksheet>")
-    got = {(r.line_number, r.fluid_phase) for r in linelists.read_line_list(spark, str(tmp_path / "x.xlsx")).collect()}
-    assert got == {("L-1", "G"), ("L-2", "L")}
+    got = {(r.line_number, r.fluid_phase, r.row_no) for r in linelists.read_line_list(spark, str(tmp_path / "x.xlsx")).collect()}
+    assert got == {("L-1", "G", 1), ("L-2", "L", 2)}
+    (tmp_path / "x.xlsx").rename(tmp_path / "x.data")
+    assert linelists.read_line_list(spark, str(tmp_path / "x.data")).count() == 2
+
+
+def test_other_sources(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    (tmp_path / "truth").mkdir()
+    table = [["Source File", "Piping ID", "Color Group", "Other"], ["D-1", '605-6"-gf', "red", "x"], ["D-1", "605-6-GF", "blue", ""], ["D-2", "A--1", "nan", ""], ["nan", "B", "red", ""]]
+    body = "".join("<row>" + "".join(f'<c r="{"ABCD"[j]}{i + 1}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(table))
+    with zipfile.ZipFile(tmp_path / "truth" / "a_loop_dataset.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    (tmp_path / "truth" / "broken.xlsx").write_bytes(b"no zip")
+    (tmp_path / "truth" / "~$a_loop_dataset.xlsx").write_bytes(b"lock")
+    assert [tuple(r) for r in linelists.read_ground_truth(spark, str(tmp_path / "truth")).collect()] == [("D-1", "605-6-GF", "blue")]
+    (tmp_path / "spec.json").write_text('{"classes": {"cda": {"material": "ss", "name": "x", "design_pressure_barg": 19.6}}}')
+    assert [tuple(r)[:4] for r in linelists.read_material_spec(spark, str(tmp_path / "spec.json")).collect()] == [("CDA", "SS", "x", 19.6)]
+    (tmp_path / "map.csv").write_text("\ufeffpiping_class,material\nasa , cs\n,x\nB1,\n", encoding="utf-8")
+    assert [tuple(r) for r in linelists.read_class_map(spark, str(tmp_path / "map.csv")).collect()] == [("ASA", "CS")]
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "p1.txt").write_text("0 0.5 0.5 0.1 0.2\nnot a label\n2 0.1 0.2 0.3\n")
+    assert [(r.stem, r.cls, r.h) for r in linelists.read_yolo_labels(spark, str(tmp_path / "labels")).collect()] == [("p1", 0, 0.2)]
+    (tmp_path / "log.csv").write_text("epoch,  map50\n2, 0.5\n10, 0.7\n9, 0.6\n")
+    assert [r.map50 for r in linelists.read_training_log(spark, str(tmp_path / "log.csv")).collect()] == ["0.7"]
+    docs = spark.createDataFrame([("s1", [{"pid": "A-1", "run_idx": 3}]), ("s2", [])], "sheet_id string, piping_ids array<struct<pid:string,run_idx:int>>")
+    for _ in range(2):
+        linelists.save_results(docs, str(tmp_path / "results"))
+    linelists.save_results(docs.where("sheet_id = 's2'"), str(tmp_path / "results"))
+    found = linelists.read_results(spark, str(tmp_path / "results" / "*"))["piping_ids"].collect()
+    assert [(r.idx, r.pid, r.run_idx) for r in found] == [(0, "A-1", 3)]
+    caches = spark.createDataFrame([(1, 3, 0, 10, 20), (2, 3, 360, None, 20), (3, 2, 0, 10, 20), (4, 3, 90, 10, 20), (5, 3, None, 10, 21)], "id int, v int, rot int, w int, h int")
+    assert sorted(r.id for r in linelists.valid_cache(caches, 3, 0, 10, 20).collect()) == [1, 2]
+    files = spark.createDataFrame([("p/a.PDF", 2), ("p/b.pdf", 1), ("p/c.png", 5)], "path string, n_pages int")
+    assert [(r.page_path, r.sheet_number) for r in linelists.page_sheets(files).orderBy("path", "page").collect()] == [("p/a-p001.pdf", "1/2"), ("p/a-p002.pdf", "2/2"), ("p/b.pdf", ""), ("p/c.png", "")]
 
 
 def test_material_and_phase_split(spark):
@@ -182,7 +227,7 @@ def test_filters_keep_edits(spark):
 
 def test_geometry(spark):
     row = spark.range(1).select(geometry.length(F.expr("array(array(0, 0), array(3, 4), array(3, 10))")).alias("n"), geometry.length(F.expr("array(array(1, 1))")).alias("one"), geometry.point_segment(F.lit(5), F.lit(5), F.lit(0), F.lit(0), F.lit(10), F.lit(0)).alias("d"), geometry.point_segment(F.lit(3), F.lit(4), F.lit(0), F.lit(0), F.lit(0), F.lit(0)).alias("p"), geometry.tile_offsets(F.lit(100), 40, 10).alias("t"), geometry.rotate(F.lit(1), F.lit(2), F.lit(90), F.lit(10), F.lit(20)).alias("r")).first()
-    assert (row.n, row.one, row.d, row.p, row.t, tuple(row.r)) == (11.0, 0.0, 5.0, 5.0, [0, 30, 60], (18, 1))
+    assert (row.n, row.one, row.d, row.p, row.t, tuple(row.r)) == (11.0, 0.0, 5.0, 5.0, [0, 30, 60], (17, 1))
 
 
 def test_stream_of_job_states_equals_batch(spark, small, tmp_path):
