@@ -111,6 +111,48 @@ def parse(pid: Column, schemas: tuple[Schema, ...] = SCHEMAS) -> Column:
     return _cascade(pid, tries, F.struct(*(F.lit("").alias(f) for f in FIELDS)))
 
 
+#: The two formats of tags as they are typed on screen, which must fit the whole text.
+TYPED = (
+    (r"^(\d{2,4})-?(\d{1,2}(?:[-/]\d/\d|/\d)?[\"']?)-([A-Za-z]{1,4})-([A-Za-z0-9]{2,4})-(\d{1,4}[A-Za-z]{0,3})(?:-(.+))?$", {"unit": 1, "size": 2, "fluid": 3, "pclass": 4, "seq": 5}),
+    (r"^(\d{1,4})-([A-Za-z]{1,3}\d?)-(\d{3,5})-([A-Za-z][A-Za-z0-9]{2,4})-(\d{1,2}(?:[-/]\d/\d)?[\"']?)(?:-(.+))?$", {"unit": 1, "fluid": 2, "seq": 3, "pclass": 4, "size": 5}),
+)
+#: What a part between dashes is, for texts of neither format; the first free field that fits takes it.
+SIZE_PART, FLUID_PART, CLASS_PART, SEQ_PART, UNIT_PART = r"^\d+(/\d+)?$", r"^[A-Za-z]{1,4}$", r"^[A-Za-z][A-Za-z0-9]{2,4}$", r"^\d{3,5}[A-Za-z]?$", r"^\d{2,4}$"
+
+
+def parse_typed(raw: Column) -> Column:
+    """struct of unit, size, fluid, pclass, seq of a tag as it is typed: the lenient reading of forms and tables.
+
+    Texts of neither format are taken apart at dashes, from the left: a part with an inch mark, or a number beyond the
+    first part while the size is free, is the size; then fluid, class, sequence and (first part only) unit, while free.
+    """
+    norm = F.regexp_replace(F.translate(F.trim(F.coalesce(raw, F.lit(""))), "”″’‘'`", '""""""'), r"\s+", "")
+    upper = lambda f, c: F.upper(c) if f in ("fluid", "pclass") else c
+
+    def guess(s: Column) -> Column:
+        empty = F.struct(*(F.lit("").alias(f) for f in FIELDS))
+        parts = F.filter(F.split(s, "-"), lambda p: p != "")
+        numbered = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+
+        def step(a: Column, x: Column) -> Column:
+            p, later = x.p, x.i > 0
+            size = p.contains('"') | (p.rlike(SIZE_PART) & (a.size == "") & later)
+            fluid = ~size & p.rlike(FLUID_PART) & (a.fluid == "")
+            pclass = ~size & ~fluid & p.rlike(CLASS_PART) & (a.pclass == "")
+            seq = ~size & ~fluid & ~pclass & p.rlike(SEQ_PART) & (a.seq == "")
+            unit = ~size & ~fluid & ~pclass & ~seq & p.rlike(UNIT_PART) & (a.unit == "") & ~later
+            hits = {"unit": unit, "size": size & (a.size == ""), "fluid": fluid, "pclass": pclass, "seq": seq}
+            return F.struct(*(F.when(hits[f], upper(f, p)).otherwise(a[f]).alias(f) for f in FIELDS))
+
+        return F.aggregate(numbered, empty, step)
+
+    def read(s: Column) -> Column:
+        tries = [(_found(s, pattern, 6), lambda p, g=groups: F.struct(*(upper(f, p[g[f]]).alias(f) for f in FIELDS))) for pattern, groups in TYPED]
+        return _cascade(s, tries, guess(s))
+
+    return let(norm, read)
+
+
 def parse_learned(tags: DataFrame, learned: DataFrame, pid: str = "pid") -> DataFrame:
     """Add the five fields: built-in schemas, else the learned positions of tags with as many parts.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoline.functions import tags
 from isoline.operators.spatial import in_cells
 
 #: Shares of overlap and length of label underlines and covered text.
@@ -97,3 +98,9 @@ def two_line_pairs(fragments: DataFrame, keys: tuple[str, ...] = ("sheet_id",),
     h = "greatest(a_y2 - a_y1, b_y2 - b_y1, 1)"
     near = a.join(b, [*keys, "cx", "cy"]).where(f"a_frag_id <> b_frag_id and b_y1 - a_y2 >= -0.6 * {h} and b_y1 - a_y2 <= 1.8 * {h} and least(a_x2, b_x2) - greatest(a_x1, b_x1) >= 0.4 * least(a_x2 - a_x1, b_x2 - b_x1)")
     return near.select(*keys, F.col("a_frag_id").alias("upper"), F.col("b_frag_id").alias("lower"), F.concat("a_text", F.lit("-"), "b_text").alias("text")).distinct()
+
+
+def tags_of_pairs(pairs: DataFrame, schemas: tuple[tags.Schema, ...] = tags.SCHEMAS) -> DataFrame:
+    """Pairs of fragments whose joined text a schema fits, with the tag and its weight; other pairs are two texts."""
+    found = pairs.withColumn("_m", tags.match(tags.normalise(F.col("text")), schemas)).where("_m.weight > 1")
+    return found.select(*pairs.columns, F.col("_m.pid").alias("pid"), F.col("_m.weight").alias("weight"))

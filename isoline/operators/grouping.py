@@ -37,6 +37,13 @@ def direct_labels(tags: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> Dat
     return named.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
+def propagated_labels(tags: DataFrame, spread: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """One label per pipe that a tag reaches along the pipes: the tag's columns with the pipe's run_id and whether it is
+    inferred. spread: keys, run_id, source (a pid_idx), inferred, as propagation gives."""
+    named = tags.drop("run_id").withColumnRenamed("pid_idx", "source")
+    return spread.select(*keys, "run_id", "source", "inferred").join(named, [*keys, "source"]).withColumnRenamed("source", "pid_idx")
+
+
 def _fluid() -> Column:
     return F.upper(F.trim(F.coalesce(F.col("fluid"), F.lit(""))))
 

@@ -78,10 +78,25 @@ def dominant_vote(votes: DataFrame, keys: tuple[str, ...], value: str, order: st
     return n.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("first"), value)).alias(value), F.max("n").alias("n_votes"))
 
 
-def match_stems(sources: DataFrame, stems: DataFrame) -> DataFrame:
+def match_stems(sources: DataFrame, stems: DataFrame, gram: int = 8) -> DataFrame:
     """The stem of each source that starts with or contains the source's key; the closest length, then the first.
 
-    stems (drawing names of a project) is a dimension; both columns are keys already.
+    Keys of `gram` characters and more meet stems on the key's first gram, which the stem must hold somewhere; shorter
+    keys on all of theirs. Candidates are then checked whole.
     """
-    near = sources.join(stems, F.col("stem").startswith(F.col("key")) | F.col("stem").contains(F.col("key")), "left")
-    return near.groupBy(*sources.columns).agg(F.min_by("stem", F.struct(F.abs(F.length("stem") - F.length("key")), "stem")).alias("stem"))
+    n = F.least(F.length("key"), F.lit(gram))
+    src = sources.where("key <> ''").withColumn("_n", n).withColumn("_g", F.substring("key", 1, gram))
+    sizes = src.select("_n").distinct()
+    parts = stems.select("stem").distinct().join(sizes, F.length("stem") >= F.col("_n")).withColumn("_g", F.explode(F.expr("array_distinct(transform(sequence(1, length(stem) - _n + 1), i -> substring(stem, i, _n)))")))
+    near = src.join(parts, ["_n", "_g"]).where(F.contains("stem", "key"))
+    best = near.groupBy("key").agg(F.min_by("stem", F.struct(F.abs(F.length("stem") - F.length("key")), "stem")).alias("stem"))
+    return sources.join(best, "key", "left").select(*sources.columns, "stem")
+
+
+def id_sets(found: DataFrame, expected: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """(keys, n_found, n_expected, n_correct, recall, precision) of sets of ids, in percent; a ratio of nothing is 0."""
+    f, e = found.select(*keys, value).distinct(), expected.select(*keys, value).distinct()
+    both = f.withColumn("_f", F.lit(1)).join(e.withColumn("_e", F.lit(1)), [*keys, value], "full")
+    n = both.groupBy(*keys).agg(F.count("_f").alias("n_found"), F.count("_e").alias("n_expected"), F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("n_correct"))
+    ratio = lambda of: F.when(F.col(of) > 0, 100.0 * F.col("n_correct") / F.nullif(of, F.lit(0))).otherwise(0.0)
+    return n.select(*keys, "n_found", "n_expected", "n_correct", ratio("n_expected").alias("recall"), ratio("n_found").alias("precision"))

@@ -55,3 +55,35 @@ def project_circuits(circuits: DataFrame) -> DataFrame:
     rank = Window.partitionBy("fluid").orderBy(F.desc("n_pipes"), "material", "fluid_phase", "corrosion_loop")
     out = out.join(systems, "fluid").withColumn("code", F.format_string("%02d.%02d", "system_no", F.row_number().over(rank)))
     return out.select("code", *by, "n_sheets", "n_pipes", "n_tags", "corrosion_allowance_mm")
+
+
+def circuit_members(tags: DataFrame, by: tuple[str, ...] = ("fluid", "material", "fluid_phase", "corrosion_loop")) -> DataFrame:
+    """Members of project circuits: (by, member_pids sorted, n_members, and the operating summary over all of them).
+
+    tags: sheet_id, pid, the columns of `by`, operating_temperature, operating_pressure, corrosion_allowance. Averages
+    are over the tags of all sheets, rounded half to even.
+    """
+    return tags.groupBy(*by).agg(
+        F.array_sort(F.collect_set("pid")).alias("member_pids"), F.countDistinct("pid").alias("n_members"), F.array_sort(F.collect_set("sheet_id")).alias("sheet_ids"),
+        F.bround(F.avg("operating_temperature"), 1).alias("avg_temperature_c"), F.bround(F.avg("operating_pressure"), 1).alias("avg_pressure_barg"), F.min("corrosion_allowance").alias("corrosion_allowance_mm"),
+    )
+
+
+def nodes(sheets: DataFrame, circuits: DataFrame) -> DataFrame:
+    """(id, type, label): a node per sheet, named by its number or else its file, and one per project circuit.
+
+    The id of a circuit node holds all that tells circuits apart, so no two circuits share one.
+    """
+    label = F.coalesce(F.nullif(F.trim("sheet_number"), F.lit("")), F.col("filename"))
+    a = sheets.select(F.col("sheet_id").cast("string").alias("id"), F.lit("sheet").alias("type"), label.alias("label"))
+    name = F.concat(F.lit("circ-"), F.concat_ws("-", "code", "fluid", "material", "fluid_phase", "corrosion_loop"))
+    b = circuits.select(name.alias("id"), F.lit("circuit").alias("type"), F.concat(F.lit("Circuit "), "code", F.lit(" ("), "fluid", F.lit(" - "), "material", F.lit(")")).alias("label"))
+    return a.unionByName(b)
+
+
+def summary(sheets: DataFrame, links: DataFrame, circuits: DataFrame) -> DataFrame:
+    """One row: total_sheets, total_opc_edges, total_unified_circuits, multi_sheet_circuits."""
+    a = sheets.agg(F.count("*").alias("total_sheets"))
+    b = links.agg(F.count("*").alias("total_opc_edges"))
+    c = circuits.agg(F.count("*").alias("total_unified_circuits"), F.count_if(F.col("n_sheets") > 1).alias("multi_sheet_circuits"))
+    return a.join(b, F.lit(True)).join(c, F.lit(True))

@@ -57,24 +57,42 @@ def drop_glyph_noise(runs: DataFrame, most: float, tol: float, keys: tuple[str,
     return runs.where(long).unionByName(runs.where(~long).join(met, [*keys, "run_id"], "left_semi"))
 
 
+#: How much longer a pipe's way must be on one axis to count as heading along it; how far beside a wall
+#: (as a share of the reach) it may end; how far it may be bent across its way.
+HEADING, BESIDE, BEND = 1.2, 0.5, 8
+
+
 def snap_ends(runs: DataFrame, boxes: DataFrame, reach: float, keys: tuple[str, ...] = ("sheet_id",), cell: float = 128.0) -> DataFrame:
-    """Pipes whose ends near an equipment wall are put onto it: the nearest box within reach, then the smaller box_id.
+    """Pipes whose ends near an equipment wall are put onto it, on whole pixels.
 
-    An end inside a box stays where it is.
+    An end outside a box goes straight on to the wall that its pipe heads for, else to the nearest point of the box
+    unless that bends the pipe by more than BEND across its way; an end inside goes to the nearest side (left, right,
+    top, bottom). Of several boxes the nearest within reach counts, then the smaller box_id.
     """
-    ends = runs.select(*keys, "run_id", F.explode(F.array(F.struct(F.lit(1).alias("which"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(2).alias("which"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select(*keys, "run_id", "e.*")
+    struct = lambda k, x, y, px, py: F.struct(F.lit(k).alias("which"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col(x) - F.col(px)).alias("vx"), (F.col(y) - F.col(py)).alias("vy"))
+    ends = runs.select(*keys, "run_id", F.explode(F.array(struct(1, "x1", "y1", "x2", "y2"), struct(2, "x2", "y2", "x1", "y1"))).alias("e")).select(*keys, "run_id", "e.*")
     b = in_cells(boxes.select(*keys, "box_id", *_BOX), cell, reach).select(*keys, "cx", "cy", "box_id", *(F.col(c).alias(f"b_{c}") for c in _BOX))
     at = ends.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(b, [*keys, "cx", "cy"])
-    at = at.withColumn("wx", F.greatest("b_x1", F.least("b_x2", "x"))).withColumn("wy", F.greatest("b_y1", F.least("b_y2", "y")))
-    d = F.sqrt(F.pow(F.col("wx") - F.col("x"), 2.0) + F.pow(F.col("wy") - F.col("y"), 2.0))
-    best = at.withColumn("d", d).where(f"d > 0 and d <= {reach}").groupBy(*keys, "run_id", "which").agg(F.min(F.struct("d", "box_id", "wx", "wy")).alias("m"))
-    inside = at.where("wx = x and wy = y").select(*keys, "run_id", "which").distinct()
-    best = best.join(inside, [*keys, "run_id", "which"], "left_anti")
-    one = lambda k: best.where(f"which = {k}").select(*keys, "run_id", F.col("m.wx").alias(f"_x{k}"), F.col("m.wy").alias(f"_y{k}"))
-    out = runs.join(one(1), [*keys, "run_id"], "left").join(one(2), [*keys, "run_id"], "left")
-    for k in "12":
-        for c in "xy":
-            out = out.withColumn(f"{c}{k}", F.coalesce(f"_{c}{k}", f"{c}{k}"))
+    at = at.withColumns({"wx": F.expr("greatest(b_x1, least(x, b_x2))"), "wy": F.expr("greatest(b_y1, least(y, b_y2))"), "gap": F.expr("least(x - b_x1, b_x2 - x, y - b_y1, b_y2 - y)")})
+    level, upright = f"abs(vx) >= {HEADING} * abs(vy)", f"abs(vy) >= {HEADING} * abs(vx)"
+    on_x, on_y = f"y between b_y1 - {BESIDE * reach} and b_y2 + {BESIDE * reach}", f"x between b_x1 - {BESIDE * reach} and b_x2 + {BESIDE * reach}"
+    to = lambda d, x, y: f"named_struct('d', double({d}), 'x', double({x}), 'y', double({y}))"
+    best = f"""case
+      when x between b_x1 and b_x2 and y between b_y1 and b_y2 then case gap when x - b_x1 then {to("gap", "b_x1", "y")} when b_x2 - x then {to("gap", "b_x2", "y")} when y - b_y1 then {to("gap", "x", "b_y1")} else {to("gap", "x", "b_y2")} end
+      when {level} and {on_x} and vx > 0 and b_x1 - x between 0 and {reach} then {to("b_x1 - x", "b_x1", "wy")}
+      when {level} and {on_x} and vx < 0 and x - b_x2 between 0 and {reach} then {to("x - b_x2", "b_x2", "wy")}
+      when not ({level} and {on_x}) and {upright} and {on_y} and vy > 0 and b_y1 - y between 0 and {reach} then {to("b_y1 - y", "wx", "b_y1")}
+      when not ({level} and {on_x}) and {upright} and {on_y} and vy < 0 and y - b_y2 between 0 and {reach} then {to("y - b_y2", "wx", "b_y2")}
+      when ({level} and abs(y - wy) > {BEND}) or (not ({level}) and {upright} and abs(x - wx) > {BEND}) then null
+      else {to("sqrt(pow(x - wx, 2) + pow(y - wy, 2))", "wx", "wy")} end"""
+    at = at.withColumn("to", F.expr(best)).where(f"to.d <= {reach}")
+    near = at.groupBy(*keys, "run_id", "which").agg(F.min(F.struct(F.col("to.d").alias("d"), "box_id", F.col("to.x").alias("x"), F.col("to.y").alias("y"))).alias("m"))
+    out = runs
+    for k in (1, 2):
+        out = out.join(near.where(f"which = {k}").select(*keys, "run_id", F.bround("m.x").alias(f"_x{k}"), F.bround("m.y").alias(f"_y{k}")), [*keys, "run_id"], "left")
+    kinds = dict(runs.dtypes)
+    for c in ("x1", "y1", "x2", "y2"):
+        out = out.withColumn(c, F.coalesce(F.col(f"_{c}").cast(kinds[c]), F.col(c)))
     return out.drop("_x1", "_y1", "_x2", "_y2")
 
 
@@ -186,18 +204,19 @@ def stitch(new: DataFrame, existing: DataFrame, radius: float, keys: tuple[str,
     return out.select(*keys, "new_id", kind.alias("kind"), F.when(kind.isin("extend", "bridge"), F.coalesce("r1", "r2")).alias("run_a"), F.when(kind == "bridge", F.col("r2")).alias("run_b"))
 
 
-def junctions(ends: DataFrame, tol: float = 0.35, keys: tuple[str, ...] = ("sheet_id", "node_id")) -> DataFrame:
-    """(keys, degree, kind) of junctions from the unit vectors of the pipes that leave them (dx, dy).
+def junctions(ends: DataFrame, keys: tuple[str, ...] = ("sheet_id", "node_id")) -> DataFrame:
+    """(keys, degree, kind) of junctions from the unit vectors of the pipes that leave them (arm, dx, dy).
 
-    endpoint; straight or corner of two by whether they oppose; tee of three if some two oppose, else partial;
-    crossover of four if two pairs oppose, else complex.
+    endpoint; straight or corner of two; tee of three whose most opposed two oppose; of four the pairing that opposes
+    most decides: crossover if both its pairs oppose, partial if one does; else complex.
     """
-    a = ends.groupBy(*keys).agg(F.count("*").alias("degree"), F.array_sort(F.collect_list(F.struct("arm", "dx", "dy"))).alias("arms"))
-    pairs = F.flatten(F.transform("arms", lambda p: F.transform(F.filter("arms", lambda q: q.arm > p.arm), lambda q: p.dx * q.dx + p.dy * q.dy)))
-    opposed = F.size(F.filter(pairs, lambda d: d <= -tol))
-    straight = F.size(F.filter(pairs, lambda d: d <= -0.9))
-    kind = F.when(F.col("degree") == 1, "endpoint").when(F.col("degree") == 2, F.when(straight > 0, "straight").otherwise("corner")).when(F.col("degree") == 3, F.when(opposed > 0, "tee").otherwise("partial"))
-    return a.select(*keys, "degree", kind.when(F.col("degree") == 4, F.when(straight >= 2, "crossover").otherwise("complex")).otherwise("complex").alias("kind"))
+    a = ends.groupBy(*keys).agg(F.count("*").alias("degree"), F.array_sort(F.collect_list(F.struct("arm", "dx", "dy"))).alias("v"))
+    dot = lambda i, j: F.get("v", F.lit(i)).dx * F.get("v", F.lit(j)).dx + F.get("v", F.lit(i)).dy * F.get("v", F.lit(j)).dy
+    pairing = F.array_min(F.array(*(F.struct((dot(*p) + dot(*q)).alias("s"), F.lit(k).alias("k"), F.greatest(dot(*p), dot(*q)).alias("hi"), F.least(dot(*p), dot(*q)).alias("lo")) for k, (p, q) in enumerate((((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))))))
+    four = F.when(pairing.hi <= -0.3, "crossover").when(pairing.lo <= -0.35, "partial").otherwise("complex")
+    three = F.when(F.least(dot(0, 1), dot(0, 2), dot(1, 2)) <= -0.35, "tee").otherwise("complex")
+    kind = F.when(F.col("degree") == 1, "endpoint").when(F.col("degree") == 2, F.when(dot(0, 1) <= -0.7, "straight").otherwise("corner")).when(F.col("degree") == 3, three).when(F.col("degree") == 4, four)
+    return a.select(*keys, "degree", F.coalesce(kind, F.lit("complex")).alias("kind"))
 
 
 def renumber(runs: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:

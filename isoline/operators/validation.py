@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoline.operators.spatial import in_cells
+
 #: Order in which findings are listed.
 KINDS = ("fluid_suspect", "pid_none", "pid_in_equipment", "fluid_empty", "cp_unattached", "orphan_run")
 
@@ -57,61 +59,118 @@ def digitization(tags: DataFrame, symbols: DataFrame, orphans: DataFrame, keys:
     return out.select(*keys, "c.check", percent(F.col("c.n_ok"), F.col("c.n_all")).alias("value"), "c.n_ok", "c.n_all", (F.col("c.n_ok") == F.col("c.n_all")).alias("passed"))
 
 
-def grouping(tags: DataFrame, members: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
-    """Checks that every tag with a fluid is in one system of its fluid and in circuits of its material.
+def _report(rows: DataFrame, keys: tuple[str, ...], checks: list[tuple[str, Column, Column]]) -> DataFrame:
+    """One row per check: (keys, check, value, passed), with a null value where a check does not apply."""
+    each = F.array(*(F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), passed.alias("passed")) for name, value, passed in checks))
+    return rows.select(*keys, F.explode(each).alias("c")).select(*keys, "c.*").where("value is not null")
+
+
+def _none(c: str) -> Column:
+    """100 if a count of faults is 0, else 0."""
+    return F.when(F.col(c) == 0, 100.0).otherwise(0.0)
+
 
-    members: keys, pid_idx, system_fluid, circuit_material, effective_material; one row per tag and circuit. The check
-    holds the circuit against the tag's effective material.
+def grouping(tags: DataFrame, members: DataFrame, systems: DataFrame, breaks: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """Six checks per sheet: (keys, check, value, passed).
+
+    one_fluid: members of a system have its fluid. partition: every tag with a fluid is in exactly one system.
+    one_material: a circuit's material is its tags' effective one. coverage: tags have a fluid. colors: systems have
+    different colours. specbreak, only where breaks lie on labelled pipes: the pipe's class is one of the two codes.
+
+    members: keys, pid_idx, system_fluid, circuit_material, effective_material, one row per tag and circuit; systems:
+    keys, fluid, color; breaks: keys, cp_id, run_id, code_a, code_b; labels: keys, run_id, pclass.
     """
-    n = F.count("*")
-    per_tag = members.groupBy(*keys, "pid_idx").agg(F.countDistinct("system_fluid").alias("systems"))
-    t = tags.groupBy(*keys).agg(n.alias("n_tags"), F.count_if(_filled("fluid")).alias("fluided"))
-    dup = per_tag.groupBy(*keys).agg(F.count_if(F.col("systems") > 1).alias("dup"), n.alias("seen"))
+    by = list(keys)
+    t = tags.groupBy(*keys).agg(F.count("*").alias("n_tags"), F.count_if(_filled("fluid")).alias("fluided"))
     own = tags.select(*keys, "pid_idx", F.upper(F.trim(F.coalesce("fluid", F.lit("")))).alias("own"))
-    bad = members.join(own, [*keys, "pid_idx"]).groupBy(*keys).agg(F.count_if(F.col("own") != F.col("system_fluid")).alias("bad_fluid"), F.count_if(F.col("circuit_material") != F.col("effective_material")).alias("bad_material"))
-    t = t.join(dup, list(keys), "left").join(bad, list(keys), "left").fillna(0)
-    none = lambda c: F.when(F.col(c) == 0, 100.0).otherwise(0.0)
-    part = percent(F.col("fluided") - F.col("dup") - (F.col("fluided") - F.col("seen")), F.col("fluided"))
-    checks = {"one_fluid": none("bad_fluid"), "partition": part, "one_material": none("bad_material"), "coverage": percent(F.col("fluided"), F.col("n_tags"))}
-    out = t.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("check"), v.alias("value")) for k, v in checks.items()))).alias("c"))
-    return out.select(*keys, "c.check", "c.value", (F.col("c.value") == 100.0).alias("passed"))
+    held = members.join(own, [*keys, "pid_idx"])
+    bad = held.groupBy(*keys).agg(F.count_if(F.col("own") != F.col("system_fluid")).alias("bad_fluid"), F.count_if(~F.col("circuit_material").eqNullSafe(F.col("effective_material"))).alias("bad_material"))
+    per_tag = held.groupBy(*keys, "pid_idx").agg(F.countDistinct("system_fluid").alias("systems"), F.max("own").alias("own"))
+    seen = per_tag.groupBy(*keys).agg(F.count_if(F.col("systems") > 1).alias("dup"), F.count_if(F.col("own") != "").alias("seen"))
+    clash = systems.groupBy(*keys).agg((F.count("color") - F.countDistinct("color")).alias("clash"))
+    code = F.upper("pclass")
+    met = breaks.join(labels.where("pclass <> ''"), [*keys, "run_id"]).groupBy(*keys).agg(F.count("*").alias("met"), F.count_if((code == F.upper("code_a")) | (code == F.upper("code_b"))).alias("agreed"))
+    for part in (bad, seen, clash, met):
+        t = t.join(part, by, "left")
+    t = t.fillna(0).withColumn("missing", F.col("fluided") - F.col("seen"))
+    checks = [
+        ("one_fluid", _none("bad_fluid"), F.col("bad_fluid") == 0),
+        ("partition", percent(F.expr("fluided - dup - missing"), F.col("fluided")), F.expr("dup = 0 and missing = 0")),
+        ("one_material", _none("bad_material"), F.col("bad_material") == 0),
+        ("coverage", percent(F.col("fluided"), F.col("n_tags")), F.col("fluided") == F.col("n_tags")),
+        ("colors", _none("clash"), F.col("clash") == 0),
+        ("specbreak", F.when(F.col("met") > 0, percent(F.col("agreed"), F.col("met"))), F.col("agreed") == F.col("met")),
+    ]
+    return _report(t, keys, checks)
+
 
+def marking(runs: DataFrame, painted: DataFrame, systems: DataFrame, circuits: DataFrame, keys: tuple[str, ...] = ("sheet_id",), enough: float = 0.75) -> DataFrame:
+    """Five checks per sheet: (keys, check, value, passed).
 
-def marking(runs: DataFrame, painted: DataFrame, keys: tuple[str, ...] = ("sheet_id",), enough: float = 0.75) -> DataFrame:
-    """Share of pipe length that carries a mark, per sheet; painted pipes that do not exist are ghosts.
+    color_match: painted pipes have their system's colour. refs: painted pipes exist. circuit_colors: circuits of a
+    system have different colours. legend: circuit codes are unique. coverage: the share of pipe length (underlines do
+    not count) that is painted, passed from `enough` on; absent where there is no pipe.
 
-    runs: keys, run_id, length; painted: keys, run_id.
+    runs: keys, run_id, length, underline; painted: keys, run_id, fluid, color; systems: keys, fluid, color; circuits:
+    keys, code, fluid, color.
     """
-    both = runs.join(painted.select(*keys, "run_id", F.lit(True).alias("marked")).distinct(), [*keys, "run_id"], "left")
-    ghosts = painted.join(runs, [*keys, "run_id"], "left_anti").groupBy(*keys).agg(F.count("*").alias("n_ghosts"))
-    out = both.groupBy(*keys).agg(F.count("*").alias("n_pipes"), F.count("marked").alias("n_painted"), F.sum("length").alias("total"), F.coalesce(F.sum(F.when(F.col("marked"), F.col("length"))), F.lit(0)).alias("painted"))
-    out = out.join(ghosts, list(keys), "left").fillna(0, ["n_ghosts"])
-    return out.select(*keys, "n_pipes", "n_painted", percent(F.col("painted"), F.col("total")).alias("value"), "n_ghosts", (F.col("painted") >= enough * F.col("total")).alias("passed"))
+    by = list(keys)
+    own = systems.select(*keys, "fluid", F.col("color").alias("_own"))
+    p = painted.join(own, [*keys, "fluid"], "left").join(runs.select(*keys, "run_id", F.lit(True).alias("_real")), [*keys, "run_id"], "left")
+    t = p.groupBy(*keys).agg(F.countDistinct("run_id").alias("n"), F.count_if(~F.col("color").eqNullSafe(F.col("_own"))).alias("odd"), F.count_if(F.col("_real").isNull()).alias("ghosts"))
+    both = runs.where("not coalesce(underline, false)").join(painted.select(*keys, "run_id", F.lit(True).alias("marked")).distinct(), [*keys, "run_id"], "left")
+    way = both.groupBy(*keys).agg(F.sum("length").alias("total"), F.coalesce(F.sum(F.when(F.col("marked"), F.col("length"))), F.lit(0)).alias("painted"))
+    shades = circuits.groupBy(*keys, "fluid").agg((F.count("color") - F.countDistinct("color")).alias("n")).groupBy(*keys).agg(F.sum("n").alias("clash"))
+    codes = circuits.groupBy(*keys).agg((F.count("code") - F.countDistinct("code")).alias("dup"))
+    t = runs.select(*keys).distinct().join(t, by, "left").join(way, by, "left").join(shades, by, "left").join(codes, by, "left").fillna(0)
+    checks = [
+        ("color_match", percent(F.expr("n - odd"), F.col("n")), F.col("odd") == 0),
+        ("refs", _none("ghosts"), F.col("ghosts") == 0),
+        ("circuit_colors", _none("clash"), F.col("clash") == 0),
+        ("legend", _none("dup"), F.col("dup") == 0),
+        ("coverage", F.when(F.col("total") > 0, percent(F.col("painted"), F.col("total"))), F.col("painted") >= enough * F.col("total")),
+    ]
+    return _report(t, keys, checks)
 
 
 def combined(*reports: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
-    """(keys, n_checks, n_failed, score): the mean of all checks."""
+    """(keys, n_checks, n_failed, score, passed) over all checks of several reports; the score is their mean."""
     rows = None
     for r in reports:
         part = r.select(*keys, "value", "passed")
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"), F.avg("value").alias("score"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"), F.bround(F.avg("value"), 1).alias("score"))
+    return out.withColumn("passed", F.col("n_failed") == 0)
 
 
-def review(tags: DataFrame, equipment: DataFrame, orphans: DataFrame, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+def first_flags(findings: DataFrame, limit: int = 12, keys: tuple[str, ...] = ("sheet_id",)) -> DataFrame:
+    """The findings that a report lists: the first `limit` of each sheet in order of kind and subject; the limit is the
+    report's own."""
+    order = Window.partitionBy(*keys).orderBy("kind_no", "subject")
+    return findings.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def review(tags: DataFrame, equipment: DataFrame, orphans: DataFrame, breaks: DataFrame | None = None, keys: tuple[str, ...] = ("sheet_id",), cell: float = 128.0) -> DataFrame:
     """(keys, kind_no, kind, subject): findings in the order of KINDS; orphans: keys, run_id, length (longest first).
 
-    A tag without pipe whose place lies in equipment is told apart from one that does not; boxes of a sheet are few.
+    A tag without pipe whose place lies in equipment is told apart from one that does not. A spec break (breaks: keys,
+    cp_id, run_id) on no pipe is a finding.
     """
     rank = F.element_at(F.create_map(*(x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k)))), F.col("kind"))
     suspects = fluid_suspects(tags, keys).select(*keys, F.lit("fluid_suspect").alias("kind"), F.concat_ws(">", "fluid", "suggest").alias("subject"))
+    found = lambda rows, kind, subject: rows.select(*keys, F.lit(kind).alias("kind"), F.col(subject).cast("string").alias("subject"))
     free = tags.where("run_id is null")
-    inside = free.join(equipment, list(keys)).where("x between x1 and x2 and y between y1 and y2").select(*keys, "pid_idx").distinct()
-    in_eq = inside.select(*keys, F.lit("pid_in_equipment").alias("kind"), F.col("pid_idx").cast("string").alias("subject"))
-    none = free.join(inside, [*keys, "pid_idx"], "left_anti").select(*keys, F.lit("pid_none").alias("kind"), F.col("pid_idx").cast("string").alias("subject"))
-    empty = tags.where("run_id is not null").where(~_filled("fluid")).select(*keys, F.lit("fluid_empty").alias("kind"), F.col("pid_idx").cast("string").alias("subject"))
-    lost = orphans.select(*keys, F.lit("orphan_run").alias("kind"), F.col("run_id").cast("string").alias("subject"))
+    at = free.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(in_cells(equipment.select(*keys, "x1", "y1", "x2", "y2"), cell), [*keys, "cx", "cy"])
+    inside = at.where("x between x1 and x2 and y between y1 and y2").select(*keys, "pid_idx").distinct()
+    parts = [
+        found(inside, "pid_in_equipment", "pid_idx"),
+        found(free.join(inside, [*keys, "pid_idx"], "left_anti"), "pid_none", "pid_idx"),
+        found(tags.where("run_id is not null").where(~_filled("fluid")), "fluid_empty", "pid_idx"),
+        found(orphans, "orphan_run", "run_id"),
+    ]
+    if breaks is not None:
+        parts.append(found(breaks.where("run_id is null"), "cp_unattached", "cp_id"))
     out = suspects
-    for part in (in_eq, none, empty, lost):
+    for part in parts:
         out = out.unionByName(part)
     return out.select(*keys, rank.alias("kind_no"), "kind", "subject")

@@ -120,25 +120,6 @@ VALIDATION_REPORT = f"""{with_('d_tags', 'd_runs', 'd_boxes')}, {_VALIDATION}
 SELECT sheet_id, "check", round_even(CASE WHEN n_all > 0 THEN 100.0::double * n_ok / n_all ELSE 100.0 END, 1) AS value, n_ok, n_all, n_ok = n_all AS passed FROM c"""
 
 
-def validation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combined report of every sheet: the mean of all checks."""
-    return validation.combined(validation_report(spark, sf_dir)).select("sheet_id", "n_checks", "n_failed", F.bround("score", 6).alias("score"))
-
-
-VALIDATION_SCORE = f"""{with_('d_tags', 'd_runs', 'd_boxes')}, {_VALIDATION}
-SELECT sheet_id, count(*) AS n_checks, count(*) FILTER (n_ok <> n_all) AS n_failed, round_even(avg(round_even(CASE WHEN n_all > 0 THEN 100.0::double * n_ok / n_all ELSE 100.0 END, 1)), 6) AS score FROM c GROUP BY 1"""
-
-
-def marking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of pipe length that carries a mark."""
-    runs = derived(spark, sf_dir, "d_runs").select("sheet_id", "run_id", F.greatest(F.expr("x2 - x1"), F.expr("y2 - y1")).alias("length"))
-    return validation.marking(runs, derived(spark, sf_dir, "d_tags").where("run_id is not null and fluid <> ''").select("sheet_id", "run_id"))
-
-
-MARKING_REPORT = f"""{with_('d_tags', 'd_runs')}, p AS (SELECT DISTINCT sheet_id, run_id FROM d_tags WHERE run_id IS NOT NULL AND fluid <> ''), j AS (SELECT r.sheet_id, greatest(x2 - x1, y2 - y1) AS n, p.run_id IS NOT NULL AS m FROM d_runs r LEFT JOIN p USING (sheet_id, run_id))
-SELECT sheet_id, count(*) AS n_pipes, count(*) FILTER (m) AS n_painted, round_even(CASE WHEN sum(n) > 0 THEN 100.0::double * coalesce(sum(n) FILTER (m), 0) / sum(n) ELSE 100.0 END, 1) AS value, 0 AS n_ghosts, coalesce(sum(n) FILTER (m), 0) >= 0.75 * sum(n) AS passed FROM j GROUP BY 1"""
-
-
 def line_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines numbered by tag within their sheet, with unlisted lines last."""
     tags = derived(spark, sf_dir, "d_tags")
@@ -265,9 +246,9 @@ t AS (SELECT sheet_id, home, pid, row_number() OVER (PARTITION BY sheet_id, home
 SELECT sheet_id, t.pid, quantile_cont(x::double, 0.5) AS x, quantile_cont(y::double, 0.5) AS y, cast(sum(conf) AS int) AS conf FROM m JOIN t USING (sheet_id, home) WHERE r = 1 GROUP BY sheet_id, home, t.pid HAVING sum(conf) >= 2"""
 
 
-QUERIES = {f.__name__: f for f in (systems, circuits, project_circuits, tag_dedup, tag_dedup_simple, fluid_suspects, review, validation_report, validation_score, marking_report, line_register, symbol_register, symbol_counts, yolo_labels, tile_index, opc_edges, job_state, box_nms, box_merge, box_gaps, box_nested, tag_clusters)}
+QUERIES = {f.__name__: f for f in (systems, circuits, project_circuits, tag_dedup, tag_dedup_simple, fluid_suspects, review, validation_report, line_register, symbol_register, symbol_counts, yolo_labels, tile_index, opc_edges, job_state, box_nms, box_merge, box_gaps, box_nested, tag_clusters)}
 SQL = {
-    "systems": SYSTEMS, "circuits": CIRCUITS, "project_circuits": PROJECT_CIRCUITS, "tag_dedup": TAG_DEDUP, "tag_dedup_simple": TAG_DEDUP_SIMPLE, "fluid_suspects": FLUID_SUSPECTS, "review": REVIEW, "validation_report": VALIDATION_REPORT, "validation_score": VALIDATION_SCORE,
-    "marking_report": MARKING_REPORT, "line_register": LINE_REGISTER, "symbol_register": SYMBOL_REGISTER, "symbol_counts": SYMBOL_COUNTS, "yolo_labels": YOLO_LABELS, "tile_index": TILE_INDEX, "opc_edges": OPC_EDGES, "job_state": JOB_STATE,
+    "systems": SYSTEMS, "circuits": CIRCUITS, "project_circuits": PROJECT_CIRCUITS, "tag_dedup": TAG_DEDUP, "tag_dedup_simple": TAG_DEDUP_SIMPLE, "fluid_suspects": FLUID_SUSPECTS, "review": REVIEW, "validation_report": VALIDATION_REPORT,
+    "line_register": LINE_REGISTER, "symbol_register": SYMBOL_REGISTER, "symbol_counts": SYMBOL_COUNTS, "yolo_labels": YOLO_LABELS, "tile_index": TILE_INDEX, "opc_edges": OPC_EDGES, "job_state": JOB_STATE,
     "box_nms": BOX_NMS, "box_nested": BOX_NESTED, "tag_clusters": TAG_CLUSTERS,
 }

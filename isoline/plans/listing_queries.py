@@ -101,11 +101,11 @@ SELECT sheet_id, box_id, arg_min(text, (d, text)) AS text FROM p WHERE d <= 150
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File stems, cache keys and measured variables."""
     s = derived(spark, sf_dir, "d_sheets")
-    return s.select("sheet_id", naming.safe_stem(F.concat(F.lit("in/dir/"), F.col("filename"))).alias("stem"), naming.cache_key(F.col("filename"), F.lit(None).cast("string"), F.col("sheet_number")).alias("key"), naming.measured(F.expr("substr('FLPTXyz', cast(sheet_id % 7 + 1 as int), 1) || 'IC'")).alias("measures"))
+    return s.select("sheet_id", naming.safe_stem(F.concat(F.lit("in/dir/"), F.col("filename"))).alias("stem"), naming.cache_key(F.col("filename"), F.lit(None).cast("string"), F.col("sheet_number")).alias("key"), naming.describe_instrument(F.expr("substr('FLPTXyz', cast(sheet_id % 7 + 1 as int), 1) || 'IC'")).alias("measures"))
 
 
-NAMES = f"""{with_('d_sheets')} SELECT sheet_id, regexp_replace(regexp_replace(filename, '\\.[^.]*$', ''), '[^A-Za-z0-9._-]+', '_', 'g') AS stem, sha256(filename || '||' || sheet_number) AS key,
-  CASE substr('FLPTXyz', cast(sheet_id % 7 + 1 AS int), 1) WHEN 'F' THEN 'Flow' WHEN 'L' THEN 'Level' WHEN 'P' THEN 'Pressure' WHEN 'T' THEN 'Temperature' WHEN 'z' THEN 'Position' ELSE 'Instrument' END AS measures FROM d_sheets"""
+NAMES = f"""{with_('d_sheets')} SELECT sheet_id, replace(regexp_replace(filename, '\\.[^.]*$', ''), '.', '_') AS stem, sha256(filename || '||' || sheet_number) AS key,
+  CASE substr('FLPTXyz', cast(sheet_id % 7 + 1 AS int), 1) WHEN 'F' THEN 'Flow Indicating Controller' WHEN 'L' THEN 'Level Indicating Controller' WHEN 'P' THEN 'Pressure Indicating Controller' WHEN 'T' THEN 'Temperature Indicating Controller' WHEN 'X' THEN 'Multivariable instrument' WHEN 'z' THEN 'Position instrument' ELSE 'Instrument' END AS measures FROM d_sheets"""
 
 
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:

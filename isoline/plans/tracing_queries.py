@@ -59,10 +59,23 @@ def snapped_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracing.snap_ends(_runs(spark, sf_dir), _boxes(spark, sf_dir, "equipment"), 25.0).select("sheet_id", "run_id", "x1", "y1", "x2", "y2")
 
 
-_WALL = """SELECT r.run_id, {k} AS which, arg_min((wx, wy), (d, box_id)) AS w FROM (SELECT run_id, x{k} AS x, y{k} AS y, sheet_id FROM d_runs) r JOIN LATERAL (SELECT box_id, greatest(b.x1, least(b.x2, r.x)) AS wx, greatest(b.y1, least(b.y2, r.y)) AS wy, sqrt(pow(greatest(b.x1, least(b.x2, r.x)) - r.x, 2) + pow(greatest(b.y1, least(b.y2, r.y)) - r.y, 2)) AS d
-  FROM d_boxes b WHERE b.coarse = 'equipment' AND b.sheet_id = r.sheet_id) q ON true WHERE d <= 25 GROUP BY r.run_id HAVING min(d) > 0"""
-SNAPPED_ENDS = f"""{with_('d_runs', 'd_boxes')}, a AS ({_WALL.format(k=1)}), b AS ({_WALL.format(k=2)})
-SELECT sheet_id, r.run_id, coalesce(a.w[1], x1) AS x1, coalesce(a.w[2], y1) AS y1, coalesce(b.w[1], x2) AS x2, coalesce(b.w[2], y2) AS y2 FROM d_runs r LEFT JOIN a ON a.run_id = r.run_id LEFT JOIN b ON b.run_id = r.run_id"""
+_LEVEL, _UPRIGHT = "abs(vx) >= 1.2 * abs(vy)", "abs(vy) >= 1.2 * abs(vx)"
+_ON_X, _ON_Y = "e.y BETWEEN b.y1 - 12.5 AND b.y2 + 12.5", "e.x BETWEEN b.x1 - 12.5 AND b.x2 + 12.5"
+
+
+def _to(d: str, x: str, y: str) -> str:
+    return f"{{'d': ({d})::double, 'x': ({x})::double, 'y': ({y})::double}}"
+
+
+_CX, _CY = "greatest(b.x1, least(e.x, b.x2))", "greatest(b.y1, least(e.y, b.y2))"
+_GAP = "least(e.x - b.x1, b.x2 - e.x, e.y - b.y1, b.y2 - e.y)"
+SNAPPED_ENDS = f"""{with_('d_runs', 'd_boxes')}, e AS (SELECT sheet_id, run_id, 1 AS which, x1 AS x, y1 AS y, x1 - x2 AS vx, y1 - y2 AS vy FROM d_runs UNION ALL SELECT sheet_id, run_id, 2, x2, y2, x2 - x1, y2 - y1 FROM d_runs),
+c AS (SELECT run_id, which, box_id, CASE WHEN e.x BETWEEN b.x1 AND b.x2 AND e.y BETWEEN b.y1 AND b.y2 THEN CASE WHEN {_GAP} = e.x - b.x1 THEN {_to(_GAP, 'b.x1', 'e.y')} WHEN {_GAP} = b.x2 - e.x THEN {_to(_GAP, 'b.x2', 'e.y')} WHEN {_GAP} = e.y - b.y1 THEN {_to(_GAP, 'e.x', 'b.y1')} ELSE {_to(_GAP, 'e.x', 'b.y2')} END
+  WHEN {_LEVEL} AND {_ON_X} AND vx > 0 AND b.x1 - e.x BETWEEN 0 AND 25 THEN {_to('b.x1 - e.x', 'b.x1', _CY)} WHEN {_LEVEL} AND {_ON_X} AND vx < 0 AND e.x - b.x2 BETWEEN 0 AND 25 THEN {_to('e.x - b.x2', 'b.x2', _CY)}
+  WHEN NOT ({_LEVEL} AND {_ON_X}) AND {_UPRIGHT} AND {_ON_Y} AND vy > 0 AND b.y1 - e.y BETWEEN 0 AND 25 THEN {_to('b.y1 - e.y', _CX, 'b.y1')} WHEN NOT ({_LEVEL} AND {_ON_X}) AND {_UPRIGHT} AND {_ON_Y} AND vy < 0 AND e.y - b.y2 BETWEEN 0 AND 25 THEN {_to('e.y - b.y2', _CX, 'b.y2')}
+  WHEN ({_LEVEL} AND abs(e.y - {_CY}) > 8) OR (NOT ({_LEVEL}) AND {_UPRIGHT} AND abs(e.x - {_CX}) > 8) THEN NULL ELSE {_to(f'sqrt(pow(e.x - {_CX}, 2) + pow(e.y - {_CY}, 2))', _CX, _CY)} END AS t FROM e JOIN d_boxes b ON b.coarse = 'equipment' AND b.sheet_id = e.sheet_id),
+m AS (SELECT run_id, which, t FROM c WHERE t.d <= 25 QUALIFY row_number() OVER (PARTITION BY run_id, which ORDER BY t.d, box_id) = 1)
+SELECT sheet_id, r.run_id, coalesce(round_even(a.t.x, 0)::bigint, x1) AS x1, coalesce(round_even(a.t.y, 0)::bigint, y1) AS y1, coalesce(round_even(z.t.x, 0)::bigint, x2) AS x2, coalesce(round_even(z.t.y, 0)::bigint, y2) AS y2 FROM d_runs r LEFT JOIN m a ON a.run_id = r.run_id AND a.which = 1 LEFT JOIN m z ON z.run_id = r.run_id AND z.which = 2"""
 
 
 def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:

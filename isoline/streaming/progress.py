@@ -57,10 +57,25 @@ def until_terminal(events: DataFrame) -> DataFrame:
     return with_step(events).where(F.col("step").isin(*TERMINAL))
 
 
-def stream_job_state(spark: SparkSession, path: str, schema: str, checkpoint: str, table_name: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Keep job states up to date from files that arrive at a path; readers see the whole table after each batch."""
+def stream_job_state(spark: SparkSession, path: str, schema: str, checkpoint: str, out: str, files_per_batch: int = 1) -> StreamingQuery:
+    """Keep job states up to date from files that arrive at a path.
+
+    Every batch writes the states that it changed to a table of its own below `out`; `snapshot` reads the latest of each
+    job. A batch that is run again replaces its own table, so nothing is counted twice, and no state passes the driver.
+    """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return job_state(source).writeStream.outputMode("complete").format("memory").queryName(table_name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def emit(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return job_state(source).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(emit).start()
+
+
+def snapshot(spark: SparkSession, out: str) -> DataFrame:
+    """The last state of every job from what stream_job_state wrote: what a late subscriber is told."""
+    rows = spark.read.parquet(out)
+    own = [c for c in rows.columns if c not in ("job_id", "batch")]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*own), "batch").alias("s")).select("job_id", "s.*")
 
 
 def latest_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
@@ -68,6 +83,11 @@ def latest_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(limit)
 
 
+def jobs_of_project(jobs: DataFrame, sheets: DataFrame, project_id: object, limit: int = 50) -> DataFrame:
+    """The most recent jobs of a project's sheets; the limit is the listing's own."""
+    return latest_jobs(jobs.join(sheets.where(F.col("project_id") == F.lit(project_id)).select("sheet_id"), "sheet_id", "left_semi"), limit)
+
+
 def latest_per_sheet(jobs: DataFrame) -> DataFrame:
     """The latest job of each sheet; of equal times the larger id."""
     return jobs.groupBy("sheet_id").agg(F.max_by("job_id", F.struct("created_at", "job_id")).alias("job_id"))
