@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoline.llm import tokens
-from isoline.llm.words import WordIds, by_bytes, spread, texts_of
+from isoline.llm.words import SMALL_BATCH, WordIds, by_bytes, spread, texts_of
 from isoline.session import prepare
 
 BLOCK_BYTES = 12 << 20
@@ -34,7 +34,7 @@ _BETWEEN = "\udfff"  # a lone surrogate, which no text holds
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Runs of rows of about `most` bytes of text, each with the number of its partition and its own within it."""
     held, size, n = [], 0, 0
-    for b in by_bytes(batches):
+    for b in by_bytes(batches, most=SMALL_BATCH):
         part = b.column("part")[0].as_py()
         held.append(b)
         size += b.nbytes

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoline.llm.words import Words, by_bytes, normal, texts_of
+from isoline.llm.words import SMALL_BATCH, Words, by_bytes, normal, texts_of
 from isoline.session import cut, prepare
 
 SHINGLE = 5
@@ -186,7 +186,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, similarity: float = SIMILAR
 
 def _search(index: ItemIndex, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=SMALL_BATCH):
             words = Words(texts_of(b))
             keys = b.column("doc_id").to_pylist()
             rows: list[list] = [[], [], [], [], []]
@@ -220,7 +220,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, similarity: float =
 
 def _keep(index: ItemIndex, similarity: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, text_col):
+        for b in by_bytes(batches, text_col, SMALL_BATCH):
             words = Words(texts_of(b, text_col))
             bad: set[int] = set()
             last, split, sets = -1, [], {}

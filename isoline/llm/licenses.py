@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoline.llm.words import Words, by_bytes, normal, texts_of
+from isoline.llm.words import SMALL_BATCH, Words, by_bytes, normal, texts_of
 from isoline.session import prepare
 
 K = 3
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
     index = TemplateIndex(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=SMALL_BATCH):
             words = Words(texts_of(b))
             keys, rows = b.column("doc_id").to_pylist(), []
             for d, hits in sorted(index.scan(words).items()):
