@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoline.functions import geometry as g
-from isoline.operators import filters, polylines, shapes
+from isoline.operators import bridging, filters, polylines, shapes
 from isoline.plans.derive import derived, with_
 from isoline.plans.geometry_queries import _ADJACENCY, adjacency
 
@@ -205,7 +205,19 @@ STRAIGHT_PIECES = f"""{with_('d_vertices')}, {_EDGES}, {_TURNS}, w AS (SELECT ru
 l AS (SELECT * FROM w JOIN (SELECT run_id, max(k) AS k FROM d_vertices GROUP BY 1) USING (run_id, k)), t AS (SELECT run_id, max(abs(t)) AS sharp, sum(abs(t)) AS total FROM bend GROUP BY 1)
 SELECT sheet_id, run_id, pieces + 1 AS n_pieces, sx + ax AS sx, sy + uy AS sy, n >= 4 AND way >= 26 AND coalesce(sharp, 0) <= 25 AND coalesce(total, 0) >= 8 AS gradual FROM l JOIN pipe USING (run_id) LEFT JOIN t USING (run_id)"""
 
-QUERIES = {f.__name__: f for f in (cloud_free, no_slants, no_stubs, no_faint, furniture_guarded, outlines_gone, split_pipes, text_underlines, short_kept, text_islands, margin_free, straight_pieces)}
+def bridged_bends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polylines joined at bends (rounds of joins; tests hold them against plain rounds)."""
+    out = bridging.bridge_bends(polyline_runs(spark, sf_dir), 25.0, 140.0, 75.0, _boxes(spark, sf_dir, "equipment"))
+    return out.select("sheet_id", "run_id", "n_runs", F.size("points").alias("n"))
+
+
+def bridged_valves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipes joined over valves (rounds of joins; tests hold them against plain rounds)."""
+    runs = derived(spark, sf_dir, "d_runs").select("sheet_id", "run_id", F.expr("array(array(x1, y1), array(x2, y2))").alias("points"))
+    return bridging.bridge_valves(runs, _boxes(spark, sf_dir, "valve"), 60.0).select("sheet_id", "run_id", "n_runs")
+
+
+QUERIES = {f.__name__: f for f in (cloud_free, no_slants, no_stubs, no_faint, furniture_guarded, outlines_gone, split_pipes, text_underlines, short_kept, text_islands, margin_free, straight_pieces, bridged_bends, bridged_valves)}
 SQL = {
     "cloud_free": CLOUD_FREE, "no_slants": NO_SLANTS, "no_stubs": NO_STUBS, "no_faint": NO_FAINT, "furniture_guarded": FURNITURE_GUARDED, "outlines_gone": OUTLINES_GONE, "split_pipes": SPLIT_PIPES, "text_underlines": TEXT_UNDERLINES, "short_kept": SHORT_KEPT,
     "text_islands": TEXT_ISLANDS, "margin_free": MARGIN_FREE, "straight_pieces": STRAIGHT_PIECES,

@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import math
 import random
 
 import pytest
@@ -374,3 +375,63 @@ def test_shapes(spark):
         shapes.is_gradual(F.expr("array(array(0, 0), array(10, 0), array(10, 10), array(0, 10))")).alias("no"),
     ).first()
     assert (len(row.two), len(row.one), row.yes, row.no) == (2, 1, True, False)
+
+
+def _bridged(runs, reach, allowed):
+    """Rounds of joins in plain Python: runs is {id: points}, allowed judges two ends as (id, which, place, way out)."""
+    cur = {k: (p, False, 1) for k, p in runs.items()}
+    while True:
+        ends = [(k, w, p[i], (p[i][0] - p[j][0], p[i][1] - p[j][1]), grew, sum(math.dist(a, b) for a, b in zip(p, p[1:]))) for k, (p, grew, _) in cur.items() for w, i, j in ((1, 0, 1), (2, -1, -2))]
+        ranks = []
+        for a, b in itertools.permutations(ends, 2):
+            gap = math.dist(a[2], b[2])
+            if a[0] < b[0] and gap <= reach and allowed(a, b, gap):
+                ranks.append((gap, a[0], b[0], a[1], b[1]))
+        if not ranks:
+            return {k: (p, n) for k, (p, _, n) in cur.items()}
+        first = {}
+        for r in ranks:
+            for k in r[1:3]:
+                first[k] = min(r, first.get(k, r))
+        for r in sorted(set(first.values())):
+            if first[r[1]] == r == first[r[2]]:
+                (p, _, n), (q, _, m) = cur[r[1]], cur.pop(r[2])
+                way = (p if r[3] == 2 else p[::-1]) + (q if r[4] == 1 else q[::-1])
+                cur[r[1]] = ([x for i, x in enumerate(way) if i == 0 or x != way[i - 1]], True, n + m)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bridges_against_rounds(spark, seed):
+    from isoline.operators import bridging
+
+    r = random.Random(seed)
+    runs = {}
+    for k in range(40):
+        x, y, n = float(r.randrange(0, 400, 10)), float(r.randrange(0, 300, 10)), r.choice([20, 40, 90, 160])
+        runs[k] = [(x, y), r.choice([(x + n, y), (x, y + n), (x + n / 2, y + n / 2), (x + n, y + 4)])]
+    valves = [(x, y, x + 20, y + 20) for x, y in ((float(r.randrange(400)), float(r.randrange(300))) for _ in range(9))]
+    blocks = [(100.0, 100.0, 140.0, 130.0)]
+    df = spark.createDataFrame([(1, k, [list(q) for q in p]) for k, p in runs.items()], "sheet_id int, run_id int, points array<array<double>>")
+    box = lambda rows: spark.createDataFrame([(1, *b) for b in rows], "sheet_id int, x1 double, y1 double, x2 double, y2 double")
+
+    def open_(a, b):
+        return not any(min(a[2][0], b[2][0]) <= x2 and max(a[2][0], b[2][0]) >= x1 and min(a[2][1], b[2][1]) <= y2 and max(a[2][1], b[2][1]) >= y1 for x1, y1, x2, y2 in blocks)
+
+    def bend(a, b, gap):
+        cosine = -(a[3][0] * b[3][0] + a[3][1] * b[3][1]) / (math.hypot(*a[3]) * math.hypot(*b[3]))
+        return (a[4] or b[4] or min(a[5], b[5]) <= 60) and math.degrees(math.acos(max(-1, min(1, cosine)))) <= 75 and open_(a, b)
+
+    def valve(a, b, gap):
+        flat, tall = ([abs(e[3][i]) >= 1.5 * abs(e[3][1 - i]) for e in (a, b)] for i in (0, 1))
+        dx, dy = abs(a[2][0] - b[2][0]), abs(a[2][1] - b[2][1])
+        line = (all(flat) and dy <= 6 and dx > 0) or (all(tall) and dx <= 6 and dy > 0)
+        mx, my = (a[2][0] + b[2][0]) / 2, (a[2][1] + b[2][1]) / 2
+        held = flat[0] == flat[1] and tall[0] == tall[1] and any(x1 - 15 <= mx <= x2 + 15 and y1 - 15 <= my <= y2 + 15 for x1, y1, x2, y2 in valves)
+        near = any(x1 - 40 <= e[2][0] <= x2 + 40 and y1 - 40 <= e[2][1] <= y2 + 40 for e in (a, b) for x1, y1, x2, y2 in valves)
+        return gap > 0 and near and (line or held) and open_(a, b)
+
+    got = {x.run_id: ([tuple(q) for q in x.points], x.n_runs) for x in bridging.bridge_bends(df, 30.0, 60.0, 75.0, box(blocks)).collect()}
+    assert got == _bridged(runs, 30, bend) and max(n for _, n in got.values()) > 1
+    got = {x.run_id: ([tuple(q) for q in x.points], x.n_runs) for x in bridging.bridge_valves(df, box(valves), 40.0, 6.0, box(blocks)).collect()}
+    assert got == _bridged(runs, 40, valve) and max(n for _, n in got.values()) > 1
+    assert bridging.bridge_valves(df, box(valves).where("false"), 40.0).count() == len(runs)

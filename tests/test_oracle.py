@@ -32,8 +32,8 @@ def test_query_matches_sql(spark, small, duck, name):
     pd.testing.assert_frame_equal(_plain(got), _plain(want))
 
 
-#: Queries without SQL: rounds of components, which test_operators holds against brute force.
-BY_HAND = {"box_merge", "box_gaps"}
+#: Queries without SQL: rounds that go on until nothing meets, which test_operators holds against plain rounds.
+BY_HAND = {"box_merge", "box_gaps", "bridged_bends", "bridged_valves"}
 
 
 def test_queries_without_sql_are_tested_by_hand(spark, small):
@@ -42,3 +42,5 @@ def test_queries_without_sql_are_tested_by_hand(spark, small):
     for name, coarse in (("box_merge", "equipment"), ("box_gaps", "instrument")):
         got = registry.QUERIES[name](spark, small)
         assert got.agg({"n_boxes": "sum"}).first()[0] == boxes.where(f"coarse = '{coarse}'").count()
+    for name in ("bridged_bends", "bridged_valves"):
+        assert registry.QUERIES[name](spark, small).agg({"n_runs": "sum"}).first()[0] == derived(spark, small, "d_runs").count()
