@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoline.llm import tokens
-from isoline.llm.words import WordIds, by_bytes, texts_of
+from isoline.llm.words import LARGE_BATCH, WordIds, by_bytes, texts_of
 from isoline.session import prepare
 
 
@@ -27,7 +27,7 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         safe = tokens.load_pieces(model)[1]
         state: WordIds = tokens.worker_state(("lengths", model), lambda: Lengths(model))
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=LARGE_BATCH):
             texts = texts_of(b)
             n = state.counts([tokens.split_pieces(t, safe) for t in texts])
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]

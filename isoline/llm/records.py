@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoline.llm import tokens
-from isoline.llm.words import WordIds, by_bytes, texts_of
+from isoline.llm.words import LARGE_BATCH, WordIds, by_bytes, texts_of
 from isoline.session import cut, prepare, shared_path
 
 #: Fixed values of the record format: reversed Castagnoli polynomial, mask of the checksums, null doc_id.
@@ -166,7 +166,7 @@ def write_records(docs: DataFrame, tokenizer: str, out: str | None = None, *, id
         wide = tokens.load(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         n_docs = n_tokens = at = 0
         first, sizes, data = None, [], None
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=LARGE_BATCH):
             if data is None:
                 data = where.open_output_stream(f"{folder}/{name}.rec", compression=None)
             ids, counts = state.batch([tokens.split_dropping_space(t) for t in texts_of(b)])

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20
-#: For operators that hold arrays of many bytes per character of a batch.
-SMALL_BATCH = 1 << 20
+BATCH_BYTES = 1 << 20
+#: For operators that hold little beside the text and work on many words of a batch at once.
+LARGE_BATCH = 4 << 20
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
