@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoline.operators import tracing
+from isoline.functions import geometry as g
+from isoline.operators import shapes, tracing
 from isoline.operators.graph import connected_components
 from isoline.operators.spatial import in_cells, split_at_tees, subtract_intervals
 from isoline.session import cut
@@ -49,6 +50,34 @@ def is_stroked(color: Column, fill: Column, kind: Column) -> Column:
     return color.isNotNull() & ~F.coalesce(fill.isNotNull() & (kind == "f"), F.lit(False))
 
 
+def path_segments(paths: DataFrame, curves: bool = True, closed: bool = False, keys: tuple[str, ...] = KEYS, straight: float = 1.5) -> DataFrame:
+    """(keys, path_id, seg, x1 .. y2): straight pieces of stroked paths, closed ones left out unless they are asked for.
+
+    paths: keys, path_id, color, fill, type, closed, items: array<struct(kind, points)>. l is a line between two points,
+    re a rectangle between two corners, qu a quadrilateral of four, c a cubic curve of four, which is sampled and cut
+    where it turns by more than `straight` degrees.
+    """
+    rows = paths.where(is_stroked(F.col("color"), F.col("fill"), F.col("type")))
+    if not closed:
+        rows = rows.where(~is_closed(F.struct(F.col("closed"), F.col("items"))))
+    rows = rows.select(*keys, "path_id", F.posexplode("items").alias("item", "i"))
+    p = lambda k: F.get("i.points", F.lit(k))
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    piece = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    corner = lambda a, b: F.array(a[0], b[1])
+    box = [p(0), corner(p(1), p(0)), p(1), corner(p(0), p(1)), p(0)]
+    ring = F.array(p(0), p(1), p(2), p(3), p(0))
+    at = lambda k: F.struct(p(k)[0].alias("x"), p(k)[1].alias("y"))
+    curve = F.transform(g.bezier(at(0), at(1), at(2), at(3)), lambda q: F.array(q.x, q.y))
+    own = F.when(F.col("i.kind") == "l", F.array(piece(p(0), p(1)))).when(F.col("i.kind") == "re", F.array(*(piece(a, b) for a, b in zip(box, box[1:], strict=False))))
+    own = own.when(F.col("i.kind") == "qu", shapes.straight_pieces(ring, straight))
+    if curves:
+        own = own.when(F.col("i.kind") == "c", shapes.straight_pieces(curve, straight))
+    rows = rows.select(*keys, "path_id", "item", F.posexplode(F.coalesce(own, none)).alias("n", "s"))
+    rank = Window.partitionBy(*keys, "path_id").orderBy("item", "n")
+    return rows.select(*keys, "path_id", (F.row_number().over(rank) - 1).alias("seg"), "s.*")
+
+
 def merge_segments(segs: DataFrame, min_piece: float = MIN_PIECE, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, run_id, axis, x1 .. y2): level and upright pieces joined along their line, and longer slanting ones.
 

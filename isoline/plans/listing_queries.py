@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoline.functions import colors as colours
 from isoline.functions import naming
 from isoline.operators import filters, metrics, shapes
+from isoline.operators import listings as ordered
 from isoline.plans.derive import derived, with_
 from isoline.plans.geometry_queries import _ADJACENCY, adjacency
 from isoline.session import table
@@ -34,7 +35,7 @@ LATEST_PER_SHEET = "SELECT o_custkey AS sheet_id, arg_max(o_orderkey, (o_orderda
 def sheet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of each project in order of number and file."""
     s = derived(spark, sf_dir, "d_sheets").withColumn("project_id", F.col("sheet_id") % 7)
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("sheet_number", "filename"))).select("project_id", "sheet_id", "place")
+    return ordered.sheets_by_number(s).select("project_id", "sheet_id", "place")
 
 
 SHEET_ORDER = f"{with_('d_sheets')} SELECT sheet_id % 7 AS project_id, sheet_id, row_number() OVER (PARTITION BY sheet_id % 7 ORDER BY sheet_number, filename) AS place FROM d_sheets"

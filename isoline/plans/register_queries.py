@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoline.functions import colors, geometry, naming, tags
 from isoline.operators import breaks, filters, greedy, grouping, linelist, metrics, propagation, registers, topology, tracing, validation
+from isoline.operators import listings as ordered
 from isoline.plans import line_queries as lines
 from isoline.plans.derive import CLASSES, derived, pick, with_
 from isoline.plans.geometry_queries import _ADJACENCY, adjacency
@@ -402,10 +403,9 @@ PROJECT_JOBS = "SELECT o_orderkey AS job_id, o_custkey AS sheet_id FROM orders J
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects of every tenant, newest first, and their sheets by time and page number, as places in the lists."""
     p = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("tenant_id"), F.col("c_custkey").alias("project_id"), F.expr("c_custkey * 37 % 101").alias("created_at"))
-    projects = p.withColumn("project_place", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("created_at"), "project_id")))
+    projects = ordered.ordered_projects(p).withColumnRenamed("place", "project_place")
     s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sheet_id"), F.col("o_orderdate").alias("created_at"), F.expr("concat(o_orderkey % 12, if(o_orderkey % 5 = 0, 'x', ''), '/12')").alias("sheet_number"))
-    page = F.coalesce(F.split("sheet_number", "/")[0].try_cast("int"), F.lit(0))
-    sheets = s.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("created_at", page, "sheet_id")))
+    sheets = ordered.ordered_sheets(s)
     return sheets.join(projects.drop("created_at"), "project_id").select("tenant_id", "project_id", "project_place", "sheet_id", "place")
 
 
@@ -415,9 +415,19 @@ s AS (SELECT o_custkey AS project_id, o_orderkey AS sheet_id, row_number() OVER
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred rows of a line list: the limit is the preview's own."""
-    return derived(spark, sf_dir, "d_line_list").orderBy("row_no").limit(100).select("row_no", "line_number")
+    return ordered.preview(derived(spark, sf_dir, "d_line_list")).select("row_no", "line_number")
 
 
+def tenant_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project by its key, for the tenant that owns it and not for another: the key is the listing's own."""
+    p = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("tenant_id"), F.col("c_custkey").alias("project_id"))
+    both = ordered.by_key(p, "project_id", 5, 0).withColumn("asked", F.lit(0))
+    for tenant in (1, 2, 3):
+        both = both.unionByName(ordered.by_key(p, "project_id", 5, tenant).withColumn("asked", F.lit(tenant)))
+    return both
+
+
+TENANT_PROJECT = "SELECT c_nationkey % 4 AS tenant_id, c_custkey AS project_id, cast(c_nationkey % 4 AS int) AS asked FROM customer WHERE c_custkey = 5"
 PREVIEW = f"{with_('d_line_list')} SELECT row_no, line_number FROM d_line_list ORDER BY row_no LIMIT 100"
 
 
@@ -580,7 +590,7 @@ SELECT sheet_id, upper, lower, CASE WHEN regexp_matches(norm, {_q(_PA)}) THEN re
 
 _ALL = (
     instrument_register, equipment_register, valve_register, break_register, barriers, register_summary, system_register, circuit_register, bubbles, typed_tags, learned_tags, coarse_classes, fluid_colors, linelist_files, grouping_report, marking_report, validation_score,
-    report_flags, merged_fluids, spread_systems, project_members, topology_nodes, topology_summary, break_sides, marked_sheets, new_tags, manual_first, project_jobs, listings, preview, id_recall, known_codes, matched_boxes, thinned_points, turned_points, curves,
+    report_flags, merged_fluids, spread_systems, project_members, topology_nodes, topology_summary, break_sides, marked_sheets, new_tags, manual_first, project_jobs, listings, preview, tenant_project, id_recall, known_codes, matched_boxes, thinned_points, turned_points, curves,
     unmarked_paths, samples, marked_groups, edited_pipes, junction_kinds, terminal_events, matched_labels,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -15,6 +15,24 @@ def _rounded(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({c: F.bround(c, 6) for c in names})
 
 
+def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight pieces of stroked open paths made of lines, rectangles, quadrilaterals and curves."""
+    p = derived(spark, sf_dir, "d_points")
+    items = F.expr("""filter(array(
+      named_struct('kind', 'l', 'points', array(array(double(x), double(y)), array(double(x + 9), double(y + 4)))),
+      if(point_id % 3 = 0, named_struct('kind', 're', 'points', array(array(double(x), double(y)), array(double(x + 20), double(y + 10)))), null),
+      if(point_id % 4 = 0, named_struct('kind', 'qu', 'points', array(array(double(x), double(y)), array(double(x + 20), double(y)), array(double(x + 25), double(y + 30)), array(double(x - 5), double(y + 30)))), null),
+      named_struct('kind', 'c', 'points', array(array(double(x), double(y)), array(double(x + 30), double(y + 30)), array(double(x + 60), double(y + 60)), array(double(x + 90), double(y + 90)))),
+      named_struct('kind', 'l', 'points', array(array(double(x), double(y)), array(double(x + if(point_id % 5 = 0, 0, 7)), double(y))))), i -> i is not null)""")
+    paths = p.select("sheet_id", F.col("point_id").alias("path_id"), F.expr("if(point_id % 7 = 0, null, 'k')").alias("color"), F.expr("if(point_id % 2 = 0, 'w', null)").alias("fill"), F.expr("if(point_id % 6 = 0, 'f', 's')").alias("type"), F.expr("point_id % 11 = 0").alias("closed"), items.alias("items"))
+    return vector.path_segments(paths).select("sheet_id", "path_id", "seg", *_BOX)
+
+
+_OWN = "point_id % 7 <> 0 AND point_id % 6 <> 0 AND point_id % 11 <> 0 AND point_id % 5 <> 0"
+_PIECES = [("1 = 1", 0, 0, 9, 4), ("point_id % 3 = 0", 0, 0, 20, 0), ("point_id % 3 = 0", 20, 0, 20, 10), ("point_id % 3 = 0", 20, 10, 0, 10), ("point_id % 3 = 0", 0, 10, 0, 0), ("point_id % 4 = 0", 0, 0, 20, 0), ("point_id % 4 = 0", 20, 0, 25, 30), ("point_id % 4 = 0", 25, 30, -5, 30), ("point_id % 4 = 0", -5, 30, 0, 0), ("1 = 1", 0, 0, 90, 90), ("1 = 1", 0, 0, 7, 0)]
+PATH_SEGMENTS = f"{with_('d_points')}, s AS (" + " UNION ALL ".join(f"SELECT sheet_id, point_id, {k} AS k, x + {a} AS x1, y + {b} AS y1, x + {c} AS x2, y + {d} AS y2 FROM d_points WHERE {_OWN} AND {when}" for k, (when, a, b, c, d) in enumerate(_PIECES)) + ") SELECT sheet_id, point_id AS path_id, row_number() OVER (PARTITION BY point_id ORDER BY k) - 1 AS seg, x1::double AS x1, y1::double AS y1, x2::double AS x2, y2::double AS y2 FROM s"
+
+
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces joined along their line at their weighted mean place."""
     return _rounded(vector.merge_segments(derived(spark, sf_dir, "d_segs")), *_BOX)
@@ -109,5 +127,5 @@ tee AS (SELECT run_id, p, row_number() OVER (PARTITION BY run_id ORDER BY p) AS
 step AS (SELECT run_id, k, p AS last, 1 AS n FROM tee WHERE k = 1 UNION ALL SELECT t.run_id, t.k, CASE WHEN t.p - s.last >= 6 THEN t.p ELSE s.last END, CASE WHEN t.p - s.last >= 6 THEN s.n + 1 ELSE s.n END FROM step s JOIN tee t ON t.run_id = s.run_id AND t.k = s.k + 1), cuts AS (SELECT run_id, max(n) AS n FROM step GROUP BY 1)
 SELECT sheet_id, axis, round_even(v, 3) AS place, cast(sum(1 + coalesce(n, 0)) AS bigint) AS n_pieces, round_even(sum(hi - lo), 3) AS way FROM free LEFT JOIN cuts USING (run_id) GROUP BY sheet_id, axis, round_even(v, 3)"""
 
-QUERIES = {f.__name__: f for f in (merged_segments, symbol_regions, split_runs, table_regions, vector_chain)}
-SQL = {"merged_segments": MERGED_SEGMENTS, "symbol_regions": SYMBOL_REGIONS, "split_runs": SPLIT_RUNS, "table_regions": TABLE_REGIONS, "vector_chain": VECTOR_CHAIN}
+QUERIES = {f.__name__: f for f in (path_segments, merged_segments, symbol_regions, split_runs, table_regions, vector_chain)}
+SQL = {"path_segments": PATH_SEGMENTS, "merged_segments": MERGED_SEGMENTS, "symbol_regions": SYMBOL_REGIONS, "split_runs": SPLIT_RUNS, "table_regions": TABLE_REGIONS, "vector_chain": VECTOR_CHAIN}
