@@ -62,18 +62,16 @@ def path_segments(paths: DataFrame, curves: bool = True, closed: bool = False, k
         rows = rows.where(~is_closed(F.struct(F.col("closed"), F.col("items"))))
     rows = rows.select(*keys, "path_id", F.posexplode("items").alias("item", "i"))
     p = lambda k: F.get("i.points", F.lit(k))
-    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-    piece = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
     corner = lambda a, b: F.array(a[0], b[1])
-    box = [p(0), corner(p(1), p(0)), p(1), corner(p(0), p(1)), p(0)]
-    ring = F.array(p(0), p(1), p(2), p(3), p(0))
     at = lambda k: F.struct(p(k)[0].alias("x"), p(k)[1].alias("y"))
-    curve = F.transform(g.bezier(at(0), at(1), at(2), at(3)), lambda q: F.array(q.x, q.y))
-    own = F.when(F.col("i.kind") == "l", F.array(piece(p(0), p(1)))).when(F.col("i.kind") == "re", F.array(*(piece(a, b) for a, b in zip(box, box[1:], strict=False))))
-    own = own.when(F.col("i.kind") == "qu", shapes.straight_pieces(ring, straight))
+    way = F.when(F.col("i.kind") == "l", F.array(p(0), p(1))).when(F.col("i.kind") == "re", F.array(p(0), corner(p(1), p(0)), p(1), corner(p(0), p(1)), p(0)))
+    way = way.when(F.col("i.kind") == "qu", F.array(p(0), p(1), p(2), p(3), p(0)))
     if curves:
-        own = own.when(F.col("i.kind") == "c", shapes.straight_pieces(curve, straight))
-    rows = rows.select(*keys, "path_id", "item", F.posexplode(F.coalesce(own, none)).alias("n", "s"))
+        way = way.when(F.col("i.kind") == "c", F.transform(g.bezier(at(0), at(1), at(2), at(3)), lambda q: F.array(q.x, q.y)))
+    rows = rows.withColumn("way", way).where("way is not null")
+    as_is = F.col("i.kind").isin("l", "re")
+    parts = rows.where(as_is).select(*keys, "path_id", "item", F.posexplode(g.edges(F.col("way"))).alias("n", "s"))
+    rows = parts.unionByName(rows.where(~as_is).select(*keys, "path_id", "item", F.posexplode(shapes.straight_pieces(F.col("way"), straight)).alias("n", "s")))
     rank = Window.partitionBy(*keys, "path_id").orderBy("item", "n")
     return rows.select(*keys, "path_id", (F.row_number().over(rank) - 1).alias("seg"), "s.*")
 
