@@ -41,11 +41,14 @@ FLUID_REPAIR = ("012568", "OIZSGB")
 MARKS = ("”″’‘'`!|", '""""""11')
 
 
+#: What a regular expression takes for white space, as characters to delete.
+_BLANKS = " \t\n\u000b\f\r"
+
+
 def normalise(text: Column) -> Column:
     """Upper case; quote variants become \", ! and | become 1; white space goes; any other sign is a single dash."""
-    s = F.regexp_replace(F.translate(F.upper(text), *MARKS), r"\s+", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[^A-Z0-9\"/]", "-"), "-+", "-")
-    return F.regexp_replace(s, "^-|-$", "")
+    s = F.translate(F.upper(text), MARKS[0] + _BLANKS, MARKS[1])
+    return F.btrim(F.regexp_replace(s, r"[^A-Z0-9\"/]+", "-"), F.lit("-"))
 
 
 def tokens(tag: Column) -> Column:
@@ -95,14 +98,25 @@ def _mended(p: Column) -> Column:
     """The repaired tag of a tolerant match, or null."""
     fluid, seq = repair_fluid(p[3]), repair_seq(p[5])
     pid = F.concat(p[1], F.lit("-"), p[2], F.lit('"-'), fluid, F.lit("-"), p[4], F.lit("-"), seq, p[6])
-    return F.when(fluid.rlike("^[A-Z]{1,4}$") & seq.rlike(r"^\d{1,3}[A-Z]?$"), F.struct(pid.alias("pid"), F.lit(1).alias("weight")))
+    return F.when(fluid.rlike("^[A-Z]{1,4}$") & seq.rlike(r"^\d{1,3}[A-Z]?$"), pid)
+
+
+def read(s: Column, schemas: tuple[Schema, ...] = SCHEMAS) -> Column:
+    """struct(pid, weight, fields) of a normalised text, null if it is no tag: schemas first, then the tolerant form
+    repaired, then tag shape; fields are those of `parse`. Each format is tried once."""
+    empty = F.struct(*(F.lit("").alias(f) for f in FIELDS))
+    hit = lambda pid, weight, fields: F.struct(pid.alias("pid"), F.lit(weight).alias("weight"), fields.alias("fields"))
+    tries = [(_found(s, x.pattern, max(x.groups.values())), lambda p, x=x: hit(p[0], x.weight, F.struct(*(p[x.groups[f]].alias(f) for f in FIELDS)))) for x in schemas]
+    mended = lambda p: let(_mended(p), lambda m: F.when(m.isNotNull(), hit(m, 1, parse(m, schemas))))
+    return _cascade(s, [*tries, (_found(s, LOOSE, 6), mended)], F.when(looks_like_tag(s), hit(s, 1, empty)))
 
 
 def match(s: Column, schemas: tuple[Schema, ...] = SCHEMAS) -> Column:
-    """struct(pid, weight) of a normalised text: schemas first, then the tolerant form repaired, then tag shape."""
+    """struct(pid, weight) of a normalised text, null if it is no tag."""
     tries = [(_found(s, x.pattern, 0), lambda p, w=x.weight: F.struct(p[0].alias("pid"), F.lit(w).alias("weight"))) for x in schemas]
-    shape = F.when(looks_like_tag(s), F.struct(s.alias("pid"), F.lit(1).alias("weight")))
-    return _cascade(s, [*tries, (_found(s, LOOSE, 6), _mended)], shape)
+    one = lambda pid: F.struct(pid.alias("pid"), F.lit(1).alias("weight"))
+    mended = lambda p: let(_mended(p), lambda m: F.when(m.isNotNull(), one(m)))
+    return _cascade(s, [*tries, (_found(s, LOOSE, 6), mended)], F.when(looks_like_tag(s), one(s)))
 
 
 def parse(pid: Column, schemas: tuple[Schema, ...] = SCHEMAS) -> Column:
@@ -180,17 +194,17 @@ def teach(learned: DataFrame, example: str, positions: dict[str, int]) -> DataFr
 
 def key_a(pid: Column) -> Column:
     """Identity of a line on one drawing: no inch marks, no blanks."""
-    return F.upper(F.regexp_replace(pid, '[" ]', ""))
+    return F.upper(F.translate(pid, '" ', ""))
 
 
 def key_b(pid: Column) -> Column:
     """Identity of a line in line lists: no white space, quotes, dashes or underscores."""
-    return F.upper(F.regexp_replace(F.coalesce(pid, F.lit("")), "[\\s\"'\\-_]", ""))
+    return F.upper(F.translate(F.coalesce(pid, F.lit("")), _BLANKS + "\"'-_", ""))
 
 
 def key_c(pid: Column) -> Column:
     """Identity of a line in reference workbooks: upper case, no inch marks, no white space, single dashes."""
-    s = F.regexp_replace(F.upper(F.trim(pid)), "\"|''|”|’|\\s+", "")
+    s = F.translate(F.replace(F.upper(F.trim(pid)), F.lit("''"), F.lit("")), _BLANKS + '"”’', "")
     return F.replace(s, F.lit("--"), F.lit("-"))
 
 

@@ -20,9 +20,9 @@ def _q(pattern: str) -> str:
 
 def tag_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalise, match and parse damaged tag texts; the three line keys."""
-    raw = derived(spark, sf_dir, "d_raw_tags").withColumn("norm", tags.normalise(F.col("raw"))).withColumn("m", tags.match(F.col("norm")))
-    out = raw.withColumn("pid", F.col("m.pid")).withColumn("weight", F.col("m.weight")).withColumn("p", tags.parse(F.coalesce("pid", F.lit(""))))
-    return out.select("l_orderkey", "l_linenumber", "raw", "norm", "pid", "weight", "p.*", tags.key_a(F.col("raw")).alias("key_a"), tags.key_b(F.col("raw")).alias("key_b"), tags.key_c(F.col("raw")).alias("key_c"))
+    raw = derived(spark, sf_dir, "d_raw_tags").withColumn("norm", tags.normalise(F.col("raw"))).withColumn("m", tags.read(F.col("norm")))
+    fields = [F.coalesce(F.col(f"m.fields.{f}"), F.lit("")).alias(f) for f in tags.FIELDS]
+    return raw.select("l_orderkey", "l_linenumber", "raw", "norm", "m.pid", "m.weight", *fields, tags.key_a(F.col("raw")).alias("key_a"), tags.key_b(F.col("raw")).alias("key_b"), tags.key_c(F.col("raw")).alias("key_c"))
 
 
 _NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(upper(raw), '”″’‘''`!|', '\"\"\"\"\"\"11'), '\\s+', '', 'g'), '[^A-Z0-9\"/]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
