@@ -22,8 +22,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written to the shared folder and read back."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents table, each written to the shared folder and read back.
+
+    What a stage wrote is deleted as soon as the next one has written its own.
+    """
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", written)
     return STAGES[-1][1](spark, docs, sf_dir)

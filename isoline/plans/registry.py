@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoline.plans import geometry_queries, graph_queries, line_queries, listing_queries, polyline_queries, register_queries, text_pipe_queries, text_queries, tracing_queries, vector_queries
+from isoline.plans import geometry_queries, graph_queries, line_queries, listing_queries, polyline_queries, register_queries, source_queries, text_pipe_queries, text_queries, tracing_queries, vector_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _m in (line_queries, text_queries, geometry_queries, graph_queries, text_pipe_queries, tracing_queries, listing_queries, polyline_queries, vector_queries, register_queries):
+for _m in (line_queries, text_queries, geometry_queries, graph_queries, text_pipe_queries, tracing_queries, listing_queries, polyline_queries, vector_queries, register_queries, source_queries):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
 
