@@ -194,7 +194,10 @@ def write_records(docs: DataFrame, tokenizer: str, out: str | None = None, *, id
 
 
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Read all files of a manifest back: doc_id, start, n_tokens, ids_crc32 of every record, checksums verified."""
+    """Read all files of a manifest back: doc_id, start, n_tokens, ids_crc32 of every record.
+
+    Checksums are verified, and the offset index of every file against the places where its records begin.
+    """
     prepare(spark)
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     files = manifest.withColumn("start", before)  # one row per file, never per document
@@ -203,6 +206,7 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
                 where, name = fs.FileSystem.from_uri(path)
+                sizes: list[int] = []
                 with where.open_input_stream(name, compression=None) as data:
                     rest, more = b"", READ_BYTES
                     while part := data.read(more):
@@ -210,6 +214,7 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         rest = (rest + part)[used:]
                         more = max(READ_BYTES, len(rest))
                         rows = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+                        sizes += [len(p) + 16 for p in found]
                         for p in found:
                             key, width = struct.unpack_from("<qI", p)
                             ids = np.frombuffer(p, "<u2" if width == 2 else "<u4", offset=12)
@@ -221,16 +226,22 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
                     if rest:
                         raise ValueError(f"{path} ends within a record")
+                if not np.array_equal(_index(where, name), np.cumsum([0, *sizes])[:-1]):
+                    raise ValueError(f"the index of {path} does not hold")
 
     return files.select("path", "start").repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _index(where: fs.FileSystem, name: str) -> np.ndarray:
+    """Where the records of a file begin."""
+    with where.open_input_stream(name.removesuffix(".rec") + ".idx", compression=None) as index:
+        return np.frombuffer(index.read(), "<u8")
+
+
 def read_at(path: str, picks: list[int]) -> list[tuple[int | None, np.ndarray]]:
     """Records of one file by their number, in any order, through the offset index."""
     where, name = fs.FileSystem.from_uri(path)
-    with where.open_input_stream(name.removesuffix(".rec") + ".idx", compression=None) as index:
-        offsets = np.frombuffer(index.read(), "<u8")
-    out = []
+    offsets, out = _index(where, name), []
     with where.open_input_file(name) as data:
         for k in picks:
             data.seek(int(offsets[k]))

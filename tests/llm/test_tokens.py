@@ -63,6 +63,13 @@ def test_records_in_any_order_and_damage(spark, awkward):
     data[20] ^= 1
     with pytest.raises(ValueError):
         records.unframe(bytes(data))
+    index = path.removesuffix(".rec") + ".idx"
+    places = bytearray(open(index, "rb").read())
+    places[-8] ^= 1
+    open(index, "wb").write(bytes(places))
+    frame = spark.createDataFrame([part], records.MANIFEST)
+    with pytest.raises(Exception, match="does not hold"):
+        records.read_records(spark, frame).collect()
 
 
 def test_bpe_equals_library(awkward):
