@@ -136,8 +136,12 @@ def v_regions(segs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 def cross_regions(segs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, a, b, axis, x1 .. y2): places where exactly four slanting strokes meet in two opposed pairs."""
     arms = _arms(segs, keys).withColumn("node", F.struct(*keys, "seg_id", "which"))
-    pairs = _close_ends(arms, APEX, keys)
-    home = connected_components(pairs.select("a_node", "b_node"), "a_node", "b_node")
+    pairs = cut(_close_ends(arms, APEX, keys).select("a_node", "b_node"), "arms")
+    # two arms that only meet each other are no cross, which is what most pairs are; the rest are joined
+    n = pairs.select(F.col("a_node").alias("node")).unionByName(pairs.select(F.col("b_node").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
+    for side in "ab":
+        pairs = pairs.join(n.select(F.col("node").alias(f"{side}_node"), F.col("n").alias(f"{side}_n")), f"{side}_node")
+    home = connected_components(pairs.where("a_n > 1 or b_n > 1"), "a_node", "b_node")
     met = arms.join(home, "node").groupBy(*keys, "component").agg(F.array_sort(F.collect_list(F.struct("seg_id", "which", "x", "y", "u", "v"))).alias("s")).where("size(s) = 4")
     met = met.withColumns({"px": F.expr("s[0].x"), "py": F.expr("s[0].y")})
     unit = "transform(s, t -> named_struct('x', (t.u - px) / sqrt(pow(t.u - px, 2) + pow(t.v - py, 2)), 'y', (t.v - py) / sqrt(pow(t.u - px, 2) + pow(t.v - py, 2))))"
