@@ -50,8 +50,11 @@ def underlines(labels: DataFrame, runs: DataFrame, near_lo: float, near_hi: floa
     edge = lambda low, high: (F.col("c") >= low) & (F.col("c") <= high)
     flat = edge(F.col("ty2") - near_lo, F.col("ty2") + near_hi)
     side = edge(F.col("tx1") - near_hi, F.col("tx1") + near_lo) | edge(F.col("tx2") - near_lo, F.col("tx2") + near_hi)
-    hit = F.when(F.col("axis") == "H", flat).otherwise(side) & (F.col("ov") > 0) & (F.col("ov") >= COVER * (F.col("hi") - F.col("lo")))
-    return near.where(hit & (F.col("hi") - F.col("lo") <= UNDERLINE_LENGTH * (F.col("thi") - F.col("tlo")))).select(*keys, "pid_idx", "run_id")
+    # whole multiples: a share as a binary fraction would miss lines of just that share (0.55 * 100 > 55)
+    covers = F.col("ov") * 100 >= (F.col("hi") - F.col("lo")) * round(COVER * 100)
+    short = (F.col("hi") - F.col("lo")) * 10 <= (F.col("thi") - F.col("tlo")) * round(UNDERLINE_LENGTH * 10)
+    hit = F.when(F.col("axis") == "H", flat).otherwise(side) & (F.col("ov") > 0) & covers
+    return near.where(hit & short).select(*keys, "pid_idx", "run_id")
 
 
 def resolve(labels: DataFrame, picks: DataFrame, leaders: DataFrame, key: str = "sheet_id", rounds: int = 3) -> DataFrame:
