@@ -92,13 +92,15 @@ def axis_of(points: Column) -> Column:
     return F.when(dx >= 3 * dy, "h").when(dy >= 3 * dx, "v").otherwise("d")
 
 
-def drop_floating_stubs(runs: DataFrame, symbols: DataFrame, longest: float, near: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def drop_floating_stubs(runs: DataFrame, symbols: DataFrame, longest: float, near: float, keys: tuple[str, ...] = KEYS, whole: bool = False) -> DataFrame:
     """Pipes without short slanting ones that no symbol is near; sheets without symbols keep all.
 
-    A pipe is near a symbol if a vertex or the middle of an edge lies within `near` of its box.
+    A pipe is near a symbol if a vertex or the middle of an edge lies within `near` of its box. With whole, middles are
+    put on whole pixels, halves to the even one.
     """
     short = runs.where((axis_of(F.col("points")) == "d") & (g.length(F.col("points")) <= longest)).select(*keys, "run_id", "points")
-    middles = F.transform(g.edges(F.col("points")), lambda e: F.array((e.x1 + e.x2) / 2, (e.y1 + e.y2) / 2))
+    half = lambda a, b: F.bround((a + b) / 2) if whole else (a + b) / 2
+    middles = F.transform(g.edges(F.col("points")), lambda e: F.array(half(e.x1, e.x2), half(e.y1, e.y2)))
     places = short.select(*keys, "run_id", F.explode(F.concat(F.transform("points", lambda p: F.array(p[0].cast("double"), p[1].cast("double"))), middles)).alias("p"))
     places = places.select(*keys, "run_id", *(F.col("p")[k].alias(c) for c, k in (("x1", 0), ("y1", 1), ("x2", 0), ("y2", 1))))
     held = _near(places, symbols, f"x1 between b_x1 - {near} and b_x2 + {near} and y1 between b_y1 - {near} and b_y2 + {near}", near, keys)

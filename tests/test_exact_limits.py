@@ -1,8 +1,10 @@
 """Results at the very limits of rules: shares, halves of pixels, repeated paths, ties."""
 
-import random
+import duckdb
+import pytest
 
 from isoline.operators import association
+from isoline.plans import registry
 
 
 def test_underlines_of_just_the_share(spark):
@@ -19,3 +21,24 @@ def test_underlines_of_just_the_share(spark):
     lab = spark.createDataFrame(labels, "sheet_id long, pid_idx long, x1 long, y1 long, x2 long, y2 long")
     got = association.underlines(lab, spark.createDataFrame(runs, "sheet_id long, run_id long, axis string, x1 long, y1 long, x2 long, y2 long"), 8.0, 9.0)
     assert {r.pid_idx for r in got.collect()} == want
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """Puts orders into a folder of tables: (o_orderkey, o_custkey) each."""
+
+    def put(rows):
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"file://{tmp_path}/orders.parquet")
+        return str(tmp_path)
+
+    return put
+
+
+def test_stub_whose_middle_is_half_a_pixel_away(spark, orders):
+    """The stub's middle lies half a pixel beside a valve's reach and is put on the whole pixel within it."""
+    folder = orders([(112604, 3542), (112608, 10756), (460266, 54916), (460272, 54982), (460245, 53229)])
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    want = {r[1] for r in c.sql(registry.SQL["no_stubs"]).fetchall()}
+    got = {r.run_id for r in registry.QUERIES["no_stubs"](spark, folder).collect()}
+    assert 112604 in want and got == want
