@@ -119,10 +119,11 @@ RESULT_DOCUMENTS = f"{with_('d_tags')} SELECT sheet_id, cast(row_number() OVER (
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of uploaded documents, one per page, and which of their caches may be used again."""
     s = derived(spark, sf_dir, "d_sheets")
-    files = s.select(F.expr("if(sheet_id % 5 = 0, replace(filename, '.pdf', '.png'), filename)").alias("path"), F.expr("cast(1 + sheet_id % 4 as int)").alias("n_pages"))
-    caches = s.select(F.expr("if(sheet_id % 5 = 0, replace(filename, '.pdf', '.png'), filename)").alias("path"), F.expr("if(sheet_id % 3 = 0, 2, 3)").alias("v"), F.expr("if(sheet_id % 4 = 0, 450, 90)").alias("rot"), F.expr("if(sheet_id % 7 = 0, null, 100 + sheet_id % 2)").alias("w"), F.lit(50).alias("h"))
-    good = linelists.valid_cache(caches, 3, 90, 100, 50).select("path", F.lit(True).alias("cached"))
-    return linelists.page_sheets(files).join(good, "path", "left").select("page_path", "sheet_number", F.coalesce("cached", F.lit(False)).alias("cached"))
+    files = s.select("sheet_id", F.expr("if(sheet_id % 5 = 0, replace(filename, '.pdf', '.png'), filename)").alias("path"), F.expr("cast(1 + sheet_id % 4 as int)").alias("n_pages"))
+    caches = s.select("sheet_id", F.expr("if(sheet_id % 3 = 0, 2, 3)").alias("v"), F.expr("if(sheet_id % 4 = 0, 450, 90)").alias("rot"), F.expr("if(sheet_id % 7 = 0, null, 100 + sheet_id % 2)").alias("w"), F.lit(50).alias("h"))
+    good = linelists.valid_cache(caches, 3, 90, 100, 50).select("sheet_id", F.lit(True).alias("cached"))
+    # by sheet: from 100000 pages on names are cut to five digits and several sheets share one
+    return linelists.page_sheets(files, ("sheet_id",)).join(good, "sheet_id", "left").select("page_path", "sheet_number", F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
 PAGE_ROWS = f"""{with_('d_sheets')}, s AS (SELECT *, CASE WHEN sheet_id % 5 <> 0 THEN 1 + sheet_id % 4 ELSE 1 END AS n FROM d_sheets), p AS (SELECT *, unnest(range(1, n + 1)) AS k FROM s)

@@ -164,16 +164,17 @@ def valid_cache(caches: DataFrame, version: int, rotation: int, w: int, h: int)
     return caches.where((F.col("v") == version) & turned & (F.coalesce("w", F.lit(w)) == w) & (F.coalesce("h", F.lit(h)) == h))
 
 
-def page_sheets(files: DataFrame) -> DataFrame:
+def page_sheets(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per page of uploaded documents (path, n_pages): path of the page's file, and n/total as sheet number.
 
-    Anything but a document of several pages stays one sheet under its own path, without a number.
+    Anything but a document of several pages stays one sheet under its own path, without a number. keys go along: uploads
+    may share a path.
     """
     many = F.lower("path").endswith(".pdf") & (F.coalesce("n_pages", F.lit(1)) > 1)
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     pages = files.withColumn("page", F.explode(F.when(many, F.sequence(F.lit(1), F.col("n_pages"))).otherwise(F.array(F.lit(1)))))
     page_path = F.when(many, F.concat(stem, F.lit("-p"), F.lpad(F.col("page").cast("string"), 3, "0"), F.lit(".pdf"))).otherwise(F.col("path"))
-    return pages.select("path", "page", page_path.alias("page_path"), F.when(many, F.concat_ws("/", "page", "n_pages")).otherwise("").alias("sheet_number"))
+    return pages.select(*keys, "path", "page", page_path.alias("page_path"), F.when(many, F.concat_ws("/", "page", "n_pages")).otherwise("").alias("sheet_number"))
 
 
 def read_line_list(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:

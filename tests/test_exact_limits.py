@@ -42,3 +42,14 @@ def test_stub_whose_middle_is_half_a_pixel_away(spark, orders):
     want = {r[1] for r in c.sql(registry.SQL["no_stubs"]).fetchall()}
     got = {r.run_id for r in registry.QUERIES["no_stubs"](spark, folder).collect()}
     assert 112604 in want and got == want
+
+
+def test_pages_of_sheets_that_share_a_path(spark, tmp_path):
+    """Six-digit sheets whose names are cut to one path keep their own pages and caches."""
+    ids = [*range(155270, 155290), *range(15520, 15530)]
+    spark.createDataFrame([(i,) for i in ids], "page_id long").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(f"SELECT page_path, sheet_number, cached FROM ({registry.SQL['page_rows']})").fetchall()
+    got = registry.QUERIES["page_rows"](spark, str(tmp_path)).select("page_path", "sheet_number", "cached")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
