@@ -31,8 +31,8 @@ def ordered_sheets(sheets: DataFrame) -> DataFrame:
 
 
 def sheets_by_number(sheets: DataFrame) -> DataFrame:
-    """Sheets with their place in their project's topology: by number, then by file."""
-    return sheets.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("sheet_number", "filename")))
+    """Sheets with their place in their project's topology: by number, then by file; sheets that share both, by id."""
+    return sheets.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("sheet_number", "filename", "sheet_id")))
 
 
 def preview(entries: DataFrame, order: str = "row_no", limit: int = 100) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from isoline.operators import association
+from isoline.operators import association, listings
 from isoline.plans import registry
 
 
@@ -53,3 +53,11 @@ def test_pages_of_sheets_that_share_a_path(spark, tmp_path):
     want = c.sql(f"SELECT page_path, sheet_number, cached FROM ({registry.SQL['page_rows']})").fetchall()
     got = registry.QUERIES["page_rows"](spark, str(tmp_path)).select("page_path", "sheet_number", "cached")
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_sheets_that_share_number_and_file_go_by_id(spark):
+    """Places do not depend on the order in which sheets come."""
+    ids = [i * 7919 % 1000 for i in range(1000)]
+    sheets = spark.createDataFrame([(1, i, f"{i % 3:03d}", "a.pdf") for i in ids], "project_id int, sheet_id long, sheet_number string, filename string")
+    got = listings.sheets_by_number(sheets).orderBy("place").collect()
+    assert [r.sheet_id for r in got] == sorted(ids, key=lambda i: (i % 3, i))
