@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions import geometry as g
-from isoline.operators.spatial import end_pairs, in_cells
+from isoline.operators.spatial import cell_join, end_pairs, in_cells
 from isoline.session import cut
 
 KEYS = ("sheet_id",)
@@ -36,7 +36,7 @@ def _unblocked(pairs: DataFrame, blocks: DataFrame | None, keys: tuple[str, ...]
         return pairs
     own = [*keys, "a", "b", "a_which", "b_which"]
     span = pairs.select(*own, *(F.expr(f"{f}(a_{c}, b_{c})").alias(n) for n, f, c in (("l", "least", "x"), ("t", "least", "y"), ("r", "greatest", "x"), ("u", "greatest", "y"))))
-    near = in_cells(span, cell, 0.0, ("l", "t", "r", "u")).join(in_cells(blocks.select(*keys, *_BOX), cell), [*keys, "cx", "cy"])
+    near = cell_join(in_cells(span, cell, 0.0, ("l", "t", "r", "u")), in_cells(blocks.select(*keys, *_BOX), cell), [*keys, "cx", "cy"])
     return pairs.join(near.where("l <= x2 and r >= x1 and t <= y2 and u >= y1").select(*own).distinct(), own, "left_anti")
 
 
@@ -102,7 +102,7 @@ def bridge_valves(runs: DataFrame, valves: DataFrame, max_gap: float = 75.0, tol
         alike = f"({flat('a')}) = ({flat('b')}) and ({tall('a')}) = ({tall('b')})"
         rows = pairs.where("gap > 0").where(f"({line}) or ({alike})").withColumns({"line": F.expr(line), "alike": F.expr(alike), "mx": F.expr("(a_x + b_x) / 2"), "my": F.expr("(a_y + b_y) / 2")})
         box = in_cells(valves.select(*keys, *_BOX), cell, 2 * max_gap)
-        at = rows.withColumn("cx", F.floor(F.col("mx") / cell)).withColumn("cy", F.floor(F.col("my") / cell)).join(box, [*keys, "cx", "cy"])
+        at = cell_join(rows.withColumn("cx", F.floor(F.col("mx") / cell)).withColumn("cy", F.floor(F.col("my") / cell)), box, [*keys, "cx", "cy"])
         near = lambda s: f"({s}_x between x1 - {max_gap} and x2 + {max_gap} and {s}_y between y1 - {max_gap} and y2 + {max_gap})"
         between = f"mx between x1 - {BESIDE} and x2 + {BESIDE} and my between y1 - {BESIDE} and y2 + {BESIDE}"
         own = [*keys, "a", "b", "a_which", "b_which", "gap", "a_x", "a_y", "b_x", "b_y"]

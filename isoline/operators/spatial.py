@@ -24,6 +24,14 @@ def in_cells(rows: DataFrame, size: float, pad: float = 0.0, box: tuple[str, str
     return rows.withColumn("_c", F.explode(cells(x1 - pad, y1 - pad, x2 + pad, y2 + pad, size))).select(*rows.columns, "_c.cx", "_c.cy")
 
 
+def cell_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined by cell, never by broadcast.
+
+    Spark takes rows that explode into cells for as few as before and would send them through the driver.
+    """
+    return a.join(b.hint("merge"), on, how)
+
+
 def _named(rows: DataFrame, prefix: str, keys: tuple[str, ...]) -> DataFrame:
     return rows.select(*keys, "cx", "cy", *(F.col(c).alias(f"{prefix}{c}") for c in rows.columns if c not in (*keys, "cx", "cy")))
 
@@ -69,7 +77,7 @@ def end_pairs(ends: DataFrame, reach: float, keys: tuple[str, ...] = ("sheet_id"
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
     a = ends.select(*keys, *(F.col(c).alias(f"a_{c}") for c in own)).withColumn("cx", F.floor(F.col("a_x") / size)).withColumn("cy", F.floor(F.col("a_y") / size))
     b = ends.select(*keys, *(F.col(c).alias(f"b_{c}") for c in own)).withColumn("cx", around("b_x")).withColumn("cy", around("b_y"))
-    near = a.join(b, [*keys, "cx", "cy"]).where(f"a_run_id < b_run_id and abs(a_x - b_x) <= {reach} and abs(a_y - b_y) <= {reach}")
+    near = cell_join(a, b, [*keys, "cx", "cy"]).where(f"a_run_id < b_run_id and abs(a_x - b_x) <= {reach} and abs(a_y - b_y) <= {reach}")
     return near.drop("cx", "cy").withColumnsRenamed({"a_run_id": "a", "b_run_id": "b"})
 
 
