@@ -144,7 +144,7 @@ def tokens_near(ends: DataFrame, tokens: DataFrame, radius: float, keys: tuple[s
     t = tokens.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x") - radius) / radius), F.floor((F.col("x") + radius) / radius))))
     t = t.withColumn("cy", F.explode(F.sequence(F.floor((F.col("y") - radius) / radius), F.floor((F.col("y") + radius) / radius))))
     e = ends.select(*keys, "run_id", F.col("x").alias("ex"), F.col("y").alias("ey"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
-    near = e.join(t, [*keys, "cx", "cy"]).where(F.pow(F.col("x") - F.col("ex"), 2.0) + F.pow(F.col("y") - F.col("ey"), 2.0) <= radius * radius)
+    near = cell_join(e, t, [*keys, "cx", "cy"]).where(F.pow(F.col("x") - F.col("ex"), 2.0) + F.pow(F.col("y") - F.col("ey"), 2.0) <= radius * radius)
     return near.groupBy(*keys, "run_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda s: s.text)).alias("text"))
 
 
