@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoline.operators.spatial import in_cells
+from isoline.operators.spatial import cell_join, in_cells
 from isoline.session import prepare
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -52,7 +52,7 @@ def drop_glyph_noise(runs: DataFrame, most: float, tol: float, keys: tuple[str,
     a = ends.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
     b = ends.select(*keys, F.col("run_id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v")).withColumn("cx", around("u")).withColumn("cy", around("v"))
-    met = a.join(b, [*keys, "cx", "cy"]).where(f"run_id <> other and abs(x - u) <= {tol} and abs(y - v) <= {tol}").select(*keys, "run_id").distinct()
+    met = cell_join(a, b, [*keys, "cx", "cy"]).where(f"run_id <> other and abs(x - u) <= {tol} and abs(y - v) <= {tol}").select(*keys, "run_id").distinct()
     long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) > most
     return runs.where(long).unionByName(runs.where(~long).join(met, [*keys, "run_id"], "left_semi"))
 

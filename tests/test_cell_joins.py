@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoline.operators import spatial
+from isoline.operators import spatial, tracing
 from isoline.plans.derive import derived
 
 
@@ -30,6 +30,7 @@ def _ends(spark, small):
 
 CASES = {
     "tokens_near": lambda s, d: spatial.tokens_near(_runs(s, d).select("sheet_id", "run_id", F.col("x2").alias("x"), F.col("y2").alias("y")), derived(s, d, "d_points").withColumn("text", F.lit("T")), 180.0),
+    "drop_glyph_noise": lambda s, d: tracing.drop_glyph_noise(_runs(s, d), 120.0, 25.0),
     "end_pairs": lambda s, d: spatial.end_pairs(_ends(s, d), 60.0),
 }
 
