@@ -195,7 +195,7 @@ def stitch(new: DataFrame, existing: DataFrame, radius: float, keys: tuple[str,
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
     n = ends(new, "new_id").withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
     old = ends(existing, "run_id").select(*keys, "run_id", F.col("x").alias("u"), F.col("y").alias("v")).withColumn("cx", around("u")).withColumn("cy", around("v"))
-    near = n.join(old, [*keys, "cx", "cy"]).where(f"pow(x - u, 2) + pow(y - v, 2) <= {radius * radius}")
+    near = cell_join(n, old, [*keys, "cx", "cy"]).where(f"pow(x - u, 2) + pow(y - v, 2) <= {radius * radius}")
     per = near.groupBy(*keys, "new_id", "which").agg(F.count("*").alias("c"), F.min("run_id").alias("r"))
     per = per.groupBy(*keys, "new_id").agg(*(F.max(F.when(F.col("which") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2) for c in ("c", "r")))
     out = new.select(*keys, "new_id").join(per, [*keys, "new_id"], "left")

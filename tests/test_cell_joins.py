@@ -31,6 +31,7 @@ def _ends(spark, small):
 CASES = {
     "tokens_near": lambda s, d: spatial.tokens_near(_runs(s, d).select("sheet_id", "run_id", F.col("x2").alias("x"), F.col("y2").alias("y")), derived(s, d, "d_points").withColumn("text", F.lit("T")), 180.0),
     "drop_glyph_noise": lambda s, d: tracing.drop_glyph_noise(_runs(s, d), 120.0, 25.0),
+    "stitch": lambda s, d: tracing.stitch(_runs(s, d).withColumnRenamed("run_id", "new_id"), _runs(s, d), 40.0),
     "end_pairs": lambda s, d: spatial.end_pairs(_ends(s, d), 60.0),
 }
 
