@@ -209,7 +209,7 @@ def split_at_tees(runs: DataFrame, tol: float, min_piece: float, keys: tuple[str
     size = max(tol, 1.0) * 8
     e = ends.withColumn("cell", F.explode(F.sequence(F.floor((F.col("e") - tol) / size), F.floor((F.col("e") + tol) / size))))
     f = flat.withColumn("cell", F.floor(F.col("v") / size))
-    hits = f.join(e, [*keys, "axis", "cell"]).where(f"abs(e - v) <= {tol} and at > lo + {min_piece} and at < hi - {min_piece}")
+    hits = cell_join(f, e, [*keys, "axis", "cell"]).where(f"abs(e - v) <= {tol} and at > lo + {min_piece} and at < hi - {min_piece}")
     cuts = hits.groupBy(*keys, "run_id").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
     kind = dict(flat.dtypes)["lo"]
     rows = flat.join(cuts, [*keys, "run_id"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast(f"array<{kind}>")))

@@ -19,7 +19,7 @@ def _flat(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def _hits(runs: DataFrame, boxes: DataFrame, when: Column, pad: float, keys: tuple[str, ...], cell: float) -> DataFrame:
     """Keys of pipes that fulfil a condition with any box (columns b_x1 .. b_y2)."""
     b = in_cells(boxes.select(*keys, *_BOX), cell, pad).select(*keys, "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in _BOX))
-    return in_cells(_flat(runs, keys), cell).join(b, [*keys, "cx", "cy"]).where(when).select(*keys, "run_id").distinct()
+    return cell_join(in_cells(_flat(runs, keys), cell), b, [*keys, "cx", "cy"]).where(when).select(*keys, "run_id").distinct()
 
 
 def drop_box_edges(runs: DataFrame, boxes: DataFrame, margin: float, keys: tuple[str, ...] = ("sheet_id",), cell: float = 128.0) -> DataFrame:

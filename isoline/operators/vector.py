@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from isoline.functions import geometry as g
 from isoline.operators import shapes, tracing
 from isoline.operators.graph import connected_components
-from isoline.operators.spatial import in_cells, split_at_tees, subtract_intervals
+from isoline.operators.spatial import cell_join, in_cells, split_at_tees, subtract_intervals
 from isoline.session import cut
 
 KEYS = ("sheet_id",)
@@ -112,7 +112,7 @@ def _close_ends(ends: DataFrame, reach: float, keys: tuple[str, ...]) -> DataFra
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / reach) - 1, F.floor(F.col(c) / reach) + 1))
     a = ends.select(*keys, *(F.col(c).alias(f"a_{c}") for c in own)).withColumn("cx", F.floor(F.col("a_x") / reach)).withColumn("cy", F.floor(F.col("a_y") / reach))
     b = ends.select(*keys, *(F.col(c).alias(f"b_{c}") for c in own)).withColumn("cx", around("b_x")).withColumn("cy", around("b_y"))
-    return a.join(b, [*keys, "cx", "cy"]).where(f"a_seg_id < b_seg_id and pow(a_x - b_x, 2) + pow(a_y - b_y, 2) <= {reach * reach}").drop("cx", "cy")
+    return cell_join(a, b, [*keys, "cx", "cy"]).where(f"a_seg_id < b_seg_id and pow(a_x - b_x, 2) + pow(a_y - b_y, 2) <= {reach * reach}").drop("cx", "cy")
 
 
 def v_regions(segs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -154,7 +154,7 @@ def cross_regions(segs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     # a level or upright stroke through the middle tells the direction, else the longer side does
     cell = 64.0
     through = in_cells(segs.select(*keys, F.least("x1", "x2").alias("l"), F.least("y1", "y2").alias("t"), F.greatest("x1", "x2").alias("r"), F.greatest("y1", "y2").alias("u"), F.col("x1").alias("ox"), F.col("y1").alias("oy")), cell, APEX, ("l", "t", "r", "u"))
-    at = met.select(*keys, "a", "b", "px", "py", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy")).join(through, [*keys, "cx", "cy"])
+    at = cell_join(met.select(*keys, "a", "b", "px", "py", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy")), through, [*keys, "cx", "cy"])
     level = f"u - t <= {APEX} and px between l and r and abs(oy - py) <= {APEX}"
     upright = f"r - l <= {APEX} and py between t and u and abs(ox - px) <= {APEX}"
     way = at.groupBy(*keys, "a", "b").agg(F.bool_or(F.expr(level)).alias("h"), F.bool_or(F.expr(upright)).alias("v"))
@@ -185,7 +185,7 @@ def bar_regions(segs: DataFrame, keys: tuple[str, ...] = KEYS, cell: float = 64.
     pipes = rows.where("n >= 8").select(*keys, *(F.col(c).alias(f"p{c}") for c in ends), F.col("n").alias("pn"), F.least("x1", "x2").alias("l"), F.least("y1", "y2").alias("t"), F.greatest("x1", "x2").alias("r"), F.greatest("y1", "y2").alias("u"))
     mid = bars.withColumns({"mx": F.expr("(x1 + x2) / 2"), "my": F.expr("(y1 + y2) / 2")})
     mid = mid.withColumn("cx", F.floor(F.col("mx") / cell)).withColumn("cy", F.floor(F.col("my") / cell))
-    near = mid.join(in_cells(pipes, cell, V_LARGEST, ("l", "t", "r", "u")), [*keys, "cx", "cy"])
+    near = cell_join(mid, in_cells(pipes, cell, V_LARGEST, ("l", "t", "r", "u")), [*keys, "cx", "cy"])
     dx, dy = "(px2 - px1)", "(py2 - py1)"
     s0, s1 = (f"({dx} * (y{k} - py1) - {dy} * (x{k} - px1)) / pn" for k in "12")
     onto = f"(mx - px1) * {dx} + (my - py1) * {dy}"
@@ -214,7 +214,7 @@ def split_at_regions(runs: DataFrame, regions: DataFrame, keys: tuple[str, ...]
     """
     rows = runs.withColumns({"l": F.least("x1", "x2"), "t": F.least("y1", "y2"), "r": F.greatest("x1", "x2"), "u": F.greatest("y1", "y2")})
     near = in_cells(rows.select(*keys, "run_id", *_BOX, "l", "t", "r", "u"), cell, 0.0, ("l", "t", "r", "u"))
-    near = near.join(in_cells(regions.select(*keys, *_BOX), cell).select(*keys, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in _BOX)), [*keys, "cx", "cy"])
+    near = cell_join(near, in_cells(regions.select(*keys, *_BOX), cell).select(*keys, "cx", "cy", *(F.col(c).alias(f"b{c}") for c in _BOX)), [*keys, "cx", "cy"])
 
     def side(c: str) -> tuple[str, str]:
         d, a, b = f"({c}2 - {c}1)", f"(b{c}1 - {c}1)", f"(b{c}2 - {c}1)"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoline.operators import spatial, tracing
+from isoline.operators import spatial, tracing, vector
 from isoline.plans.derive import derived
 
 
@@ -32,6 +32,11 @@ CASES = {
     "tokens_near": lambda s, d: spatial.tokens_near(_runs(s, d).select("sheet_id", "run_id", F.col("x2").alias("x"), F.col("y2").alias("y")), derived(s, d, "d_points").withColumn("text", F.lit("T")), 180.0),
     "drop_glyph_noise": lambda s, d: tracing.drop_glyph_noise(_runs(s, d), 120.0, 25.0),
     "stitch": lambda s, d: tracing.stitch(_runs(s, d).withColumnRenamed("run_id", "new_id"), _runs(s, d), 40.0),
+    "bar_regions": lambda s, d: vector.bar_regions(derived(s, d, "d_segs")),
+    "v_regions": lambda s, d: vector.v_regions(derived(s, d, "d_segs")),
+    "split_at_regions": lambda s, d: vector.split_at_regions(_runs(s, d), derived(s, d, "d_boxes")),
+    "drop_inside": lambda s, d: tracing.drop_inside(_runs(s, d), derived(s, d, "d_boxes"), 1.0),
+    "split_at_tees": lambda s, d: spatial.split_at_tees(_runs(s, d), 3.0, 6.0),
     "end_pairs": lambda s, d: spatial.end_pairs(_ends(s, d), 60.0),
 }
 
