@@ -6,10 +6,14 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from isoline.session import prepare
 
 
 CELLS = "source string, row_no int, fields map<string,string>, cells map<string,string>"
+#: Bytes up to which a file is read as a whole, and rows that are handed on at a time of a larger one.
+WHOLE, ROWS = 8 << 20, 5000
 
 
 def _cells(source: str, rows: list[list[str | None]], mapping: dict[str, str] | None) -> pd.DataFrame | None:
@@ -37,10 +43,14 @@ def _cells(source: str, rows: list[list[str | None]], mapping: dict[str, str] |
 def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, encoding: str | None = None) -> DataFrame:
     """Entries of CSV line lists with source and row_no; every file has its own header and its own encoding.
 
-    Without a set encoding a file that is not valid UTF-8 is read as Latin-1. Files are read in parallel, each as a
-    whole: a line list is a document, not a table. Fails if a file has no column of line numbers.
+    Without a set encoding a file that is not valid UTF-8 is read as Latin-1. Files are read in parallel; those of up to
+    WHOLE bytes each as a whole, larger ones in blocks. Fails if a file has no column of line numbers.
     """
     prepare(spark)
+    files = spark.read.format("binaryFile").load(path)
+    # blocks are told apart by their bytes, which takes an encoding that leaves ASCII as it is
+    ascii_ = encoding is None or '\r\n,"'.encode(encoding) == b'\r\n,"'
+    large = [r.path for r in files.where(F.col("length") > WHOLE).select("path").collect()] if ascii_ else []
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -55,7 +65,132 @@ def read_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = No
                     raise ValueError(f"{path_} has no column of line numbers")
                 yield found
 
-    return parse_cells(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(explode, CELLS))
+    if not large:
+        return parse_cells(files.select("path", "content").mapInPandas(explode, CELLS))
+    small = files.where(F.col("length") <= WHOLE).select("path", "content").mapInPandas(explode, CELLS)
+    return parse_cells(small.unionByName(_blocks(spark, large, mapping, encoding)))
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^(\w+):/+", r"\1:/", path)
+
+
+def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _texts(lines: Iterable[bytes], encoding: str) -> Iterator[str]:
+    """Lines for csv.reader, which ends them at lone carriage returns as well."""
+    for line in lines:
+        text = line.decode(encoding) + "\n"
+        if "\r" in text:
+            yield from io.StringIO(text, newline="")
+        else:
+            yield text
+
+
+def _batches(source: str, rows: Iterator[list[str]], first: int, heads: list[str], at: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Rows as cells by header and by field, as in _cells, a few at a time; first is the number of the first one."""
+
+    def maps(dicts: list[dict[str, str]]) -> pa.Array:
+        ends = [0]
+        for d in dicts:
+            ends.append(ends[-1] + len(d))
+        keys, items = (pa.array(list(chain.from_iterable(x)), pa.string()) for x in (dicts, (d.values() for d in dicts)))
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), keys, items)
+
+    while some := list(islice(rows, ROWS)):
+        cells = [{h: v for h, v in zip(heads, r, strict=False) if h and v} for r in some]
+        fields = [{f: c[h] for f, h in at.items() if h in c} for c in cells]
+        numbers = pa.array(range(first, first + len(some)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([source] * len(some)), numbers, maps(fields), maps(cells)], ["source", "row_no", "fields", "cells"])
+        first += len(some)
+
+
+def _blocks(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None, encoding: str | None) -> DataFrame:
+    """The cells of large CSV files, read in blocks of whole lines.
+
+    A first pass counts the rows of every block, which gives row numbers, and sees whether a block ends within quotes. A
+    file in which one does, other than the last, has rows that span blocks: its lines are put in order and read by one
+    task, line by line. Blocks of all others are read in parallel.
+    """
+    read = spark.read.option("lineSep", "\n").text([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
+    lines = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path, start), group in groupby(_lines(batches), itemgetter(0, 1)):
+            bad = False
+
+            def seen(group: Iterator[tuple] = group) -> Iterator[bytes]:
+                nonlocal bad
+                for _, _, line in group:
+                    try:
+                        line.decode()
+                    except UnicodeDecodeError:
+                        bad = True
+                    yield line
+                yield b"\x01"  # a row of its own, unless the block ends within quotes
+
+            n, head, row, rest = -1, None, None, seen()
+            try:
+                for row in csv.reader(_texts(rest, "latin-1")):
+                    head = row if head is None else head
+                    n += 1
+            except csv.Error:  # a field beyond csv's limit: quotes that another block has opened, or left open
+                row = None
+                for _ in rest:
+                    pass
+            yield pa.RecordBatch.from_pylist([{"path": path, "start": start, "n": n, "open": row != ["\x01"], "bad": bad, "head": head if start == 0 else None}], kinds)
+
+    kinds = pa.schema([("path", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("open", pa.bool_()), ("bad", pa.bool_()), ("head", pa.list_(pa.string()))])
+    blocks = sorted(lines.mapInArrow(count, "path string, start long, n long, open boolean, bad boolean, head array<string>").collect(), key=itemgetter(0, 1))
+    sources = {_plain(p): p for p in paths}
+    plan, first, spanning = {}, {}, []
+    for path, group in groupby(blocks, itemgetter(0)):
+        own, source = list(group), sources[_plain(unquote(path))]
+        code = encoding or ("latin-1" if any(b.bad for b in own) else "utf-8")
+        code = "utf-8" if code.lower().replace("_", "-") == "utf-8-sig" else code  # the mark is left out as lines are read
+        if any(b.open for b in own[:-1]):
+            spanning.append(path)
+        heads = [h.encode("latin-1").decode(code) for h in own[0].head or []]
+        plan[path] = source, code, heads, match_columns(heads, mapping)
+        if path not in spanning and "line_number" not in plan[path][3]:
+            raise ValueError(f"{source} has no column of line numbers")
+        before = 0
+        for b in own:
+            first[path, b.start] = before
+            before += b.n
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path, start), group in groupby(_lines(batches), itemgetter(0, 1)):
+            source, code, heads, at = plan[path]
+            rows = csv.reader(_texts((line for _, _, line in group), code))
+            if start == 0:
+                next(rows)
+            yield from _batches(source, rows, max(1, first[path, start]), heads, at)
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, group in groupby(_lines(batches), itemgetter(0)):
+            source, code, _, _ = plan[path]
+            rows = csv.reader(_texts((line for _, _, _, line in group), code))
+            heads = next(rows, [])
+            at = match_columns(heads, mapping)
+            if "line_number" not in at:
+                raise ValueError(f"{source} has no column of line numbers")
+            yield from _batches(source, rows, 1, heads, at)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(range(k, k + len(batch)), pa.int64()), batch.columns[2]], ["path", "start", "k", "value"])
+            k += len(batch)
+
+    out = lines.where(~F.col("path").isin(spanning)).mapInArrow(explode, CELLS)
+    if spanning:
+        placed = lines.where(F.col("path").isin(spanning)).mapInArrow(numbered, "path string, start long, k long, value binary")
+        out = out.unionByName(placed.repartition(len(spanning), "path").sortWithinPartitions("path", "start", "k").mapInArrow(in_order, CELLS))
+    return out
 
 
 def _sheet_rows(book: zipfile.ZipFile, name: str, shared: list[str]) -> list[list[str | None]]:
